@@ -2,3 +2,144 @@
 
 SQL: dict[str, str] = {}
 
+#: Full passes over a source's shuffled words, then what is over from its start.
+SQL["op10_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([3.0, 1.0, 2.0][src % 3 + 1] AS DOUBLE) AS w, CAST(2.0 AS DOUBLE) * source_size AS cap,
+    CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS total FROM s
+), l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, coalesce(least(cap, max(CASE WHEN level <= cap / w THEN level END) OVER () * w), cap) AS target FROM l
+), p AS (
+  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS need,
+    sum(size) OVER (PARTITION BY t.source ORDER BY md5('mix:' || d.doc_id), d.doc_id, size ROWS UNBOUNDED PRECEDING) - size AS lo
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE need // source_size * size + greatest(0, least(size, need % source_size - lo)) END AS BIGINT) AS taken
+FROM p
+"""
+
+
+def _licenses() -> str:
+    from corvane.llm.license_scan import FILE_NAME, TERM, THRESHOLD, TRIGGER, template_weights
+
+    idf, weights, other = template_weights()
+    idf_rows = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in idf)
+    weight_rows = ", ".join(f"({i}, '{n}', '{t}', {w!r}::DOUBLE)" for i, n, t, w in weights)
+    return rf"""
+WITH idf(term, idf) AS (VALUES {idf_rows}), weights(template, license, term, weight) AS (VALUES {weight_rows}),
+files AS (
+  SELECT doc_id AS id, source AS repo, text,
+    'part' || (doc_id // 1000) || '/set' || (doc_id // 20) || '/' || CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path
+  FROM documents
+), units AS (
+  SELECT id, md5(text) AS body, p AS part, p = text AS whole
+  FROM (SELECT DISTINCT id, text FROM files WHERE regexp_matches(lower(text), '{TRIGGER}')),
+    LATERAL (SELECT unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\n[ \t\r]*\n'), string_split(text, chr(10))))) AS p)
+  WHERE regexp_matches(lower(p), '{TRIGGER}')
+), tf AS (
+  SELECT id, body, part, whole, term, count(*) AS tf
+  FROM (SELECT id, body, part, whole, unnest(regexp_extract_all(lower(part), '{TERM}')) AS term FROM units) GROUP BY ALL
+), v AS (
+  SELECT tf.*, tf.tf * coalesce(idf.idf, {other!r}::DOUBLE) AS v FROM tf LEFT JOIN idf USING (term)
+), norms AS (
+  SELECT id, body, part, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL
+), dots AS (
+  SELECT id, body, part, whole, template, license, sum(v * weight) AS dot FROM v JOIN weights USING (term) GROUP BY ALL
+), scored AS (
+  SELECT id, whole, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (id, body, part) WHERE round(dot / norm, 6) >= {THRESHOLD}
+), own AS (
+  SELECT id, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score, bool_or(whole) AS whole FROM scored GROUP BY id
+), known AS (
+  SELECT f.id, f.repo, f.path, own_license, own_score, coalesce(whole, false) AS whole, regexp_replace(f.path, '/[^/]*$', '') AS dir FROM files f LEFT JOIN own USING (id)
+), given AS (
+  SELECT repo, dir, arg_min(own_license, (-own_score, path, own_license)) AS dir_license FROM known
+  WHERE own_license IS NOT NULL AND (whole OR regexp_matches(regexp_extract(path, '[^/]*$'), '{FILE_NAME}')) GROUP BY ALL
+), reach AS (
+  SELECT k.id, d.dir, d.dir_license, row_number() OVER (PARTITION BY k.id ORDER BY len(d.dir) DESC) AS r
+  FROM known k JOIN given d ON k.repo = d.repo AND (k.dir = d.dir OR d.dir = '' OR starts_with(k.dir, d.dir || '/')) WHERE k.own_license IS NULL
+)
+SELECT k.id AS doc_id, k.path, k.own_license, k.own_score, coalesce(k.own_license, r.dir_license) AS license, r.dir AS inherited_from
+FROM known k LEFT JOIN (SELECT * FROM reach WHERE r = 1) r ON k.id = r.id
+"""
+
+
+SQL["op2_license_scan"] = _licenses()
+
+#: All pairs by brute force, then labels passed along links.
+SQL["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.vec_id = c.x LEFT JOIN n ON v.vec_id = n.x
+"""
+
+SQL["op3_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 256)) AS q FROM embeddings
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+#: Exact Jaccard of all pairs that share a shingle.
+SQL["op9_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+  FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+    JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING count(*) >= 0.8 * (na.n + nb.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM w
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+k AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT w.doc_id, min(w.doc_id) OVER (PARTITION BY CASE WHEN len(w.w) = 0 THEN [CAST(w.doc_id AS VARCHAR)] ELSE w.w END) AS class_id,
+  coalesce(k.n_links, 0) AS n_links, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c ON w.doc_id = c.x LEFT JOIN k ON w.doc_id = k.x
+"""
+
+#: Digests of the turns themselves; each assistant turn's example is all turns up to it, and a rest without one is an example too.
+SQL["op6_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length('### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') || ': '
+    || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') || '</turn>' || chr(10)) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM t
+), p AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR back = 1) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bin_packing, sharding, token_count
+from corvane.llm import bin_packing, chat_format, embedding_dedup, language_id, license_scan, mixing, ngram_join, sharding, token_count, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,31 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return license_scan.scan(docs, **license_scan.documents_layout()).withColumnRenamed("id", "doc_id")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.select("conv_id", "turn", "role", "text").schema)
+    return chat_format.read_back(chat_format.expand(turns.select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
 
@@ -37,8 +62,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), **byte_bpe())
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_count, op7_sharding, op8_best_fit_packing)}
+    found = (op1_token_count, op2_license_scan, op3_exact_topk, op4_language_id, op5_embedding_near_dedup, op6_chat_format, op7_sharding, op8_best_fit_packing, op9_ngram_jaccard_join, op10_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
