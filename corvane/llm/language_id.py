@@ -25,7 +25,8 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
     bounded however large the table is: each task keeps ``docs_per_lang`` texts
     of a language, and as much reaches the driver. Null, empty and letterless
     texts and null labels teach nothing. Copies of a text count once. A line
-    for each language reaches the driver: languages are taken to be few.
+    for each language reaches the driver: languages are taken to be few. The
+    languages come in the order of how many texts they have.
     """
     good = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, dict_bytes).alias("text"))
     good = good.withColumn("h", F.xxhash64("text", F.lit(seed)))
@@ -39,7 +40,8 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
     for row in first.orderBy("lang", "r").select("lang", "text").collect():
         texts.setdefault(row.lang, []).append(row.text.encode())
     out = {}
-    for lang, found in texts.items():
+    for lang in sorted(texts, key=lambda x: (-counts[x], x)):
+        found = texts[lang]
         share = max(64, dict_bytes // len(found))
         # every text gives its share at most, and what short ones leave goes to the others
         parts, room = [], dict_bytes
@@ -47,11 +49,11 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
             part = t[: max(share, room // (len(found) - i))][:room]
             parts.append(part)
             room -= len(part)
-        out[lang] = b"\n".join(parts)
+        out[lang] = b" ".join(parts)
     return out
 
 
-def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, level: int = 3, margin: float = 0.01) -> DataFrame:
+def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, level: int = 6, margin: float = 0.002) -> DataFrame:
     """``keep`` columns of ``df`` with lang_pred, score, margin and rejected.
 
     The whole text is compressed once for each language. ``score`` is the share
@@ -59,14 +61,14 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     ``margin`` how many bytes fewer the best needs than the second, by the
     second's. A text is rejected if its margin is below ``margin`` or it is
     ``und``: null, empty or without a letter (score and margin 0). With one
-    language nothing is narrow. Ties go to the language first by code point.
+    language nothing is narrow. Ties go to the first of ``dictionaries``.
     Repeated rows stay; an empty table gives no rows. One narrow stage.
     """
     keep = ["doc_id"] if keep is None else keep
     narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("t"))
     shape = narrow.schema.fields[:-1]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in shape] + ["lang_pred string", "score double", "margin double", "rejected boolean"])
-    shared = df.sparkSession.sparkContext.broadcast(sorted((k, v.decode("utf-8", "ignore").lower().encode()) for k, v in dictionaries.items()))  # languages times dict_bytes
+    shared = df.sparkSession.sparkContext.broadcast([(k, v.decode("utf-8", "ignore").lower().encode()) for k, v in dictionaries.items()])  # languages times dict_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zs
@@ -80,7 +82,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
                 if text is None or not langs:
                     pred.append(UNKNOWN), score.append(0.0), gap.append(0.0)
                     continue
-                data = text.lower().encode()
+                data = f" {text.lower()} ".encode()
                 sizes = np.array([len(c.compress(data)) for c in coders], float)
                 best = int(sizes.argmin())
                 pred.append(langs[best])
