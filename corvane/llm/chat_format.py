@@ -52,12 +52,13 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trainable: str = "assistant", chunk: int = 64) -> DataFrame:
-    """One row for each assistant turn: conv_id, example (from 0), n_turns, text, loss_start, loss_end.
+    """One row for each assistant turn: conv_id, example (its last turn's place), n_turns, text, loss_start, loss_end, final.
 
     ``text`` is the conversation up to and with that turn, and code points
     [``loss_start``, ``loss_end``) are the reply's (escaped) text: the only
     trainable part. What follows the last assistant turn, or a conversation
     without one, is a last row with the whole conversation and an empty loss.
+    ``final`` marks the conversation's longest example.
 
     Turns are ordered by turn (null first), then role and text, so repeated
     rows stay and are turns. Null texts and roles are empty; a null conv_id is
@@ -98,32 +99,32 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                     text = f"{text}{x['head']}{x['inner']}{TURN_END}{AFTER_TURN}"
                     train = x["train"]
                     if train:
-                        made.append((row["conv_id"], x["at"], x["at"] + 1, text, start, start + len(x["inner"])))
+                        made.append((row["conv_id"], x["at"], x["at"] + 1, text, start, start + len(x["inner"]), row["part"] == row["last"] and x is row["lines"][-1]))
                         size += len(text)
                     if size > 4_000_000:
                         yield batch_of(made, kind)
                         made, size = [], 0
                 if row["part"] == row["last"] and not train:
-                    made.append((row["conv_id"], row["lines"][-1]["at"] + 1, row["lines"][-1]["at"] + 1, text, len(text), len(text)))
+                    made.append((row["conv_id"], row["lines"][-1]["at"] + 1, row["lines"][-1]["at"] + 1, text, len(text), len(text), True))
                 if made:
                     yield batch_of(made, kind)
 
-    examples = chunks.mapInArrow(run, f"conv_id {kind}, example long, n_turns long, text string, loss_start long, loss_end long")
+    examples = chunks.mapInArrow(run, f"conv_id {kind}, example long, n_turns long, text string, loss_start long, loss_end long, final boolean")
     return examples
 
 
 def batch_of(rows: list[tuple], kind: str) -> pa.RecordBatch:
-    names = ["conv_id", "example", "n_turns", "text", "loss_start", "loss_end"]
+    names = ["conv_id", "example", "n_turns", "text", "loss_start", "loss_end", "final"]
     first = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
-    types = [first, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [first, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Digests of each conversation as its formatted examples give it back.
 
-    The turns come from the longest example, the trainable texts from every
-    example's loss span; both are unescaped. ``formatted_chars`` counts all
+    The turns come from the final example, which holds them all, the trainable
+    texts from every example's loss span; both are unescaped. ``formatted_chars`` counts all
     examples' code points. Each example is read where it is made, and only
     its loss text and digests move.
     """
@@ -133,23 +134,23 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            conv, n, text, start, end = (batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "n_turns", "text", "loss_start", "loss_end"))
+            conv, n, text, start, end, final = (batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "n_turns", "text", "loss_start", "loss_end", "final"))
             digest, loss, chars, count = [], [], [], []
             for i in range(batch.num_rows):
                 t = text[i].as_py()
-                turns = parse(t)
-                count.append(len(turns))
+                turns = parse(t) if final[i].as_py() else None
+                count.append(None if turns is None else len(turns))
                 h = hashlib.sha256()
-                for role, body in turns:
+                for role, body in turns or []:
                     h.update(f"{role}\n{body}\n".encode())
-                digest.append(h.hexdigest())
+                digest.append(None if turns is None else h.hexdigest())
                 loss.append(_ESCAPED.sub(r"\1", t[start[i].as_py() : end[i].as_py()]))
                 chars.append(len(t))
-            yield pa.RecordBatch.from_arrays([conv, n, pa.array(count, pa.int64()), pa.array(digest), pa.array(loss, pa.string()), pa.array(chars, pa.int64())], names=["conv_id", "n", "n_turns", "sha", "loss", "chars"])
+            yield pa.RecordBatch.from_arrays([conv, n, pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(loss, pa.string()), pa.array(chars, pa.int64())], names=["conv_id", "n", "n_turns", "sha", "loss", "chars"])
 
-    read = examples.select("conv_id", "n_turns", "text", "loss_start", "loss_end").mapInArrow(run, f"conv_id {kind}, n long, n_turns long, sha string, loss string, chars long")
+    read = examples.select("conv_id", "n_turns", "text", "loss_start", "loss_end", "final").mapInArrow(run, f"conv_id {kind}, n long, n_turns long, sha string, loss string, chars long")
     per = read.groupBy("conv_id").agg(
-        F.max_by(F.struct("n_turns", "sha"), "n").alias("whole"),
+        F.max(F.struct("n_turns", "sha")).alias("whole"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "loss"))), lambda x: x["loss"]), "").alias("loss"),
         F.sum("chars").alias("formatted_chars"),
     )
