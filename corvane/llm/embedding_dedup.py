@@ -89,7 +89,7 @@ def window_links(classes: DataFrame, n: int, threshold: float, window: int, reca
     return ordered.mapInArrow(compare, "src long, dst long").distinct()
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", window: int = 64, recall: float = 0.999, block: int = 1024, seed: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", window: int = 64, recall: float = 0.999, block: int = 256, seed: int = 3) -> DataFrame:
     """One row for each row of ``df``: vec_id, n_links, component_id, kept.
 
     ``n_links`` counts the other rows with a cosine of at least ``threshold``
