@@ -144,7 +144,7 @@ def slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = 16, max_depth: int = 6, recall: float = 0.999, screen: float = 0.5, block: int = 512, seed: int = 17) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = 16, max_depth: int = 6, recall: float = 0.999, screen: float = 0.5, block: int = 256, seed: int = 17) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id, n_links, component_id, kept.
 
     Words are runs of letters, digits and underscores, in lower case. Documents
