@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import map_groups, materialize
+from corvane.llm.common import batches_by_bytes, map_groups, materialize
 
 #: Texts below this code point are split alike by both libraries (tests check every one); others go to the first.
 SHARED_BELOW = 0x250
@@ -65,6 +65,7 @@ def token_pieces(df: DataFrame, path: str, ranks_path: str | None = None, patter
     that it is ``end_id`` alone. Only a document beyond ``capacity`` is cut,
     into full pieces but for the first, which takes what is over.
     """
+    batches_by_bytes(df.sparkSession)
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]

@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def batches_by_bytes(spark: SparkSession, size: str = "16m") -> None:
+    """Has Spark cut the batches that it hands to Python by their bytes, so that long texts don't add up in a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import batches_by_bytes
+
 UNKNOWN = "und"
 
 
@@ -65,8 +67,10 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     Repeated rows stay; an empty table gives no rows. One narrow stage.
     """
     keep = ["doc_id"] if keep is None else keep
-    narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("t"))
-    shape = narrow.schema.fields[:-1]
+    narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *([] if text_col in keep else [F.col(text_col).alias("t")]))
+    batches_by_bytes(df.sparkSession)
+    shape = narrow.schema.fields[: len(keep)]
+    at = keep.index(text_col) if text_col in keep else len(keep) + 1
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in shape] + ["lang_pred string", "score double", "margin double", "rejected boolean"])
     shared = df.sparkSession.sparkContext.broadcast([(k, v.decode("utf-8", "ignore").lower().encode()) for k, v in dictionaries.items()])  # languages times dict_bytes
 
@@ -77,12 +81,11 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
         coders = [zs.ZstdCompressor(level=level, dict_data=zs.ZstdCompressionDict(v, dict_type=zs.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, v in shared.value]
         for batch in batches:
             pred, score, gap = [], [], []
-            for x in batch.column(batch.num_columns - 1):
-                text = x.as_py()
-                if text is None or not langs:
+            for x, letters in zip(batch.column(at), batch.column(len(keep)).to_pylist(), strict=True):
+                if not letters or not langs:
                     pred.append(UNKNOWN), score.append(0.0), gap.append(0.0)
                     continue
-                data = f" {text.lower()} ".encode()
+                data = f" {x.as_py().lower()} ".encode()
                 sizes = np.array([len(c.compress(data)) for c in coders], float)
                 best = int(sizes.argmin())
                 pred.append(langs[best])
@@ -90,7 +93,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
                 second = np.partition(sizes, 1)[1] if len(sizes) > 1 else np.inf
                 gap.append(1.0 if np.isinf(second) else float((second - sizes[best]) / second))
             rejected = [p == UNKNOWN or g < margin for p, g in zip(pred, gap, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score", "margin", "rejected"])
 
     out = narrow.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "margin", "rejected")

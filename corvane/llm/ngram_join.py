@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import map_groups, materialize, tiles, union_find
+from corvane.llm.common import batches_by_bytes, map_groups, materialize, tiles, union_find
 from corvane.llm.graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +82,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = _power_table(1 << max(21, (n - 1).bit_length()))
+    a, b = _power_table(1 << max(19, (n - 1).bit_length()))
     return a[:n], b[:n]
 
 
@@ -131,11 +132,10 @@ def signatures(values: np.ndarray, whose: np.ndarray, n: int, count: int, seed:
     return out
 
 
-def slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters in all; a longer text is a range of its own."""
+def slices(texts: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` bytes in all; a longer text is a range of its own."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if size and size + n > limit:
             yield start, i
             start, size = i, 0
@@ -153,22 +153,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, id_col
     similarity of ``threshold`` or more, ``component_id`` is the smallest
     doc_id that links reach and ``kept`` whether it is the row's own. Texts
     that are null or without words link with nothing. Rows that share an id are
-    one node of the links; a null id sorts first and stays.
+    one node of the links. A null id is the smallest of none but its own kind:
+    if a class has no other, its rows stay.
 
     Candidates whose whole signatures agree in less than ``screen`` of their
     values are let go: for a pair at the threshold that is many standard
     deviations away. Groups of any size are compared whole, in tiles.
     """
+    batches_by_bytes(df.sparkSession)
     depth = matched_depth(threshold, trees, max_depth, recall)
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     narrow = narrow.withColumn("x", F.xxhash64("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                values, whose, digest = shingles(texts[lo:hi], size)
+            for lo, hi in slices(batch.column(1)):
                 n = hi - lo
+                values, whose, digest = shingles(batch.column(1).slice(lo, n).to_pylist(), size)
                 sig = signatures(values, whose, n, trees * max_depth, seed)
                 full = np.bincount(whose, minlength=n) > 0
                 sig_bytes = [row.tobytes() if ok else None for row, ok in zip(sig, full, strict=True)]
@@ -218,10 +219,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, id_col
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = batch.column(batch.schema.get_field_index("t")).to_pylist()
-            for lo, hi in slices(body):
+            body = batch.schema.get_field_index("t")
+            for lo, hi in slices(batch.column(body)):
                 part = batch.slice(lo, hi - lo)
-                values, whose, digest = shingles(body[lo:hi], size)
+                values, whose, digest = shingles(part.column(body).to_pylist(), size)
                 cut = np.searchsorted(whose, np.arange(hi - lo + 1))
                 same = digest[0].view(np.int64) == part.column(1).to_numpy()  # another text under the same id isn't this class
                 packed = [np.unique(values[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]

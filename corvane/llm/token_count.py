@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import batches_by_bytes
+
 #: The mark that the model writes for a space.
 SPACE_MARK = "▁"
 
@@ -71,6 +73,7 @@ def count_tokens(
     no rows. Only ``keep`` and the text reach Python; clashing names in other
     columns don't matter. One narrow stage, no shuffle.
     """
+    batches_by_bytes(df.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     narrow = df.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
