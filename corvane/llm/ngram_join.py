@@ -292,7 +292,13 @@ def overlaps(column: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that :func:`near_duplicates` keeps: one of each group, the one with the smallest id.
 
-    Where rows share that id, one of them stays for each of its texts' groups.
+    Where rows share that id, those with different texts stay, and of rows
+    that repeat id and text one does.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi")
+    kept = near_duplicates(docs, **options).where("kept").groupBy(F.col("doc_id").alias("kept_id_")).agg((F.count(F.lit(1)) > 1).alias("again_"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id_"))
+    kept = materialize(kept)
+    if kept.where("again_").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.where("NOT again_"), same, "left_semi")
+    return once.unionByName(docs.join(kept.where("again_"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -61,7 +61,11 @@ def test_rows_that_share_an_id_nulls_and_empty(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words in this one text"), (None, "q r s t u v"), (None, "q r s t u v"), (2, "Q R S T U V")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_duplicates(df).collect()
-    assert sorted((r.doc_id or 0, r.n_links, r.kept) for r in got) == [(0, 2, True), (0, 2, True), (1, 0, True), (1, 1, True), (1, 1, True), (2, 2, False)]
+    assert sorted((r.doc_id or 0, r.n_links, r.kept) for r in got) == [(0, 2, False), (0, 2, False), (1, 0, True), (1, 1, True), (1, 1, True), (2, 2, True)]
+    kept = without_near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [(1, "a"), (1, "o"), (2, "Q")]
+    alone = without_near_duplicates(df.where("doc_id IS NULL OR doc_id = 1")).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in alone) == [(0, "q"), (1, "a"), (1, "o")]
     assert near_duplicates(df.limit(0)).count() == 0
 
 
