@@ -38,11 +38,20 @@ def script_tokens(text: Column) -> Column:
     return F.when(text.isNull() | (F.trim(text) == ""), F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1), wide + F.floor((F.length(text) - wide + 3) / 4)).cast("long"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pairs_of(normal: Column) -> Column:
     """Distinct two-character substrings; of one character, that character."""
-    n = F.length(normal)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(normal, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(normal)).otherwise(F.array_distinct(many))
+
+    def pairs(s: Column) -> Column:
+        n = F.length(s)
+        many = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(F.array_distinct(many))
+
+    return let(normal, pairs)
 
 
 def grams(text: Column) -> Column:

@@ -80,10 +80,8 @@ def assign(rows: DataFrame, keys: list[str], order: list[str], target: int, most
     return zipped.select(*keys, *[F.col(f"z.units.{c}").alias(c) for c in [*order, "tokens", *rest]], F.col("z.units.own_level").alias("level"), F.col("z.out").alias("chunk"))
 
 
-def chunk_rows(rows: DataFrame, keys: list[str], kind: str, policy: Policy) -> DataFrame:
-    """Chunks of assigned units: their text, rendering, header, tokens, hash and stable id."""
-    piece = F.struct("order_index", "unit", "type", "level", "unit_text", "heading_path", "language")
-    out = rows.groupBy("document_id", *keys).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+def chunk_columns(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Rows (document_id, parent_no, child_no, pieces) with their text, rendering, header, tokens, hash and stable id; child -1 is the parent."""
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     text = F.array_join(F.transform("pieces", lambda p: strip(p["unit_text"])), "\n\n")
 
@@ -96,14 +94,15 @@ def chunk_rows(rows: DataFrame, keys: list[str], kind: str, policy: Policy) -> D
         )
 
     header = F.array_join(F.coalesce(F.get(F.filter(F.transform("pieces", lambda p: p["heading_path"]), lambda h: F.size(h) > 0), F.lit(0)), F.array().cast("array<string>")), " > ")
-    out = out.withColumns({"text": text, "render": F.array_join(F.transform("pieces", rendered), "\n\n"), "header": header, "tokens": F.lit(0).cast("long")})
-    out = out.withColumn("tokens", lexical_tokens(F.col("text")))
-    out = out.withColumn("hash", F.sha2(F.concat_ws("\0", "header", "text", "render").cast("binary"), 256))
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy(*keys)) - 1
-    out = out.withColumn("order_index", number)
-    out = out.withColumn("chunk_id", name_uuid(F.concat_ws(":", F.col("document_id").cast("string"), F.lit(kind.lower()), F.col("order_index").cast("string"), "hash")))
+    kind = F.when(F.col("child_no") < 0, "PARENT").otherwise("CHILD")
+    out = rows.withColumns({"type": kind, "text": text, "render": F.array_join(F.transform("pieces", rendered), "\n\n"), "header": header})
+    out = out.withColumn("order_index", F.row_number().over(Window.partitionBy("document_id", "type").orderBy("parent_no", "child_no")) - 1)
+    out = out.withColumns({"tokens": lexical_tokens(F.col("text")), "hash": F.sha2(F.concat_ws("\0", "header", "text", "render").cast("binary"), 256)})
+    out = out.withColumn("chunk_id", name_uuid(F.concat_ws(":", F.col("document_id").cast("string"), F.lower("type"), F.col("order_index").cast("string"), "hash")))
+    parent = F.first("chunk_id").over(Window.partitionBy("document_id", "parent_no").orderBy("child_no"))
+    out = out.withColumn("parent_id", F.when(F.col("type") == "CHILD", parent))
     embedding = F.when(F.trim("header") == "", F.col("render")).otherwise(F.concat(F.lit("Section: "), F.col("header"), F.lit("\n\n"), F.col("render")))
-    return out.select("document_id", *keys, "chunk_id", F.lit(kind).alias("type"), "order_index", "text", "render", "header", embedding.alias("embedding_text"), "tokens", "hash", F.lit(policy.version).alias("policy"), "pieces")
+    return out.select("document_id", "parent_no", "chunk_id", "parent_id", "type", "order_index", "text", "render", "header", embedding.alias("embedding_text"), "tokens", "hash", F.lit(policy.version).alias("policy"), "pieces")
 
 
 def parent_child(blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -116,12 +115,13 @@ def parent_child(blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
     least = min(policy.parent_target, max(2 * policy.child_target, round(0.6 * policy.parent_target)))
     small = units(own, policy.child_max)
     parts = assign(small, ["document_id"], ["order_index", "unit"], policy.parent_target, policy.parent_max, least, True).withColumnRenamed("chunk", "parent_no")
-    parents = chunk_rows(parts, ["parent_no"], "PARENT", policy)
     kids = assign(parts, ["document_id", "parent_no"], ["order_index", "unit"], policy.child_target, policy.child_max, 0, False).withColumnRenamed("chunk", "child_no")
-    children = chunk_rows(kids, ["parent_no", "child_no"], "CHILD", policy)
-    ids = parents.select("document_id", "parent_no", F.col("chunk_id").alias("parent_id"))
-    children = children.join(ids, ["document_id", "parent_no"]).drop("child_no")
-    return parents.withColumn("parent_id", F.lit(None).cast("string")).unionByName(children)
+    piece = F.struct("order_index", "unit", "type", "level", "unit_text", "heading_path", "language", "child_no")
+    whole = kids.groupBy("document_id", "parent_no").agg(F.sort_array(F.collect_list(piece)).alias("whole"), F.max("child_no").alias("last"))
+    # a parent and its children come from one row
+    each = whole.select("document_id", "parent_no", F.explode(F.sequence(F.lit(-1), "last")).alias("child_no"), "whole")
+    own = F.when(F.col("child_no") < 0, F.col("whole")).otherwise(F.filter("whole", lambda p: p["child_no"] == F.col("child_no")))
+    return chunk_columns(each.select("document_id", "parent_no", "child_no", own.alias("pieces")), policy)
 
 
 def source_map(chunks: DataFrame) -> DataFrame:
