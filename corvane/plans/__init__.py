@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from corvane.plans import evaluation, governance, ingestion, relational, retrieval, streams, texts  # noqa: F401
+    from corvane.plans import evaluation, governance, ingestion, relational, research, retrieval, streams, texts  # noqa: F401
