@@ -64,19 +64,24 @@ def score_texts(files: DataFrame, threshold: float) -> DataFrame:
     """
     spark = files.sparkSession
     idf, weights, other = template_weights()
-    idf_table = F.broadcast(spark.createDataFrame(idf, "term string, idf double"))  # the templates' terms
-    weight_table = F.broadcast(spark.createDataFrame(weights, "template int, license string, term string, weight double"))
+    names = [name for name, _ in TEMPLATES]
+    dense = {t: [0.0] * len(names) for t, _ in idf}
+    for i, _, t, w in weights:
+        dense[t][i] = w
+    vocabulary = F.broadcast(spark.createDataFrame([(t, v, dense[t]) for t, v in idf], "term string, idf double, weights array<double>"))  # the templates' terms
     hit = files.where(F.lower("text").rlike(TRIGGER)).select("id", "text").distinct()
     units = hit.select("id", F.xxhash64("text").alias("body"), F.posexplode(F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n")))).alias("unit", "part"))
-    units = units.where(F.lower("part").rlike(TRIGGER))
+    # dealt by unit before they become terms, so that counts and sums need no other shuffle
+    units = units.where(F.lower("part").rlike(TRIGGER)).repartition("id", "body", "unit")
     terms = units.select("id", "body", "unit", F.explode(F.regexp_extract_all(F.lower("part"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = terms.groupBy("id", "body", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(idf_table, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = tf.groupBy("id", "body", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = tf.join(weight_table, "term").groupBy("id", "body", "unit", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
-    same = F.col("d.id").eqNullSafe(F.col("n.id")) & (F.col("d.body") == F.col("n.body")) & (F.col("d.unit") == F.col("n.unit"))
-    scored = dots.alias("d").join(norms.alias("n"), same).select("d.id", "d.unit", "d.license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    scored = scored.where(F.col("score") >= threshold)
+    tf = tf.join(vocabulary, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    known = F.collect_list(F.when(F.col("weights").isNotNull(), F.struct("v", "weights")))  # no more than the templates' terms
+    sums = tf.groupBy("id", "body", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), known.alias("known"))
+    add = lambda dots, x: F.zip_with(dots, x["weights"], lambda d, w: d + x["v"] * w)
+    dots = sums.withColumn("dots", F.aggregate("known", F.array(*[F.lit(0.0)] * len(names)), add))
+    each = F.transform(F.arrays_zip(F.col("dots").alias("dot"), F.array(*[F.lit(n) for n in names]).alias("license")), lambda x: F.struct(x["license"].alias("license"), F.round(x["dot"] / F.col("norm"), 6).alias("score")))
+    scored = dots.select("id", "unit", F.explode(F.filter(each, lambda x: x["score"] >= threshold)).alias("x")).select("id", "unit", "x.license", "x.score")
     best = F.min_by("license", F.struct(-F.col("score"), F.col("license")))
     return scored.groupBy("id").agg(best.alias("own_license"), F.max("score").alias("own_score"), F.bool_or(F.col("unit") == 0).alias("whole"))
 
