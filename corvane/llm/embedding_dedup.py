@@ -35,11 +35,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def vector_classes(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows as (vec_id, h1, h2), and the distinct valid vectors as (h1, h2, rep, copies, dim, vector)."""
-    x = F.col("vector")
-    own = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    x, kind = F.col("vector"), df.schema[vector_col].dataType.elementType.simpleString()
+    kind = "float" if kind == "float" else "double"  # vectors move in their own type
+    own = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
-    own = own.withColumn("vector", F.when(good, F.transform(x, lambda v: v + F.lit(0.0))))
+    own = own.withColumn("vector", F.when(good, F.transform(x, lambda v: v + F.lit(0.0).cast(kind))))
     own = own.withColumns({"h1": F.when(x.isNotNull(), F.xxhash64("vector")), "h2": F.when(x.isNotNull(), F.xxhash64(F.lit(1), "vector"))})
     classes = own.where(x.isNotNull()).groupBy("h1", "h2").agg(F.coalesce(F.min("vec_id"), F.lit(-(1 << 62))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     return own.select("vec_id", "h1", "h2"), classes.withColumn("dim", F.size("vector").cast("long"))
@@ -47,7 +48,7 @@ def vector_classes(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFra
 
 def window_links(classes: DataFrame, n: int, threshold: float, window: int, recall: float, seed: int) -> DataFrame:
     """Links (src, dst) between classes that suffice to unite what the passes verify."""
-    spark = classes.sparkSession
+    kind = classes.schema["vector"].dataType.simpleString()
     passes = passes_needed(n, window, threshold, recall)
     bits = 62
 
@@ -65,7 +66,7 @@ def window_links(classes: DataFrame, n: int, threshold: float, window: int, reca
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column(1), pa.array(value[:, p]), part.column(0), part.column(2)], names=["pass", "dim", "code", "rep", "vector"])
 
-    coded = classes.select("rep", "dim", "vector").mapInArrow(code, "pass int, dim long, code long, rep long, vector array<double>")
+    coded = classes.select("rep", "dim", "vector").mapInArrow(code, f"pass int, dim long, code long, rep long, vector {kind}")
     ordered = coded.repartitionByRange("pass", "dim", "code", F.xxhash64("rep")).sortWithinPartitions("pass", "dim", "code")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
