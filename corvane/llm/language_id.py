@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import batches_by_bytes
 
 UNKNOWN = "und"
+PREDICTED = ["lang_pred", "score", "margin", "rejected"]
 
 
 def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", docs_per_lang: int = 200, dict_bytes: int = 60_000, seed: int = 5) -> dict[str, bytes]:
@@ -55,8 +56,21 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
     return out
 
 
-def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, level: int = 6, margin: float = 0.002) -> DataFrame:
-    """``keep`` columns of ``df`` with lang_pred, score, margin and rejected.
+def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """``keep`` columns of ``df`` (doc_id) with lang_pred, score, margin and rejected: see :func:`predictions`."""
+    keep = ["doc_id"] if keep is None else keep
+    out = predictions(df, dictionaries, text_col, keep, **options)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *PREDICTED)
+
+
+def identified(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that aren't rejected, with their own columns, whatever their names."""
+    out = predictions(df, dictionaries, text_col, df.columns, **options).where(~F.col("rejected"))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def predictions(df: DataFrame, dictionaries: dict[str, bytes], text_col: str, keep: list[str], level: int = 6, margin: float = 0.002) -> DataFrame:
+    """The ``keep`` columns as k0, k1, ... with lang_pred, score, margin and rejected.
 
     The whole text is compressed once for each language. ``score`` is the share
     of the best language when each weighs two to the minus its compressed bits,
@@ -66,7 +80,6 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     language nothing is narrow. Ties go to the first of ``dictionaries``.
     Repeated rows stay; an empty table gives no rows. One narrow stage.
     """
-    keep = ["doc_id"] if keep is None else keep
     narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *([] if text_col in keep else [F.col(text_col).alias("t")]))
     batches_by_bytes(df.sparkSession)
     shape = narrow.schema.fields[: len(keep)]
@@ -95,8 +108,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
             rejected = [p == UNKNOWN or g < margin for p, g in zip(pred, gap, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score", "margin", "rejected"])
 
-    out = narrow.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "margin", "rejected")
+    return narrow.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -133,7 +133,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     share = mix(docs, keys={"digest": digest}, **options)
-    times = share.groupBy("doc_id", "digest").agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias("times"))
-    times = times.where(F.col("times") > 0).select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_"), "times")
+    times = share.groupBy("doc_id", "digest").agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias("times_"))
+    times = times.where(F.col("times_") > 0).select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_"), "times_")
     both = docs.withColumn("own_digest_", digest).join(times, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("own_digest_") == F.col("digest_")))
-    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,6 +31,19 @@ def test_stages_hand_on_what_they_keep(spark):
     assert len({r.sequence_id for r in packed}) <= -(-tokens // 2048) + 2
 
 
+def test_stages_stand_clashing_columns_nulls_and_no_rows(spark):
+    rows = [(i, f"the house and the river of winter number {i % 40} in the small village " * (1 + i % 5), "en", f"s{i % 3}", 1) for i in range(80)] + [(100, None, None, None, None), (101, "", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "rejected", "kept", "times", "length", "size", "node", "taken", "t", "rid"):
+        docs = docs.withColumn(c, docs["doc_id"])
+    for table in (docs, docs.limit(0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            at = materialize(stage(spark, at, ""))
+            assert name == "packing" or at.columns == docs.columns
+        assert (at.count() > 0) == (table is docs)
+
+
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert "sequence_id" in got.columns and got.count() > 0
