@@ -7,7 +7,6 @@ written and read again. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm import bin_packing, language_id, mixing, ngram_join
 from corvane.llm.common import materialize
@@ -17,7 +16,7 @@ from corvane.llm.queries import byte_bpe
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; those that the classifier rejects go."""
     dictionaries = language_id.fit_dictionaries(docs.where(~language_id.held_out()))
-    return language_id.classify(docs, dictionaries, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    return language_id.identified(docs, dictionaries)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
