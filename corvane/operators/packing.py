@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,3 +127,26 @@ def round_robin(children: DataFrame, limit: int) -> DataFrame:
     once = deep.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "span_id").orderBy("depth", "parent_rank"))).where("n = 1")
     line = Window.partitionBy("query_id").orderBy("depth", "parent_rank")
     return once.withColumn("position", F.row_number().over(line)).where(F.col("position") <= limit).select("query_id", "position", "span_id")
+
+
+def trim_packs(evidence: DataFrame, budget: int) -> DataFrame:
+    """All parents of a run by score, without those at the end that its budget has no room for: run_id, position, parent_id, tokens.
+
+    While the pack is over ``budget``, the last parent all of whose goals and
+    requirements others cover too goes; if there is none, the rest stays.
+    ``evidence`` is that of :func:`pack_for_coverage`.
+    """
+    need = F.concat_ws("/", "goal_id", "requirement_id")
+    parents = evidence.groupBy("run_id", "parent_id").agg(F.max("score").cast("double").alias("score"), F.first("tokens").cast("long").alias("tokens"), F.sort_array(F.collect_set(need)).alias("needs"))
+
+    def trim(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf.itertuples(), key=lambda r: (-r.score, r.tokens, str(r.parent_id)))
+        while sum(r.tokens for r in rows) > budget:
+            held = Counter(n for r in rows for n in r.needs)
+            spare = next((i for i in reversed(range(len(rows))) if all(held[n] > 1 for n in rows[i].needs)), None)
+            if spare is None:
+                break
+            rows.pop(spare)
+        return pd.DataFrame([(r.run_id, i + 1, r.parent_id, r.tokens) for i, r in enumerate(rows)], columns=["run_id", "position", "parent_id", "tokens"])
+
+    return parents.groupBy("run_id").applyInPandas(trim, "run_id long, position int, parent_id long, tokens long")

@@ -176,3 +176,62 @@ def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k").cast("int") % 15).otherwise(0)
     out = e.withColumn("a", attempts).select("event_id", F.when(F.col("a") < 10, "PUBLISHED").otherwise("FAILED").alias("state"), F.least("a", F.lit(10)).alias("attempts"))
     return jobs.finish(out, jobs.workspace(spark))
+
+
+@query(f"""WITH c AS ({SQL_CHUNKS}) SELECT chunk_id, document_id FROM c WHERE document_id = 12 OR kb = 'src3' OR chunk_id = 700000 ORDER BY document_id, line_no LIMIT 50 OFFSET 20""")
+def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a document, a knowledge base or by id, a page of fifty at most."""
+    c = chunks(spark, sf_dir)
+    return c.where("document_id = 12 OR kb = 'src3' OR chunk_id = 700000").orderBy("document_id", "line_no").offset(20).limit(50).select("chunk_id", "document_id")
+
+
+@query()
+def keyword_search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question's chunks by cover density plus a fifth of the trigram similarity; either alone lets a chunk in."""
+    own = chunks(spark, sf_dir)
+    asked = spark.createDataFrame([(1, "the of")], "query_id long, text string")
+    dense = search.cover_density(own, ["the", "of"])
+    near = search.trigram_search(asked, own, k=1000)
+    both = near.select("chunk_id", F.col("score").alias("similarity")).join(dense, "chunk_id", "full")
+    score = F.coalesce("density", F.lit(0.0)) + F.lit(0.2) * F.coalesce("similarity", F.lit(0.0))
+    return search.top_k(both.select(F.lit(1).alias("query_id"), "chunk_id", F.round(score, 6).alias("score")), 30, [F.desc("score"), "chunk_id"])
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page, l_returnflag || ' page ' || l_linenumber AS text FROM lineitem), n AS (SELECT document_id, page, trim(regexp_replace(lower(text), '\\d+', '#', 'g')) AS norm FROM p),
+c AS (SELECT document_id, count(DISTINCT page) AS pages FROM p GROUP BY document_id)
+SELECT document_id, norm, count(DISTINCT page) AS on_pages FROM n JOIN c USING (document_id) GROUP BY document_id, norm, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages / 2))""")
+def page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat on at least two pages and half of all: headers and footers."""
+    from corvane.sources.parsers import repeated_margins
+
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.concat("l_returnflag", F.lit(" page "), F.col("l_linenumber").cast("string")).alias("text"))
+    return repeated_margins(p.distinct())
+
+
+@query("""WITH e AS (SELECT l_orderkey AS case_id, l_partkey AS d FROM lineitem WHERE l_quantity > 35), f AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS d FROM lineitem WHERE l_discount > 0.03), r AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS d FROM lineitem WHERE l_discount > 0.06)
+SELECT case_id, round(count(f.d) / count(*), 6) AS discovery, round(count(r.d) / count(*), 6) AS deep_read, count(r.d) = count(*) AS compliant FROM (SELECT DISTINCT * FROM e) e LEFT JOIN f USING (case_id, d) LEFT JOIN r USING (case_id, d) GROUP BY case_id""")
+def strict_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a case's expected documents were found, and how many of them read."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    pick = lambda c: l.where(c).select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("d")).distinct()
+    e = pick("l_quantity > 35").join(pick("l_discount > 0.03D").withColumn("f", F.lit(1)), ["case_id", "d"], "left").join(pick("l_discount > 0.06D").withColumn("r", F.lit(1)), ["case_id", "d"], "left")
+    n = F.count(F.lit(1))
+    return e.groupBy("case_id").agg(F.round(F.count("f") / n, 6).alias("discovery"), F.round(F.count("r") / n, 6).alias("deep_read"), (F.count("r") == n).alias("compliant"))
+
+
+@query("SELECT o_custkey AS run_id, count(*) AS citations, round(count(*) FILTER (p_size > 10) / count(*), 6) AS resolvable FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_custkey")
+def citation_resolvable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a run's citations that lead to what they cite."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("run_id"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 10).alias("ok"))
+    x = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").join(p, "l_partkey")
+    return x.groupBy("run_id").agg(F.count(F.lit(1)).alias("citations"), F.round(F.count_if("ok") / F.count(F.lit(1)), 6).alias("resolvable"))
+
+
+@query()
+def trimmed_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs over their budget, trimmed from the end while other items cover what goes."""
+    from corvane.operators.packing import trim_packs
+
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 AS run_id", "l_linenumber % 3 AS goal_id", "l_suppkey % 4 AS requirement_id", "l_partkey % 30 AS parent_id", "l_discount AS score", "CAST(100 + l_partkey % 30 * 7 AS BIGINT) AS tokens")
+    return trim_packs(e, 1200)
