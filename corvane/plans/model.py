@@ -88,12 +88,20 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, document_id): which documents contain an item's whole passage.
 
-    A passage is found by its first line of words that is rare: items and
-    documents meet on the item's longest line, then containment is checked.
+    Items and documents meet on the item's longest inner word, which a document
+    that holds the passage must hold as a word; then the whole passage is
+    looked for. Items of one or two words, if any, are looked for everywhere.
     """
-    items = table(spark, sf_dir, "benchmark").withColumn("line", F.array_max(F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))))["t"])
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    return F.broadcast(items).join(docs, F.expr("contains(doc_text, text)")).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("document_id"))
+    words = F.split("text", r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), "text", longest.alias("word"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("doc_text"))
+    held = docs.select("document_id", F.explode(F.array_distinct(F.split("doc_text", r"\s+"))).alias("word"))
+    maybe = held.join(items.where(F.col("word").isNotNull()), "word").select("case_id", "text", "document_id")
+    found = maybe.join(docs, "document_id").where(F.expr("contains(doc_text, text)")).select("case_id", "document_id")
+    short = items.where(F.col("word").isNull()).join(docs, F.expr("contains(doc_text, text)")).select("case_id", "document_id")
+    return found.unionByName(short)
 
 
 SQL_GOLD = "SELECT item_id AS case_id, doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"

@@ -9,11 +9,6 @@ from corvane.plans import query
 from corvane.plans.model import SQL_CHUNKS, chunks, table
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 @query("""SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY n_name, r_name""")
 def effective_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of equi-joins to small dimensions, summed before the dimensions are joined."""
