@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -41,6 +42,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over: it does so when the driver has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_groups(
     df: DataFrame,
     keys: list[str],

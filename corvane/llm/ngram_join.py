@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches_by_bytes, map_groups, materialize, tiles, union_find
+from corvane.llm.common import batches_by_bytes, map_groups, materialize, release, tiles, union_find
 from corvane.llm.graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -298,6 +298,7 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     kept = near_duplicates(docs, **options).where("kept").groupBy(F.col("doc_id").alias("kept_id_")).agg((F.count(F.lit(1)) > 1).alias("again_"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id_"))
     kept = materialize(kept)
+    release(docs.sparkSession)
     if kept.where("again_").isEmpty():
         return docs.join(kept, same, "left_semi")
     once = docs.join(kept.where("NOT again_"), same, "left_semi")
