@@ -42,3 +42,14 @@ def test_without_labels_or_rows(spark):
     one = fit_dictionaries(spark.createDataFrame([("abc def", "q")] * 50, "text string, lang string"))
     assert one == {"q": b"abc def"}
     assert [r.rejected for r in classify(none, one).collect()] == [False]
+
+
+def test_clean_long_texts_stay(spark):
+    rng = random.Random(7)
+    made = {lang: ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(4000)] for lang in WORDS}
+    draw = lambda lang, size: " ".join(rng.choices(made[lang], k=size // 7))
+    dictionaries = fit_dictionaries(spark.createDataFrame([(draw(lang, 2000), lang) for lang in WORDS for _ in range(60)], "text string, lang string"))
+    rows = [(f"{lang}{size}", draw(lang, size)) for lang in WORDS for size in (1_000, 1_000_000, 3_000_000, 10_000_000)]
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, "doc_id string, text string").repartition(12), dictionaries).collect()}
+    assert all(r.lang_pred == k[:2] and not r.rejected for k, r in got.items())
+    assert all(abs(got[f"{lang}10000000"].margin / got[f"{lang}1000000"].margin - 1) < 0.2 for lang in WORDS)
