@@ -1,9 +1,10 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass orders the vectors lexicographically by concatenated random
-hyperplane bits and compares each with its neighbours in that order. Verified
-pairs of all passes are united; inside a united group all pairs are then
-compared in tiles, so that dense groups, which no window holds, lose no link.
+Each pass sorts the vectors into runs by leading bits of random hyperplanes and
+compares all pairs of a run, however long it is. The bits are chosen by the
+runs that the table's own vectors make. Verified pairs of all passes are
+united; inside a united group all pairs are then compared in tiles, so that
+each link is counted.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import map_groups, materialize, matrix, tiles, union_find
 from corvane.llm.graph import components
 
+#: Hyperplanes of a pass; a run has at most as many bits.
+BITS = 32
+
 
 def passes_needed(n: int, window: int, threshold: float, recall: float) -> int:
     """Passes after which a pair at the threshold has been in a window with probability ``recall``, by the bits that a window tells apart."""
@@ -46,48 +50,65 @@ def vector_classes(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFra
     return own.select("vec_id", "h1", "h2"), classes.withColumn("dim", F.size("vector").cast("long"))
 
 
-def window_links(classes: DataFrame, n: int, threshold: float, window: int, recall: float, seed: int) -> DataFrame:
-    """Links (src, dst) between classes that suffice to unite what the passes verify."""
-    kind = classes.schema["vector"].dataType.simpleString()
-    passes = passes_needed(n, window, threshold, recall)
-    bits = 62
+def codes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+    """Each class's hyperplane bits in each pass: pass, dim, code, h1, h2."""
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims = batch.column(1).to_numpy()
+            dims = batch.column(0).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                x = unit(matrix(part.column(2)))
-                on = (x @ planes[dim] > 0).reshape(len(x), passes, bits)
-                value = on @ (1 << np.arange(bits, dtype=np.int64)[::-1])
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((passes, int(dim), BITS))
+                x = unit(matrix(part.column(3)))
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column(1), pa.array(value[:, p]), part.column(0), part.column(2)], names=["pass", "dim", "code", "rep", "vector"])
+                    value = (x @ planes[dim][p] > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p)), part.column(0), pa.array(value), part.column(1), part.column(2)], names=["pass", "dim", "code", "h1", "h2"])
 
-    coded = classes.select("rep", "dim", "vector").mapInArrow(code, f"pass int, dim long, code long, rep long, vector {kind}")
-    ordered = coded.repartitionByRange("pass", "dim", "code", F.xxhash64("rep")).sortWithinPartitions("pass", "dim", "code")
+    return classes.select("dim", "h1", "h2", "vector").mapInArrow(run, "pass long, dim long, code long, h1 long, h2 long")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                block = pa.Table.from_batches([batch.slice(start, 512)])
-                t = block if held is None else pa.concat_tables([held, block])
-                passed, dims, rep = t["pass"].to_numpy(), t["dim"].to_numpy(), t["rep"].to_numpy()
-                new = np.arange(len(rep)) >= len(rep) - block.num_rows
-                for p, d in {*zip(passed[new].tolist(), dims[new].tolist(), strict=True)}:
-                    at = np.flatnonzero((passed == p) & (dims == d))
-                    x = unit(matrix(t["vector"].take(pa.array(at))))
-                    a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-                    if len(a):
-                        root = union_find(len(at), a, b)
-                        far = np.flatnonzero(root != np.arange(len(at)))
-                        yield pa.RecordBatch.from_arrays([pa.array(rep[at[far]]), pa.array(rep[at[root[far]]])], names=["src", "dst"])
-                held = t.slice(max(0, len(rep) - window))
-
-    return ordered.mapInArrow(compare, "src long, dst long").distinct()
+
+def plan_passes(classes: DataFrame, threshold: float, window: int, recall: float, seed: int, probes: int = 2) -> tuple[int, int]:
+    """(bits of a run, passes) of the least work, by the runs that all rows make in ``probes`` passes.
+
+    Two vectors at the threshold agree in a random bit with a probability that
+    no other vector changes, so the passes follow from the bits alone, and what
+    the data decide is only how many comparisons the runs then cost. No bits
+    are one pass over all pairs.
+    """
+    full = codes(classes, probes, seed).groupBy("pass", "dim", "code").agg(F.count(F.lit(1)).alias("n"))
+    each = full.select("pass", "dim", "code", "n", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("bits"))
+    runs = each.groupBy("bits", "pass", "dim", F.floor(F.col("code") / F.pow(F.lit(2.0), BITS - F.col("bits"))).alias("run")).agg(F.sum("n").cast("double").alias("n"))
+    work = {r.bits: r.work for r in runs.groupBy("bits").agg(F.sum(F.col("n") * F.greatest("n", F.lit(2.0 * window))).alias("work")).collect()}
+    passes = {b: passes_needed(2**b, 1, threshold, recall) if b else 1 for b in work}
+    best = min(work, key=lambda b: (work[b] * passes[b], b), default=0)
+    return best, passes.get(best, 1)
+
+
+def run_links(classes: DataFrame, threshold: float, window: int, recall: float, block: int, seed: int) -> DataFrame:
+    """Links (src, dst) between classes that suffice to unite what the passes verify: in each, all pairs of a run of equal leading bits, in tiles."""
+    bits, passes = plan_passes(classes, threshold, window, recall, seed)
+    coded = materialize(codes(classes, passes, seed).withColumn("code", F.shiftright("code", BITS - bits)))
+    dealt = tiles(coded, ["pass", "dim", "code"], ["h1", "h2"], block).join(classes.select("h1", "h2", "rep", "vector"), ["h1", "h2"])
+
+    def one_tile(key: dict, t: pa.Table) -> dict | None:
+        own, rep = t["own"].to_numpy(), t["rep"].to_numpy()
+        x = unit(matrix(t["vector"]))
+        if key["tile_a"] == key["tile_b"]:
+            a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        else:
+            left, right = np.flatnonzero(own == key["tile_a"]), np.flatnonzero(own != key["tile_a"])
+            a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+            a, b = left[a], right[b]
+        if not len(a):
+            return None
+        root = union_find(len(rep), a, b)
+        far = np.flatnonzero(root != np.arange(len(rep)))
+        return {"src": rep[far], "dst": rep[root[far]]}
+
+    keys = ["pass", "dim", "code", "tile_a", "tile_b"]
+    return map_groups(dealt.select(*keys, "own", "rep", "vector"), keys, one_tile, "src long, dst long").distinct()
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", window: int = 64, recall: float = 0.999, block: int = 256, seed: int = 3) -> DataFrame:
@@ -99,13 +120,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths. Equal vectors are one class from the start:
     a group of copies of any size costs a row. Rows that share an id are one
-    node of the links. The number of passes follows from ``recall`` for a pair
-    just at the threshold and from the number of vectors.
+    node of the links. In some pass a pair just at the threshold is in one run
+    with probability ``recall``, however the vectors lie; runs shorter than
+    twice ``window`` aren't worth further passes.
     """
     rows, classes = vector_classes(df, id_col, vector_col)
     rows, classes = materialize(rows), materialize(classes)
-    n = classes.count()
-    links = window_links(classes, n, threshold, window, recall, seed)
+    links = run_links(classes, threshold, window, recall, block, seed)
     groups = materialize(components(links))
     members = classes.join(groups, classes["rep"] == groups["node"]).drop("node")
 

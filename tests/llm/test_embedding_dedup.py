@@ -35,3 +35,19 @@ def test_against_brute_force(spark):
 def test_empty_table_and_passes(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert passes_needed(10**9, 64, 0.95, 0.999) > passes_needed(10**5, 64, 0.95, 0.999) > 1
+
+
+def test_isolated_pairs_among_concentrated_vectors(spark):
+    rng = np.random.default_rng(5)
+    lay = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = lay(3.0 * np.eye(64)[0] + lay(rng.standard_normal((5000, 64))))  # cosines about 0.9
+    side = rng.standard_normal((500, 64))
+    side = lay(side - (side * x[:500]).sum(1, keepdims=True) * x[:500])
+    x = np.float32(np.concatenate([x, 0.955 * x[:500] + np.sqrt(1 - 0.955**2) * side]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = lay(x.astype(float))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.999 * near.sum()
+    assert all(got[i] <= n for i, n in enumerate(near.sum(1)))
