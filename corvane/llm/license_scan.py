@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance down directories.
 
-DataFrame expressions only: texts with a trigger word are cut into units (the
-whole text, its paragraphs, its lines), each unit's terms are counted and
-joined to the templates' weights, and the best cosine decides. Files without a
+DataFrame expressions only: texts are cut into units (the whole text, its
+paragraphs, its lines), units whose terms can reach the threshold are counted
+by term and joined to the templates' weights, and the best cosine decides. Files without a
 licence of their own take that of the nearest directory above them that has a
 licence file, by joins on paths.
 """
@@ -36,7 +36,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved."),
 ]
-#: A unit without any of these isn't scored; every template has one (fixed values).
+#: The SQL scores only units with one of these; the code scores all that can reach the threshold (fixed values).
 TRIGGER = "licen[cs]e|copyright|permission|rights reserved|public domain"
 #: What counts as a term, and the names of licence files (fixed values).
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -57,10 +57,25 @@ def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list
     return list(idf.items()), rows, math.log(1 + n) + 1
 
 
+def can_reach(part: Column, idf: list[tuple[str, float]], weights: list[tuple[int, str, str, float]], n: int, threshold: float) -> Column:
+    """Whether the terms of ``part`` suffice for a cosine of ``threshold`` to one of n templates, whatever else it has.
+
+    By Cauchy and Schwarz a cosine is at most the root of the summed squares of
+    the shared terms' weights.
+    """
+    squares = {t: [0.0] * n for t, _ in idf}
+    for i, _, t, w in weights:
+        squares[t][i] = w * w
+    known = F.create_map(*[c for t, v in squares.items() for c in (F.lit(t), F.array(*[F.lit(x) for x in v]))])
+    shared = F.array_intersect(F.regexp_extract_all(F.lower(part), F.lit(TERM), F.lit(0)), F.array(*[F.lit(t) for t in squares]))
+    sums = F.aggregate(shared, F.array(*[F.lit(0.0)] * n), lambda a, t: F.zip_with(a, F.element_at(known, t), lambda x, y: x + y))
+    return F.array_max(sums) >= (threshold - 1e-6) ** 2 - 1e-9
+
+
 def score_texts(files: DataFrame, threshold: float) -> DataFrame:
     """Best licence of each (id, text) that has one: id, own_license, own_score, whole (the whole text is a licence).
 
-    Only texts with a trigger word are cut up; units that agree are one.
+    Units that agree are one; those that can't reach ``threshold`` are left out before they move.
     """
     spark = files.sparkSession
     idf, weights, other = template_weights()
@@ -69,10 +84,9 @@ def score_texts(files: DataFrame, threshold: float) -> DataFrame:
     for i, _, t, w in weights:
         dense[t][i] = w
     vocabulary = F.broadcast(spark.createDataFrame([(t, v, dense[t]) for t, v in idf], "term string, idf double, weights array<double>"))  # the templates' terms
-    hit = files.where(F.lower("text").rlike(TRIGGER)).select("id", "text").distinct()
-    units = hit.select("id", F.xxhash64("text").alias("body"), F.posexplode(F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n")))).alias("unit", "part"))
+    units = files.where(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("body"), F.posexplode(F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n")))).alias("unit", "part"))
     # dealt by unit before they become terms, so that counts and sums need no other shuffle
-    units = units.where(F.lower("part").rlike(TRIGGER)).repartition("id", "body", "unit")
+    units = units.where(can_reach(F.col("part"), idf, weights, len(names), threshold)).dropDuplicates(["id", "body", "unit"]).repartition("id", "body", "unit")
     terms = units.select("id", "body", "unit", F.explode(F.regexp_extract_all(F.lower("part"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = terms.groupBy("id", "body", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(vocabulary, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other)))

@@ -37,3 +37,9 @@ def test_repeated_rows_and_empty_table(spark):
     got = scan(spark.createDataFrame([(1, "r", "a", "Released under the MIT License.", 0)] * 2, "id long, repo string, path string, text string, license int"), F.col("id"), F.col("repo"), F.col("path"), F.col("text")).collect()
     assert [r.license for r in got] == ["MIT", "MIT"]
     assert run(spark, []) == {}
+
+
+def test_lines_without_a_trigger_word_are_scored(spark):
+    lines = {"CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY 4.0": "CC-BY-4.0", "Released under the MIT": "MIT", "Under CC BY-SA 4.0": "CC-BY-SA-4.0", "This work is under a Creative Commons Attribution 4.0 International": "CC-BY-4.0"}
+    got = run(spark, [(i, f"r{i}", "LICENSE", f"{t}\nOther words.") for i, t in enumerate(lines)] + [(100 + i, f"r{i}", "src/a.py", "code") for i in range(len(lines))])
+    assert [got[i].own_license for i in range(len(lines))] == [got[100 + i].license for i in range(len(lines))] == [*lines.values()]
