@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 A document is the set of its shingles of five words. Each tree of the forest
-holds signatures of ``max_depth`` minimum hashes, sorted, as a prefix trie; the
-matched prefix is shortened from full depth one hash at a time until pairs at
-the threshold share a prefix in some tree with the target recall. Pairs that
-share a node there are screened by their whole signatures, united, and compared
-exactly, on whole texts.
+is a prefix trie of signatures of ``max_depth`` minimum hashes, held as a table
+sorted by tree and prefix. Documents are matched by their longest prefixes
+first; level by level the matched prefix is then shortened by one hash, and what
+the levels have found tells how much they still miss, until the target recall is
+reached. Plausible pairs are united, and compared exactly, on whole texts.
 """
 
 from __future__ import annotations
@@ -19,16 +19,41 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches_by_bytes, map_groups, materialize, release, tiles, union_find
+from corvane.llm.common import batches_by_bytes, map_groups, materialize, tiles, union_find
 from corvane.llm.graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def matched_depth(threshold: float, trees: int, max_depth: int, recall: float) -> int:
-    """The longest prefix under which a pair at the threshold meets in some tree with probability ``recall``."""
+#: Stands for a null id where ids are compared: greater than all others.
+NO_ID = (1 << 63) - 1
+
+
+def met(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """The probability that two documents of a similarity share a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def estimated_recall(found: np.ndarray, depth: int, trees: int, threshold: float, band: float = 0.05) -> float:
+    """How much of what lies just above the threshold has been found at ``depth``.
+
+    ``found[i]`` counts the pairs met so far of whose signature values i agree.
+    A pair that is met with probability p stands for 1 / p pairs; the estimate
+    is that of the hardest, the pairs within ``band`` above the threshold, and one
+    pair at the threshold itself is always among them, so that a table that
+    shows none is searched until such a pair would be found.
+    """
+    similarity = np.arange(len(found)) / (len(found) - 1)
+    hard = (similarity >= threshold) & (similarity < threshold + band)
+    count = found[hard].sum() + 1.0
+    stands_for = (found[hard] / met(similarity[hard], depth, trees)).sum() + 1.0 / met(threshold, depth, trees)
+    return float(count / stands_for)
+
+
+def shortest_prefix(threshold: float, trees: int, max_depth: int, recall: float) -> int:
+    """The depth at which the estimate is enough whatever is found: no level is shorter."""
     depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and met(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -120,16 +145,16 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def signatures(values: np.ndarray, whose: np.ndarray, n: int, count: int, seed: int) -> np.ndarray:
-    """``count`` minimum hashes (32 bits) of each of n texts; texts without shingles have the greatest value."""
+    """``count`` minimum hashes of each of n texts, each kept as 16 mixed bits; what texts without shingles have means nothing."""
     out = np.full((n, count), np.iinfo(np.uint32).max, np.uint32)
     if not len(values):
-        return out
+        return out.astype(np.uint16)
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
     starts = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
     for j in range(count):
         out[whose[starts], j] = np.minimum.reduceat(((values * a[j]) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+    return (mixed(out.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def slices(texts: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int]]:
@@ -144,121 +169,215 @@ def slices(texts: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = 16, max_depth: int = 6, recall: float = 0.999, screen: float = 0.5, block: int = 256, seed: int = 17) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id, n_links, component_id, kept.
 
     Words are runs of letters, digits and underscores, in lower case. Documents
     with equal words are a class (``class_id``: its smallest id), whatever its
     size; ``n_links`` counts the other rows whose shingle sets have a Jaccard
     similarity of ``threshold`` or more, ``component_id`` is the smallest
-    doc_id that links reach and ``kept`` whether it is the row's own. Texts
-    that are null or without words link with nothing. Rows that share an id are
-    one node of the links. A null id is the smallest of none but its own kind:
-    if a class has no other, its rows stay.
-
-    Candidates whose whole signatures agree in less than ``screen`` of their
-    values are let go: for a pair at the threshold that is many standard
-    deviations away. Groups of any size are compared whole, in tiles.
+    doc_id that links reach and ``kept`` whether the row is the one that stays:
+    it has that id, and of rows that share the id the component's first class.
+    Texts that are null or without words link with nothing and stay. Rows that
+    share an id but not their words are apart. A null id comes after all
+    others. Repeated rows are copies; an empty table gives no rows; other
+    columns play no part, whatever their names.
     """
-    batches_by_bytes(df.sparkSession)
-    depth = matched_depth(threshold, trees, max_depth, recall)
-    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    narrow = narrow.withColumn("x", F.xxhash64("t"))
+    rows, facts = resolved(df, id_col, text_col, **options)
+    out = rows.select("doc_id", "h1", "h2").join(facts, ["h1", "h2"], "left")
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    own = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    return out.select(
+        "doc_id",
+        F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(known("rep")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(known("component_id")).alias("component_id"),
+        (F.col("h1").isNull() | ((own == F.col("component_id")) & (F.col("cid") == F.col("first_class")))).alias("kept"),
+    )
+
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signed(narrow: DataFrame, size: int, n_hashes: int, seed: int) -> DataFrame:
+    """Each (doc_id, x, t) as doc_id, x, two digests of its words and its signature; null where it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 n = hi - lo
                 values, whose, digest = shingles(batch.column(1).slice(lo, n).to_pylist(), size)
-                sig = signatures(values, whose, n, trees * max_depth, seed)
+                sig = signatures(values, whose, n, n_hashes, seed)
                 full = np.bincount(whose, minlength=n) > 0
                 sig_bytes = [row.tobytes() if ok else None for row, ok in zip(sig, full, strict=True)]
                 h1, h2 = (pa.array(d.view(np.int64), mask=~full) for d in digest)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), h1, h2, pa.array(sig_bytes, pa.binary())], names=["doc_id", "x", "h1", "h2", "sig"])
 
-    rows = materialize(narrow.mapInArrow(sign, "doc_id long, x long, h1 long, h2 long, sig binary"))
-    full = rows.where(F.col("h1").isNotNull())
-    classes = materialize(full.groupBy("h1", "h2").agg(F.coalesce(F.min("doc_id"), F.lit(-(1 << 62))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
+    return narrow.mapInArrow(run, "doc_id long, x long, h1 long, h2 long, sig binary")
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def prefixes(classes: DataFrame, trees: int, max_depth: int, depth: int) -> DataFrame:
+    """(node, tree, cid) of each class in each tree; node is a digest of the tree and its first ``depth`` hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, trees, max_depth)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, trees, max_depth)
             for t in range(trees):
-                node = np.full(len(sig), t + 1, np.uint64)
-                for d in range(depth):
-                    node = mixed(node * MIX + sig[:, t, d].astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0), batch.column(1)], names=["node", "h1", "h2"])
-
-    met = classes.select("h1", "h2", "sig").mapInArrow(nodes, "node long, h1 long, h2 long")
-    shared = met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("node")
-    inside = met.join(shared, "node").join(classes.select("h1", "h2", "rep", "sig"), ["h1", "h2"])
-    dealt = tiles(inside, ["node"], ["h1", "h2"], block).select("node", "tile_a", "tile_b", "own", "rep", "sig")
-
-    def screened(key: dict, t: pa.Table) -> dict | None:
-        own, rep = t["own"].to_numpy(), t["rep"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(len(rep), -1)
-        left, right = [], []
-        for i in range(len(rep)):
-            j = np.arange(i + 1, len(rep)) if key["tile_a"] == key["tile_b"] else np.flatnonzero(own > own[i])
-            j = j[(sig[j] == sig[i]).mean(1) >= screen]
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(sig[:, t], t, depth).view(np.int64)), pa.array(np.full(len(sig), t, np.int32)), batch.column(0)], names=["node", "tree", "cid"])
+
+    return classes.select("cid", "sig").mapInArrow(run, "node long, tree int, cid long")
+
+
+def node_of(prefix: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    node = np.full(len(prefix), tree + 1, np.uint64)
+    for d in range(depth):
+        node = mixed(node * MIX + prefix[:, d].astype(np.uint64) + np.uint64(1))
+    return node
+
+
+def forest(classes: DataFrame, trees: int, max_depth: int, floor: int) -> DataFrame:
+    """The tries of the classes that share a prefix of ``floor`` hashes with another one: tree, prefix, cid, sig, sorted by tree and prefix.
+
+    ``prefix`` is the tree's part of the signature, greatest byte first, so that its
+    leading bytes are a node's path. Classes alone at the floor meet nobody at
+    any level and stay out.
+    """
+    near = prefixes(classes, trees, max_depth, floor)
+    shared = near.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("node")
+    inside = near.join(shared, "node").select("tree", "cid").join(classes.select("cid", "sig"), "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(batch.num_rows, trees, max_depth)
+            own = sig[np.arange(len(sig)), batch.column(0).to_numpy()].astype(">u2")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), batch.column(1), batch.column(2)], names=["tree", "prefix", "cid", "sig"])
+
+    tries = inside.select("tree", "cid", "sig").mapInArrow(run, "tree int, prefix binary, cid long, sig binary")
+    return materialize(tries.repartitionByRange("tree", "prefix").sortWithinPartitions("tree", "prefix"))
+
+
+def level_pairs(tries: DataFrame, depth: int, trees: int, max_depth: int, screen: float, block: int) -> DataFrame:
+    """What the nodes at ``depth`` add: links (src, dst) that unite plausible pairs, and in ``seen`` counts of new pairs by agreeing values.
+
+    A node's members whose prefixes part exactly at this depth are compared by their
+    whole signatures; those that go on together met at a longer prefix. A pair
+    counts as seen once, in the first tree where it meets.
+    """
+    node = F.xxhash64("tree", F.substring("prefix", 1, 2 * depth))
+    members = tries.withColumn("node", node)
+    full = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prefix").alias("kinds")).where(F.col("n") > 1)
+    if depth < max_depth:
+        full = full.where(F.col("kinds") > 1)
+    dealt = tiles(members.join(full.select("node"), "node"), ["node"], ["cid"], block).select("node", "tile_a", "tile_b", "own", "tree", "cid", "sig")
+
+    def compared(key: dict, t: pa.Table) -> dict | None:
+        own, cid, tree = t["own"].to_numpy(), t["cid"].to_numpy(), int(t["tree"][0].as_py())
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(cid), trees, max_depth)
+        left, right, seen = [], [], np.zeros(trees * max_depth + 1, np.int64)
+        for i in range(len(cid)):
+            j = np.arange(i + 1, len(cid)) if key["tile_a"] == key["tile_b"] else np.flatnonzero(own > own[i])
+            if depth < max_depth:
+                j = j[sig[j, tree, depth] != sig[i, tree, depth]]
+            if not len(j):
+                continue
+            same = sig[j] == sig[i]
+            agree = same.sum(axis=(1, 2))
+            likely = agree >= screen * trees * max_depth
+            j, same, agree = j[likely], same[likely], agree[likely]
+            shared = np.logical_and.accumulate(same, axis=2).sum(2)  # the common prefix in each tree
+            new = (shared.max(1, initial=0) == depth) & (np.argmax(shared >= depth, axis=1) == tree)
+            seen += np.bincount(agree[new], minlength=len(seen))
             left.append(np.full(len(j), i))
             right.append(j)
-        return spanning(rep, np.concatenate(left), np.concatenate(right))
+        links = spanning(cid, np.concatenate([cid[:0], *left]), np.concatenate([cid[:0], *right])) or {"src": cid[:0], "dst": cid[:0]}
+        kinds = np.flatnonzero(seen)
+        none = np.full(len(kinds), -1)
+        n = len(links["src"])
+        return {
+            "src": np.r_[links["src"], none], "dst": np.r_[links["dst"], none],
+            "agree": np.r_[np.full(n, -1), kinds], "seen": np.r_[np.zeros(n, np.int64), seen[kinds]],
+        }
+
+    return map_groups(dealt, ["node", "tile_a", "tile_b"], compared, "src long, dst long, agree long, seen long")
+
+
+def plausible_links(classes: DataFrame, threshold: float, trees: int, max_depth: int, recall: float, screen: float, block: int) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Links between classes that may be near, level by level, and each level's depth and estimated recall."""
+    floor = shortest_prefix(threshold, trees, max_depth, recall)
+    tries = forest(classes, trees, max_depth, floor)
+    found, levels, links = np.zeros(trees * max_depth + 1, np.int64), [], None
+    for depth in range(max_depth, floor - 1, -1):
+        level = materialize(level_pairs(tries, depth, trees, max_depth, screen, block))
+        for r in level.where(F.col("agree") >= 0).groupBy("agree").agg(F.sum("seen").alias("n")).collect():  # at most a row for each signature value
+            found[r.agree] += r.n
+        own = level.where(F.col("agree") < 0).select("src", "dst")
+        links = own if links is None else links.unionByName(own)
+        levels.append((depth, estimated_recall(found, depth, trees, threshold)))
+        if levels[-1][1] >= recall:
+            break
+    return links.distinct(), levels
+
+
+def resolved(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, size: int = 5, trees: int = 16, max_depth: int = 6, recall: float = 0.999, screen: float = 0.5, block: int = 256, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, x, h1, h2; x is a digest of the text), and what is known of each class of equal words (h1, h2).
+
+    Of a class: cid, rep (smallest id), n_links, component (smallest cid),
+    component_id (smallest id) and first_class (the class of that id).
 
-    plausible = map_groups(dealt, ["node", "tile_a", "tile_b"], screened, "src long, dst long").distinct()
+    Candidates whose whole signatures agree in less than ``screen`` of their
+    values are let go: for a pair at the threshold that is many standard
+    deviations away. Groups of any size are compared whole, in tiles.
+    """
+    batches_by_bytes(df.sparkSession)
+    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    narrow = narrow.withColumn("x", F.xxhash64("t"))
+    rows = materialize(signed(narrow, size, trees * max_depth, seed))
+    full = rows.where(F.col("h1").isNotNull())
+    some = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), F.col("x")))
+    classes = full.groupBy("h1", "h2").agg(some.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.rep", "first.x", "copies", "sig"))
+    plausible, _ = plausible_links(classes, threshold, trees, max_depth, recall, screen, block)
     groups = materialize(components(plausible))
-    members = classes.select("h1", "h2", "rep", "copies").join(groups, F.col("rep") == groups["node"]).drop("node")
-    members = materialize(members)
+    members = materialize(classes.drop("sig").join(groups, F.col("cid") == groups["node"]).drop("node"))
 
-    # the texts of grouped classes' smallest documents alone are read again, whole
-    wanted = rows.select("doc_id", "x", "h1", "h2").join(members, ["h1", "h2"]).where(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))) == F.col("rep"))
-    wanted = wanted.select("doc_id", "x", "h1", "h2", "rep", "copies", "component").dropDuplicates(["h1", "h2"])
-    texts = wanted.join(narrow.withColumnsRenamed({"doc_id": "id_", "x": "x_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("x") == F.col("x_")))
+    # the texts of grouped classes' first documents alone are read again, whole
+    wanted = members.select("cid", "copies", "component", F.col("rep").alias("rep_"), F.col("x").alias("x_"))
+    texts = narrow.join(wanted, (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("rep_")) & (F.col("x") == F.col("x_")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = batch.schema.get_field_index("t")
             for lo, hi in slices(batch.column(body)):
                 part = batch.slice(lo, hi - lo)
-                values, whose, digest = shingles(part.column(body).to_pylist(), size)
+                values, whose, _ = shingles(part.column(body).to_pylist(), size)
                 cut = np.searchsorted(whose, np.arange(hi - lo + 1))
-                same = digest[0].view(np.int64) == part.column(1).to_numpy()  # another text under the same id isn't this class
                 packed = [np.unique(values[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (1, 2, 3, 4, 5)), pa.array(packed, pa.binary())], names=["h1", "h2", "rep", "copies", "component", "set"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2)), pa.array(packed, pa.binary())], names=["cid", "copies", "component", "set"])
 
-    exact = texts.select("doc_id", "h1", "h2", "rep", "copies", "component", "t").mapInArrow(sets, "h1 long, h2 long, rep long, copies long, component long, set binary").dropDuplicates(["h1", "h2"])
-    dealt = tiles(materialize(exact), ["component"], ["h1", "h2"], block).select("component", "tile_a", "tile_b", "own", "h1", "h2", "rep", "copies", "set")
+    exact = texts.select("cid", "copies", "component", "t").mapInArrow(sets, "cid long, copies long, component long, set binary").dropDuplicates(["cid"])
+    dealt = tiles(materialize(exact), ["component"], ["cid"], block).select("component", "tile_a", "tile_b", "own", "cid", "copies", "set")
 
     def compared(key: dict, t: pa.Table) -> dict | None:
-        own, rep, copies = t["own"].to_numpy(), t["rep"].to_numpy(), t["copies"].to_numpy()
+        own, cid, copies = t["own"].to_numpy(), t["cid"].to_numpy(), t["copies"].to_numpy()
         each = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
         counts = np.array([len(x) for x in each])
-        _, column = np.unique(np.concatenate(each), return_inverse=True)
-        common = overlaps(column, np.repeat(np.arange(len(rep)), counts), len(rep))
+        common = common_values(each)
         near = common >= threshold * (counts[:, None] + counts[None, :] - common) - 1e-9
         np.fill_diagonal(near, False)
         if key["tile_a"] != key["tile_b"]:
             near &= own[:, None] != own[None, :]
         a, b = np.nonzero(np.triu(near))
-        root = union_find(len(rep), a, b)
-        return {"h1": t["h1"].to_numpy(), "h2": t["h2"].to_numpy(), "rep": rep, "links": near @ copies, "root": rep_of(rep, root)}
-
-    counted = materialize(map_groups(dealt, ["component", "tile_a", "tile_b"], compared, "h1 long, h2 long, rep long, links long, root long"))
-    joined = components(counted.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    linked = counted.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
-    facts = classes.select("h1", "h2", "copies", "rep").join(linked, ["h1", "h2"], "left").join(joined, F.col("rep") == F.col("node"), "left")
-    facts = facts.select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "h1", "h2").join(facts, ["h1", "h2"], "left")
-    known = lambda c: F.when(F.col(c) == -(1 << 62), F.lit(None)).otherwise(F.col(c))  # noqa: E731  a null id stood first
-    return out.select(
-        "doc_id",
-        F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(known("rep")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(known("component")).alias("component_id"),
-        (F.col("h1").isNull() | (F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))) == F.col("component"))).alias("kept"),
-    )
+        return {"cid": cid, "links": near @ copies, "root": cid[union_find(len(cid), a, b)]}
+
+    counted = materialize(map_groups(dealt, ["component", "tile_a", "tile_b"], compared, "cid long, links long, root long"))
+    joined = components(counted.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
+    linked = counted.groupBy("cid").agg(F.sum("links").alias("links"))
+    facts = classes.select("cid", "h1", "h2", "copies", "rep").join(linked, "cid", "left").join(joined, F.col("cid") == F.col("node"), "left")
+    facts = facts.select("cid", "h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    facts = materialize(facts)
+    first = facts.groupBy("component").agg(F.min(F.struct("rep", "cid")).alias("first"))
+    return rows.drop("sig"), facts.join(first, "component").select("cid", "h1", "h2", "rep", "n_links", "component", F.col("first.rep").alias("component_id"), F.col("first.cid").alias("first_class"))
 
 
 def spanning(rep: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict | None:
@@ -270,36 +389,55 @@ def spanning(rep: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict | Non
     return {"src": rep[far], "dst": rep[root[far]]}
 
 
-def rep_of(rep: np.ndarray, root: np.ndarray) -> np.ndarray:
-    return rep[root]
+def common_values(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share.
 
-
-def overlaps(column: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """How many values each two of n sets share: products of 0/1 blocks over the values, a bounded number at a time."""
-    total = np.zeros((n, n), np.float32)
+    The sets' values are laid out by value; each value that several sets hold adds
+    one to each two of its holders. Values are taken in blocks of bounded
+    size, as products of 0/1 matrices of the shared values alone.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    values, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = holders > 1
+    keep = shared[column]
+    column, row = (np.cumsum(shared) - 1)[column[keep]], row[keep]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    width = int(column[-1]) + 1 if len(column) else 0
-    step = max(1, min(width, 4_000_000 // n))
+    total = np.zeros((n, n), np.float32)
+    width = int(shared.sum())
+    step = max(1, 4_000_000 // n)
     for lo in range(0, width, step):
         a, b = np.searchsorted(column, [lo, lo + step])
-        one = np.zeros((n, step), np.float32)
+        one = np.zeros((n, min(step, width - lo)), np.float32)
         one[row[a:b], column[a:b] - lo] = 1
         total += one @ one.T
+    total[np.arange(n), np.arange(n)] = [len(x) for x in sets]
     return total.astype(np.int64)
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps: one of each group, the one with the smallest id.
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of ``docs`` that stay: one of each group, all that link with nothing, with their own columns, whatever their names.
 
-    Where rows share that id, those with different texts stay, and of rows
-    that repeat id and text one does.
+    Of a group the document with the smallest id stays (see :func:`near_duplicates`).
+    Rows that repeat id and text are copies, so one of them stays; rows with one
+    id and different words are documents of their own.
     """
-    kept = near_duplicates(docs, **options).where("kept").groupBy(F.col("doc_id").alias("kept_id_")).agg((F.count(F.lit(1)) > 1).alias("again_"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id_"))
-    kept = materialize(kept)
-    release(docs.sparkSession)
-    if kept.where("again_").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.where("NOT again_"), same, "left_semi")
-    return once.unionByName(docs.join(kept.where("again_"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows, facts = resolved(docs, id_col, text_col, **options)
+    whole = rows.join(facts.select("h1", "h2", "component"), ["h1", "h2"], "left")
+    own = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    # of each component one id and text; a text without words is a component of its own
+    stays = whole.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(own.alias("id"), "x")).alias("first")).select("first.id", "first.x")
+    wordless = whole.where("component IS NULL").select(own.alias("id"), "x").distinct()
+    per = rows.groupBy(own.alias("id"), F.col("x")).agg(F.count(F.lit(1)).alias("n"))
+    stay = materialize(per.join(stays.unionByName(wordless).distinct().withColumn("stays", F.lit(True)), ["id", "x"], "left"))
+    body = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])
+    at = {c: F.col(f"k{i}") for i, c in enumerate(docs.columns)}
+    ident, digest = F.coalesce(at[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(at[text_col], F.lit("")))
+    goes = stay.where("stays IS NULL OR n > 1").select("id", "x")
+    kept = body.join(goes, (ident == goes["id"]) & (digest == goes["x"]), "left_anti")
+    again = stay.where("stays AND n > 1").select("id", "x")
+    if not again.isEmpty():
+        once = body.join(again, (ident == again["id"]) & (digest == again["x"]), "left_semi")
+        kept = kept.unionByName(once.withColumns({"i_": ident, "x_": digest}).dropDuplicates(["i_", "x_"]).drop("i_", "x_"))
+    return kept.select(*[at[c].alias(c) for c in docs.columns])
