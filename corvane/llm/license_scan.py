@@ -1,120 +1,192 @@
-"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance down directories.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance down directories.
 
 DataFrame expressions only: texts are cut into units (the whole text, its
-paragraphs, its lines), units whose terms can reach the threshold are counted
-by term and joined to the templates' weights, and the best cosine decides. Files without a
-licence of their own take that of the nearest directory above them that has a
-licence file, by joins on paths.
+paragraphs, its lines, and runs of lines in the templates' words), units whose
+terms can reach the threshold are counted by term and joined to the templates' weights,
+and the best cosine decides. Files without a licence of their own take that
+of the nearest directory above them that has a licence file, by joins on paths.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import materialize
+
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_MIT_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+
 #: Notices and short texts of public licences (fixed values).
-TEMPLATES: list[tuple[str, str]] = [
+SINGLE = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("BSD-2-Clause", _BSD_2),
+    ("BSD-2-Clause", f"{_BSD_2} {_AS_IS}"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", f"{_BSD_3} {_AS_IS}"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal public domain dedication."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_AS_IS}"),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_MIT_AS_IS}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+]
+#: Licences whose notices differ in name and version alone, and the notices (fixed values).
+GNU = [("GPL", "General", "2"), ("GPL", "General", "3"), ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3"), ("LGPL", "Library General", "2"), ("AGPL", "Affero General", "3")]
+GNU_NOTICES = [
+    "This work is licensed under the GNU {name} Public License, version {version}.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public License version {version} as published by the Free Software Foundation.",
 ]
-#: The SQL scores only units with one of these; the code scores all that can reach the threshold (fixed values).
-TRIGGER = "licen[cs]e|copyright|permission|rights reserved|public domain"
+COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+COMMONS_NOTICES = ["Licensed under CC {code} {version}.", "This work is licensed under a Creative Commons {name} {version} {port} License."]
+TEMPLATES: list[tuple[str, str]] = sorted([
+    *SINGLE,
+    *((f"{code}-{version if '.' in version else version + '.0'}", t.format(name=name, version=version)) for code, name, version in GNU for t in GNU_NOTICES),
+    *((f"CC-{code}-{version}", t.format(code=code, name=name, version=version, port=port)) for code, name in COMMONS for version, port in (("3.0", "Unported"), ("4.0", "International")) for t in COMMONS_NOTICES),
+])
+#: Words that tell near licences apart: a unit and its template have the same ones (fixed values).
+QUALIFIERS = ["affero", "lesser", "nc", "nd", "noncommercial", "noderivatives", "sa", "sharealike"]
 #: What counts as a term, and the names of licence files (fixed values).
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 THRESHOLD = 0.8
+#: A line belongs to a run if at least this share of its terms are templates' terms; ends a run otherwise.
+DENSE, BREAK = 0.6, "\u0001"
+#: Blank lines, between paragraphs.
+BLANK = r"\n[ \t\r]*\n"
+
+
+def load_templates(folder: str) -> list[tuple[str, str]]:
+    """Further templates from a folder of licence texts on the driver: each file's name is the licence."""
+    return sorted((f.stem if f.suffix in (".txt", ".md") else f.name, f.read_text(errors="replace")) for f in Path(folder).iterdir() if f.is_file())
 
 
-def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[str, float]], list[tuple[int, str, str, float]], float]:
-    """Each term's idf over the templates; the templates' unit vectors (number, licence, term, weight); idf of other terms."""
+@lru_cache(maxsize=4)
+def template_weights(templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES)) -> tuple[dict[str, float], list[tuple[int, str, str, float, int, int]], dict[int, int], float]:
+    """What scoring needs of the templates.
+
+    Each term's idf over the templates; rows of (template, licence, term,
+    weight, needed, barred), weights of unit length; how many terms each template
+    needs; and the idf of terms that no template has. A unit needs its template's
+    qualifiers and version numbers, and is barred by another qualifier.
+    """
     counts = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
     n = len(templates)
     df = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in sorted(df.items())}
-    rows = []
-    for i, ((name, _), c) in enumerate(zip(templates, counts, strict=True)):
+    rows, needs = [], {}
+    for i, ((name, text), c) in enumerate(zip(templates, counts, strict=True)):
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
-        rows += [(i, name, t, k * idf[t] / norm) for t, k in sorted(c.items())]
-    return list(idf.items()), rows, math.log(1 + n) + 1
+        version = re.search(r"(?i)\b(?:version|v\.|license|universal|cc [a-z-]+|\w*attribution[\w-]*) ?([0-9]+(?:\.[0-9]+)?)\b", text)
+        must = {t for t in c if t in QUALIFIERS} | ({version[1]} & set(c) if version and len(c) < 500 else set())
+        rows += [(i, name, t, k * idf[t] / norm, int(t in must), 0) for t, k in sorted(c.items())]
+        rows += [(i, name, t, 0.0, 0, 1) for t in QUALIFIERS if t not in c and len(c) < 500]
+        needs[i] = len(must)
+    return idf, rows, needs, math.log(1 + n) + 1
+
 
+def terms_of(part: Column) -> Column:
+    return F.regexp_extract_all(F.lower(part), F.lit(TERM), F.lit(0))
 
-def can_reach(part: Column, idf: list[tuple[str, float]], weights: list[tuple[int, str, str, float]], n: int, threshold: float) -> Column:
-    """Whether the terms of ``part`` suffice for a cosine of ``threshold`` to one of n templates, whatever else it has.
+
+def can_reach(part: Column, idf: dict[str, float], rows: list, threshold: float) -> Column:
+    """Whether the terms of ``part`` suffice for a cosine of ``threshold`` to a template, whatever else it has.
 
     By Cauchy and Schwarz a cosine is at most the root of the summed squares of
     the shared terms' weights.
     """
-    squares = {t: [0.0] * n for t, _ in idf}
-    for i, _, t, w in weights:
-        squares[t][i] = w * w
-    known = F.create_map(*[c for t, v in squares.items() for c in (F.lit(t), F.array(*[F.lit(x) for x in v]))])
-    shared = F.array_intersect(F.regexp_extract_all(F.lower(part), F.lit(TERM), F.lit(0)), F.array(*[F.lit(t) for t in squares]))
-    sums = F.aggregate(shared, F.array(*[F.lit(0.0)] * n), lambda a, t: F.zip_with(a, F.element_at(known, t), lambda x, y: x + y))
-    return F.array_max(sums) >= (threshold - 1e-6) ** 2 - 1e-9
+    n = max((r[0] for r in rows), default=-1) + 1
+    squares = {t: [0.0] * n for t in idf}
+    for i, _, t, w, _, barred in rows:
+        if not barred:
+            squares[t][i] = w * w
+    known = F.from_json(F.lit(json.dumps(squares)), "map<string, array<double>>")  # one constant, whatever its size
+    shared = F.array_intersect(terms_of(part), F.from_json(F.lit(json.dumps([*squares])), "array<string>"))
+    sums = F.aggregate(shared, F.array_repeat(F.lit(0.0), n), lambda a, t: F.zip_with(a, F.element_at(known, t), lambda x, y: x + y))
+    return F.coalesce(F.array_max(sums) >= (threshold - 1e-6) ** 2 - 1e-9, F.lit(False))
+
+
+def units_of(text: Column, vocabulary: list[str]) -> Column:
+    """The whole text, its paragraphs, its lines, and its runs of lines that are mostly in the templates' words.
+
+    A run goes on over lines without terms, so a notice of several lines or
+    paragraphs is one, whatever stands before and after it.
+    """
+    lines = F.split(text, "\n")
+    own = lambda line: F.size(F.filter(terms_of(line), lambda t: t.isin(vocabulary))) >= DENSE * F.size(terms_of(line))
+    runs = F.split(F.array_join(F.transform(lines, lambda x: F.when(own(x), x).otherwise(F.lit(BREAK))), "\n"), BREAK)
+    return F.array_distinct(F.concat(F.array(text), F.split(text, BLANK), lines, runs))
 
 
-def score_texts(files: DataFrame, threshold: float) -> DataFrame:
+def score_texts(files: DataFrame, threshold: float, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES)) -> DataFrame:
     """Best licence of each (id, text) that has one: id, own_license, own_score, whole (the whole text is a licence).
 
-    Units that agree are one; those that can't reach ``threshold`` are left out before they move.
+    Texts, and then units, that can't reach ``threshold`` are left out before
+    they move. A unit's terms meet the templates' weights by term, so only terms that both
+    have are multiplied.
     """
     spark = files.sparkSession
-    idf, weights, other = template_weights()
-    names = [name for name, _ in TEMPLATES]
-    dense = {t: [0.0] * len(names) for t, _ in idf}
-    for i, _, t, w in weights:
-        dense[t][i] = w
-    vocabulary = F.broadcast(spark.createDataFrame([(t, v, dense[t]) for t, v in idf], "term string, idf double, weights array<double>"))  # the templates' terms
-    units = files.where(F.col("text").isNotNull()).select("id", F.xxhash64("text").alias("body"), F.posexplode(F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", "\n")))).alias("unit", "part"))
+    idf, rows, needs, other = template_weights(templates)
+    entry = {t: [] for t in sorted({r[2] for r in rows})}
+    for i, name, t, w, needed, barred in rows:
+        entry[t].append((i, name, w, needed, barred, needs[i]))
+    kind = "term string, idf double, entries array<struct<template: int, license: string, weight: double, needed: int, barred: int, needs: int>>"
+    vocabulary = F.broadcast(spark.createDataFrame([(t, idf.get(t, other), e) for t, e in entry.items()], kind))  # the templates' terms
+    likely = files.where(F.col("text").isNotNull() & can_reach(F.col("text"), idf, rows, threshold))
+    units = likely.select("id", F.xxhash64("text").alias("body"), F.posexplode(units_of(F.col("text"), list(idf))).alias("unit", "part"))
     # dealt by unit before they become terms, so that counts and sums need no other shuffle
-    units = units.where(can_reach(F.col("part"), idf, weights, len(names), threshold)).dropDuplicates(["id", "body", "unit"]).repartition("id", "body", "unit")
-    terms = units.select("id", "body", "unit", F.explode(F.regexp_extract_all(F.lower("part"), F.lit(TERM), F.lit(0))).alias("term"))
-    tf = terms.groupBy("id", "body", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    keys = ["id", "body", "unit"]
+    units = units.where(can_reach(F.col("part"), idf, rows, threshold)).dropDuplicates(keys).repartition(*keys)
+    tf = units.select(*keys, F.explode(terms_of(F.col("part"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(vocabulary, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    known = F.collect_list(F.when(F.col("weights").isNotNull(), F.struct("v", "weights")))  # no more than the templates' terms
-    sums = tf.groupBy("id", "body", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), known.alias("known"))
-    add = lambda dots, x: F.zip_with(dots, x["weights"], lambda d, w: d + x["v"] * w)
-    dots = sums.withColumn("dots", F.aggregate("known", F.array(*[F.lit(0.0)] * len(names)), add))
-    each = F.transform(F.arrays_zip(F.col("dots").alias("dot"), F.array(*[F.lit(n) for n in names]).alias("license")), lambda x: F.struct(x["license"].alias("license"), F.round(x["dot"] / F.col("norm"), 6).alias("score")))
-    scored = dots.select("id", "unit", F.explode(F.filter(each, lambda x: x["score"] >= threshold)).alias("x")).select("id", "unit", "x.license", "x.score")
+    known = F.collect_list(F.when(F.col("entries").isNotNull(), F.struct("v", "entries")))  # no more than the templates' terms
+    sums = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), known.alias("known"))
+    met = sums.select(*keys, "norm", F.explode("known").alias("k")).select(*keys, "norm", "k.v", F.explode("k.entries").alias("e"))
+    per = met.groupBy(*keys, "norm", "e.template", "e.license", "e.needs").agg(F.sum(F.col("v") * F.col("e.weight")).alias("dot"), F.sum("e.needed").alias("has"), F.max("e.barred").alias("barred"))
+    scored = per.where((F.col("has") == F.col("needs")) & (F.col("barred") == 0)).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     best = F.min_by("license", F.struct(-F.col("score"), F.col("license")))
     return scored.groupBy("id").agg(best.alias("own_license"), F.max("score").alias("own_score"), F.bool_or(F.col("unit") == 0).alias("whole"))
 
 
-def scan(df: DataFrame, id_col: Column, repo: Column, path: Column, text: Column, threshold: float = THRESHOLD) -> DataFrame:
+def scan(df: DataFrame, id_col: Column, repo: Column, path: Column, text: Column, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row for each row of ``df``: id, path, own_license, own_score, license, inherited_from.
 
     ``own_license`` is the licence of the template with the greatest cosine to
     a unit of the whole text, if that reaches ``threshold`` (ties: first by
-    name). A file whose whole text is a licence, or whose name is that of one,
+    name). A template's version and qualifiers (Lesser, NonCommercial, ...) must be in the
+    unit, and no other qualifier may be. A file whose whole text is a licence, or whose name is that of one,
     gives its licence to its directory; of several in a directory, the one
     with the greatest score does (then first by path). A file without its own
     takes that of the nearest directory at or above its own in its repository,
     named in ``inherited_from`` ('' is the root). Null texts have no licence; a
     null repository or path is a repository or root file of its own kind: it
-    gives and takes nothing. Rows with one id are one file.
+    gives and takes nothing. Rows with one id are one file; an empty table
+    gives no rows; other columns play no part, whatever their names. Texts
+    are read whole, however long.
     """
     files = df.select(id_col.alias("id"), repo.alias("repo"), path.alias("path"), text.alias("text"))
-    own = score_texts(files, threshold).withColumnRenamed("id", "own_id")
+    own = materialize(score_texts(files, threshold, tuple(templates))).withColumnRenamed("id", "own_id")  # scored once; three joins read it
     paths = files.select("id", "repo", "path")
     known = paths.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
     parts = F.split("path", "/")

@@ -28,22 +28,28 @@ FROM p
 
 
 def _licenses() -> str:
-    from corvane.llm.license_scan import FILE_NAME, TERM, THRESHOLD, TRIGGER, template_weights
+    """Every unit of every text against every template, with nothing left out beforehand."""
+    from corvane.llm.license_scan import BLANK, BREAK, DENSE, FILE_NAME, TERM, THRESHOLD, template_weights
 
-    idf, weights, other = template_weights()
-    idf_rows = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in idf)
-    weight_rows = ", ".join(f"({i}, '{n}', '{t}', {w!r}::DOUBLE)" for i, n, t, w in weights)
+    idf, weights, needs, other = template_weights()
+    idf_rows = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in idf.items())
+    weight_rows = ", ".join(f"({i}, '{n}', '{t}', {w!r}::DOUBLE, {needed}, {barred}, {needs[i]})" for i, n, t, w, needed, barred in weights)
+    words = ", ".join(f"'{t}'" for t in idf)
     return rf"""
-WITH idf(term, idf) AS (VALUES {idf_rows}), weights(template, license, term, weight) AS (VALUES {weight_rows}),
+WITH idf(term, idf) AS (VALUES {idf_rows}), weights(template, license, term, weight, needed, barred, needs) AS (VALUES {weight_rows}),
 files AS (
   SELECT doc_id AS id, source AS repo, text,
     'part' || (doc_id // 1000) || '/set' || (doc_id // 20) || '/' || CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path
   FROM documents
+), cut AS (
+  SELECT id, text, md5(text) AS body, string_split(text, chr(10)) AS lines FROM (SELECT DISTINCT id, text FROM files WHERE text IS NOT NULL)
+), marked AS (
+  SELECT *, array_to_string(list_transform(lines, lambda x: CASE WHEN
+      len(list_filter(regexp_extract_all(lower(x), '{TERM}'), lambda t: list_contains([{words}], t))) >= {DENSE} * len(regexp_extract_all(lower(x), '{TERM}'))
+      THEN x ELSE chr({ord(BREAK)}) END), chr(10)) AS runs FROM cut
 ), units AS (
-  SELECT id, md5(text) AS body, p AS part, p = text AS whole
-  FROM (SELECT DISTINCT id, text FROM files WHERE regexp_matches(lower(text), '{TRIGGER}')),
-    LATERAL (SELECT unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\n[ \t\r]*\n'), string_split(text, chr(10))))) AS p)
-  WHERE regexp_matches(lower(p), '{TRIGGER}')
+  SELECT id, body, p AS part, p = text AS whole
+  FROM marked, LATERAL (SELECT unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '{BLANK}'), lines, string_split(runs, chr({ord(BREAK)}))))) AS p)
 ), tf AS (
   SELECT id, body, part, whole, term, count(*) AS tf
   FROM (SELECT id, body, part, whole, unnest(regexp_extract_all(lower(part), '{TERM}')) AS term FROM units) GROUP BY ALL
@@ -52,7 +58,8 @@ files AS (
 ), norms AS (
   SELECT id, body, part, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL
 ), dots AS (
-  SELECT id, body, part, whole, template, license, sum(v * weight) AS dot FROM v JOIN weights USING (term) GROUP BY ALL
+  SELECT id, body, part, whole, template, license, sum(v * weight) AS dot FROM v JOIN weights USING (term) GROUP BY id, body, part, whole, template, license, needs
+  HAVING sum(needed) = needs AND max(barred) = 0
 ), scored AS (
   SELECT id, whole, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (id, body, part) WHERE round(dot / norm, 6) >= {THRESHOLD}
 ), own AS (

@@ -43,3 +43,77 @@ def test_lines_without_a_trigger_word_are_scored(spark):
     lines = {"CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY 4.0": "CC-BY-4.0", "Released under the MIT": "MIT", "Under CC BY-SA 4.0": "CC-BY-SA-4.0", "This work is under a Creative Commons Attribution 4.0 International": "CC-BY-4.0"}
     got = run(spark, [(i, f"r{i}", "LICENSE", f"{t}\nOther words.") for i, t in enumerate(lines)] + [(100 + i, f"r{i}", "src/a.py", "code") for i in range(len(lines))])
     assert [got[i].own_license for i in range(len(lines))] == [got[100 + i].license for i in range(len(lines))] == [*lines.values()]
+
+
+NOTICES = {  # public notices, as projects print them
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Affero General Public License for more details.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-2.1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+}
+
+
+def test_near_licences_are_told_apart(spark):
+    got = run(spark, [(i, f"r{i}", "LICENSE", t) for i, t in enumerate(NOTICES.values())])
+    assert [got[i].own_license for i in range(len(NOTICES))] == [*NOTICES]
+
+
+def test_a_version_or_qualifier_that_no_template_has_is_no_match(spark):
+    got = run(spark, [(1, "a", "f", "This work is licensed under the GNU General Public License, version 7."), (2, "b", "f", "Licensed under CC BY-NC-SA 2.5."), (3, "c", "f", "Lesser: Released under the MIT License.")])
+    assert [got[i].own_license for i in (1, 2)] == [None, None] and got[3].own_license is None
+
+
+def test_headers_of_several_lines_before_code(spark):
+    import textwrap
+
+    full = ["MIT", "GPL-3.0", "ISC", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "Zlib", "MPL-2.0"]
+    code = "\n".join(f"    total{i} = compute(total{i}, index) + {i}" for i in range(30))
+    rows = []
+    for i, name in enumerate(full):
+        notice = max((t for n, t in TEMPLATES if n == name), key=len)
+        header = "\n".join(f"# {x}" for x in textwrap.wrap(notice, 78))
+        rows.append((i, f"r{i}", "src/a.py", f"#!/usr/bin/env python\n{header}\n{code}"))
+    got = run(spark, rows)
+    assert [got[i].own_license for i in range(len(full))] == full
+
+
+def test_what_is_left_out_beforehand_would_not_match(spark):
+    """Brute force in Python over the units of random mixtures of notices and prose."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from corvane.llm.license_scan import QUALIFIERS, TERM, template_weights
+
+    idf, rows, needs, other = template_weights()
+    vectors = {}
+    for i, name, t, w, needed, barred in rows:
+        x = vectors.setdefault(i, (name, {}, set(), set()))
+        if barred:
+            x[3].add(t)
+        else:
+            x[1][t] = w
+            if needed:
+                x[2].add(t)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        words = rng.choice(TEMPLATES)[1].split()
+        mixed = [w for w in words if rng.random() < rng.choice([0.8, 0.9, 1.0])] + [f"zq{rng.randrange(99)}" for _ in range(rng.randrange(1 + len(words) // 4))]
+        texts.append(" ".join(mixed))
+
+    def brute(text):
+        c = Counter(re.findall(TERM, text.lower()))
+        norm = math.sqrt(sum((k * idf.get(t, other)) ** 2 for t, k in c.items()))
+        scores = [(-round(sum(k * idf.get(t, other) * v.get(t, 0) for t, k in c.items()) / norm, 6), name) for name, v, must, bars in vectors.values() if must <= set(c) and not bars & set(c)]
+        best = min(scores, default=(0, None))
+        return best[1] if -best[0] >= 0.8 else None
+
+    got = run(spark, [(i, f"r{i}", "f", t) for i, t in enumerate(texts)])
+    want = [brute(t) for t in texts]
+    assert [got[i].own_license for i in range(len(texts))] == want and 10 < sum(w is not None for w in want) < 60
+    assert set(QUALIFIERS) >= {"lesser", "affero"}
