@@ -4,7 +4,8 @@ Documents become token pieces that fit a sequence. Pieces are dealt at random
 into groups of bounded size; each group is evolved on several islands: a child
 takes whole well-filled bins from one parent, what the other parent holds of
 their pieces is removed, and the pieces of its broken bins are put back by best
-fit. Between epochs each island's elite moves on to the next island.
+fit. Between epochs each island's elite moves on to the next island. What the
+groups' emptiest sequences hold is then packed together, so that no group leaves one of its own.
 """
 
 from __future__ import annotations
@@ -87,20 +88,37 @@ def token_pieces(df: DataFrame, path: str, ranks_path: str | None = None, patter
     return narrow.mapInArrow(run, schema)
 
 
-def best_fit(lengths: list[int], items: list[int], assign: np.ndarray, free: list[int], capacity: int) -> None:
+def fullest_pair(rest: np.ndarray, room: int) -> tuple[int, int]:
+    """Places of the two of ``rest`` (ascending) that fill ``room`` best, without passing it; one or both may be -1."""
+    if not len(rest) or rest[0] > room:
+        return -1, -1
+    larger = np.arange(np.searchsorted(rest, room, "right"))
+    smaller = np.minimum(np.searchsorted(rest, room - rest[larger], "right"), larger) - 1
+    best = int(np.argmax(rest[larger] + np.where(smaller >= 0, rest[smaller], 0)))
+    return best, int(smaller[best])
+
+
+def best_fit(lengths: list[int], items: list[int], assign: np.ndarray, free: list[int], capacity: int, tight: bool = False) -> None:
     """Puts ``items``, in their order, each into the fullest bin that takes it; else into a new one.
 
     ``assign`` (bin of each item) and ``free`` (room of each bin) are changed.
-    Bins are found by their room: a bit for each amount that some bin has.
+    Bins are found by their room: a bit for each amount that some bin has. If
+    ``tight``, a new bin takes along the two later items that fill it best.
     """
+    if tight:
+        order = np.array(items[::-1], np.int64)
+        ascending = np.array(lengths)[order]
+        put = np.zeros(len(order), bool)
     at: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
     for b, room in enumerate(free):
         if 0 < room < capacity:
             at[room].append(b)
             mask |= 1 << room
-    for i in items:
+    for k, i in enumerate(items):
         n = lengths[i]
+        if tight and put[len(items) - 1 - k]:
+            continue
         above = mask >> n
         if above:
             room = n + (above & -above).bit_length() - 1
@@ -112,6 +130,13 @@ def best_fit(lengths: list[int], items: list[int], assign: np.ndarray, free: lis
             free.append(capacity)
         assign[i] = b
         room -= n
+        if tight and room + n == capacity:
+            later = np.flatnonzero(~put[: len(items) - 1 - k])
+            for j in fullest_pair(ascending[later], room):
+                if j >= 0:
+                    put[later[j]] = True
+                    assign[order[later[j]]] = b
+                    room -= int(ascending[later[j]])
         free[b] = room
         if room:
             at[room].append(b)
@@ -124,7 +149,7 @@ def fitness(assign: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     return -len(fill) + float(np.mean((fill / capacity) ** 2))
 
 
-def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, as_list: list[int], capacity: int, rng: np.random.Generator, share: float) -> np.ndarray:
+def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, as_list: list[int], capacity: int, rng: np.random.Generator, share: float, tight: bool = False) -> np.ndarray:
     """A child of parent ``a`` with whole bins of ``b``, the fullest first with some chance."""
     fill_b = np.bincount(b, weights=lengths)
     n = max(1, int(share * len(fill_b)))
@@ -148,7 +173,7 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, as_list: list[i
     free += (capacity - fill_b[chosen]).astype(int).tolist()
     loose = np.flatnonzero(child < 0)
     loose = loose[np.argsort(-lengths[loose], kind="stable")]
-    best_fit(as_list, loose.tolist(), child, free, capacity)
+    best_fit(as_list, loose.tolist(), child, free, capacity, tight)
     return child
 
 
@@ -169,7 +194,7 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, see
         children = []
         for c in range(max(1, size // 2)):
             i, j = sorted(rng.choice(len(scored), 2, replace=False)) if len(scored) > 1 else (0, 0)
-            child = crossover(scored[i][2], scored[j][2], lengths, as_list, capacity, rng, float(rng.uniform(0.05, 0.4)))
+            child = crossover(scored[i][2], scored[j][2], lengths, as_list, capacity, rng, float(rng.uniform(0.05, 0.4)), tight=(g + c) % 2 == 0)
             children.append((fitness(child, lengths, capacity), (g + 1) * size + c, child))
         scored = sorted([*scored, *children], key=lambda x: (-x[0], x[1]))[:size]
     return [p for _, _, p in scored]
@@ -179,7 +204,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group: int = 4096, isla
     """``pieces`` (long column length, 1 to ``capacity``) with sequence_id and offset.
 
     Other columns go along untouched; repeated rows are separate pieces, and an
-    empty table gives no rows. A full piece is a sequence of its own.
+    empty table gives no rows. A full piece is a sequence of its own. A group's
+    sequences that are at most half full are pieces of a further packing, in
+    which ``group`` times fewer groups take part, until there is one.
     """
     rows = materialize(pieces.withColumn("rid", F.monotonically_increasing_id()))
     n = rows.where(F.col("length") < capacity).count()
@@ -225,10 +252,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group: int = 4096, isla
                 total = np.cumsum(lengths[order]) - lengths[order]
                 first = np.r_[True, assign[order][1:] != assign[order][:-1]]
                 offset = total - np.maximum.accumulate(np.where(first, total, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[order]), pa.array(assign[order].astype("i8") + (row["grp"] << 20)), pa.array(offset.astype("i8"))], names=["rid", "sequence_id", "offset"])
-
-    placed = chosen.mapInArrow(place, "rid long, sequence_id long, offset long")
-    out = rows.drop("grp").join(placed, "rid", "left")
+                fill = np.bincount(assign, weights=lengths)[assign[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(rid[order]), pa.array(assign[order].astype("i8") + (row["grp"] << 20)), pa.array(offset.astype("i8")), pa.array(fill.astype("i8"))], names=["rid", "sequence_id", "offset", "fill"])
+
+    placed = chosen.mapInArrow(place, "rid long, sequence_id long, offset long, fill long")
+    if n_groups > 1:
+        placed = materialize(placed)
+        loose = placed.where((F.col("offset") == 0) & (F.col("fill") <= capacity // 2)).select(F.col("sequence_id").alias("from_id"), F.col("fill").alias("length"))
+        joint = materialize(pack_pieces(loose, capacity, group, islands, epochs, generations, population, seed + 1))
+        named = joint.groupBy("sequence_id").agg(F.min("from_id").alias("to_id"))  # a sequence takes over one of the ids that it unites
+        moved = joint.join(named, "sequence_id").select(F.col("from_id").alias("sequence_id"), "to_id", F.col("offset").alias("base"))
+        placed = placed.join(moved, "sequence_id", "left")
+        placed = placed.select("rid", F.coalesce("to_id", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    out = rows.drop("grp").join(placed.drop("fill"), "rid", "left")
     return out.withColumns({"sequence_id": F.coalesce("sequence_id", F.col("rid") + (n_groups << 20)), "offset": F.coalesce("offset", F.lit(0).cast("long"))}).drop("rid")
 
 
@@ -236,7 +272,8 @@ def pack_documents(df: DataFrame, path: str, ranks_path: str | None = None, patt
     """Documents packed into sequences: :func:`token_pieces`, then :func:`pack_pieces`.
 
     Null and empty texts are one-token pieces; documents with the same id, or
-    without one, are packed each on its own.
+    without one, are packed each on its own. Columns other than the two play
+    no part, whatever their names; an empty table gives no rows.
     """
     pieces = token_pieces(df, path, ranks_path, pattern, id_col, text_col, capacity, with_ids=with_ids)
     return pack_pieces(pieces, capacity, **options)

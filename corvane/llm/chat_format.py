@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The template's control strings (fixed values).
 TURN_START = "### "
@@ -62,7 +63,8 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     Turns are ordered by turn (null first), then role and text, so repeated
     rows stay and are turns. Null texts and roles are empty; a null conv_id is
-    a conversation. A conversation of any length is spread by ``chunk`` turns
+    a conversation, and ids may be of any type that can be grouped. An empty table gives no rows;
+    other columns play no part, whatever their names. A conversation of any length is spread by ``chunk`` turns
     over tasks: a task holds the text before its chunk, which each of its
     examples must hold in any case, and writes them one by one.
     """
@@ -71,12 +73,10 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     head = F.concat(F.lit(TURN_START), escape_role(F.col("role")), F.lit(ROLE_END))
     own = own.withColumns({"head": head, "inner": escape(F.col("body"))})
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
-    own = own.withColumn("at", F.row_number().over(order) - 1)
-    own = own.select("conv_id", "at", F.floor(F.col("at") / chunk).alias("part"), (F.col("role") == trainable).alias("train"), "head", "inner")
+    own = own.withColumns({"at": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("conv_id"))})
+    own = own.select("conv_id", "at", F.floor(F.col("at") / chunk).alias("part"), F.floor((F.col("n") - 1) / chunk).alias("last"), (F.col("role") == trainable).alias("train"), "head", "inner")
     line = F.struct("at", "train", "head", "inner")
-    parts = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # at most ``chunk`` turns
-    last = own.groupBy(F.col("conv_id").alias("conv_")).agg(F.max("part").alias("last"))
-    rendered = parts.join(last, F.col("conv_id").eqNullSafe(F.col("conv_"))).drop("conv_")
+    rendered = own.groupBy("conv_id", "part", "last").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # at most ``chunk`` turns
     joined = F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["inner"], F.lit(TURN_END + AFTER_TURN))), "")
     rendered = rendered.withColumn("whole", joined)
     # each part goes to itself and to those after it
@@ -88,7 +88,7 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.first(F.when(mine, F.col("lines")), ignorenulls=True).alias("lines"),
     )
     chunks = gathered.select("conv_id", "part", "last", F.array_join(F.transform("before", lambda x: x["whole"]), "").alias("context"), "lines")
-    kind = turns.schema[conv_col].dataType.simpleString()
+    kind, first = turns.schema[conv_col].dataType.simpleString(), to_arrow_type(turns.schema[conv_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,20 +102,19 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                         made.append((row["conv_id"], x["at"], x["at"] + 1, text, start, start + len(x["inner"]), row["part"] == row["last"] and x is row["lines"][-1]))
                         size += len(text)
                     if size > 4_000_000:
-                        yield batch_of(made, kind)
+                        yield batch_of(made, first)
                         made, size = [], 0
                 if row["part"] == row["last"] and not train:
                     made.append((row["conv_id"], row["lines"][-1]["at"] + 1, row["lines"][-1]["at"] + 1, text, len(text), len(text), True))
                 if made:
-                    yield batch_of(made, kind)
+                    yield batch_of(made, first)
 
     examples = chunks.mapInArrow(run, f"conv_id {kind}, example long, n_turns long, text string, loss_start long, loss_end long, final boolean")
     return examples
 
 
-def batch_of(rows: list[tuple], kind: str) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], first: pa.DataType) -> pa.RecordBatch:
     names = ["conv_id", "example", "n_turns", "text", "loss_start", "loss_end", "final"]
-    first = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
     types = [first, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

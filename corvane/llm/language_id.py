@@ -28,7 +28,7 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
     The sample is the texts first in the order of a digest of themselves, so it
     depends on the text and its label alone and is the same in each run. It is
     bounded however large the table is: each task keeps ``docs_per_lang`` texts
-    of a language, and as much reaches the driver. Null, empty and letterless
+    of a language, and ``dict_bytes`` of each language reach the driver. Null, empty and letterless
     texts and null labels teach nothing. Copies of a text count once. A line
     for each language reaches the driver: languages are taken to be few. The
     languages come in the order of how many texts they have.
@@ -42,20 +42,15 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
     drawn = good.where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < chance[F.col("lang")]).dropDuplicates(["lang", "h"])
     first = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_lang)
     texts: dict[str, list[bytes]] = {}
-    for row in first.orderBy("lang", "r").select("lang", "text").collect():
-        texts.setdefault(row.lang, []).append(row.text.encode())
-    out = {}
-    for lang in sorted(texts, key=lambda x: (-counts[x], x)):
-        found = texts[lang]
-        share = max(64, dict_bytes // len(found))
-        # every text gives its share at most, and what short ones leave goes to the others
-        parts, room = [], dict_bytes
-        for i, t in enumerate(sorted(found, key=len)):
-            part = t[: max(share, room // (len(found) - i))][:room]
-            parts.append(part)
-            room -= len(part)
-        out[lang] = b" ".join(parts)
-    return out
+    # every text gives its share at most, and what short ones leave goes to the others: no more than that reaches the driver
+    by_size = Window.partitionBy("lang").orderBy("size", "h")
+    before = F.coalesce(F.sum("size").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = Window.partitionBy("lang")
+    room = first.withColumn("size", F.octet_length("text")).withColumn("share", (F.lit(dict_bytes) - before) / (F.count(F.lit(1)).over(every) - F.row_number().over(by_size) + 1))
+    level = F.ceil(F.max("share").over(every)).cast("int")
+    for row in room.withColumn("level", level).select("lang", "level", "size", "h", F.substring(F.col("text"), F.lit(1), F.col("level")).alias("part")).orderBy("lang", "size", "h").collect():
+        texts.setdefault(row.lang, []).append(row.part.encode()[: row.level])
+    return {lang: b" ".join(texts[lang])[:dict_bytes] for lang in sorted(texts, key=lambda x: (-counts[x], x))}
 
 
 def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
@@ -81,7 +76,8 @@ def predictions(df: DataFrame, dictionaries: dict[str, bytes], text_col: str, ke
     needs than the second, by the second's. A text is rejected if its margin is below ``margin`` or it is
     ``und``: null, empty or without a letter (score and margin 0). With one
     language nothing is narrow. Ties go to the first of ``dictionaries``.
-    Repeated rows stay; an empty table gives no rows. One narrow stage.
+    Repeated rows stay; an empty table gives no rows; other columns play no
+    part, whatever their names. One narrow stage.
     """
     narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *([] if text_col in keep else [F.col(text_col).alias("t")]))
     batches_by_bytes(df.sparkSession)

@@ -109,7 +109,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), volume: float = 1.5
     (words, repeats counted; at most ``most`` times size for a whole ``most``),
     with the columns that ``keys`` names. Reruns agree. A null text has no
     words and isn't taken; a null source is a source; rows with one id, or with
-    none, are documents of their own; an empty table gives no rows.
+    none, are documents of their own; an empty table gives no rows; other
+    columns play no part, whatever their names.
     """
     keys = keys or {}
     sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"), *[c.alias(f"key_{k}") for k, c in keys.items()])
@@ -125,15 +126,18 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), volume: float = 1.5
     return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), *[F.col(f"key_{k}").alias(k) for k in keys])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents as the mix takes them: each as often as the words taken make up whole copies, rounded.
 
     Rows that agree in id and text are one document here; they share evenly
-    what the mix takes of them.
+    what the mix takes of them. The columns are those of ``docs``, whatever their names.
     """
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    share = mix(docs, keys={"digest": digest}, **options)
-    times = share.groupBy("doc_id", "digest").agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias("times_"))
-    times = times.where(F.col("times_") > 0).select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_"), "times_")
-    both = docs.withColumn("own_digest_", digest).join(times, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("own_digest_") == F.col("digest_")))
-    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    share = mix(docs, id_col=id_col, text_col=text_col, keys={"digest": digest}, **options)
+    times = share.groupBy("doc_id", "digest").agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias("times"))
+    times = times.where(F.col("times") > 0)
+    body = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])
+    at = {c: F.col(f"k{i}") for i, c in enumerate(docs.columns)}
+    body = body.withColumn("own_digest", F.md5(F.coalesce(at[text_col], F.lit("")).cast("binary")))
+    both = body.join(times, at[id_col].eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest")))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[at[c].alias(c) for c in docs.columns])

@@ -34,25 +34,47 @@ def load_model(path: str):
     plain = spec.normalizer_spec.add_dummy_prefix and not spec.normalizer_spec.remove_extra_whitespaces and not spec.normalizer_spec.precompiled_charsmap
     user_defined = any(p.type == 4 for p in spec.pieces)
     spans = any(SPACE_MARK in p.piece.lstrip(SPACE_MARK) for p in spec.pieces)
-    return model, plain and not user_defined and not spans
+    safe = plain and not user_defined and not spans
+    return model, safe, touching(model) if safe and spec.trainer_spec.byte_fallback else None
 
 
-def split_text(text: str, limit: int) -> list[str]:
-    """Parts of ``text`` of about ``limit`` characters, cut between a character that isn't a space and a space.
+def touching(model) -> set[str]:
+    """Every two characters that stand side by side in a piece: no token spans a cut between two others."""
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+    return {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
 
-    The space itself goes: the encoder puts one before every part. A stretch
-    without a cut stays whole, whatever its length.
+
+def split_text(text: str, limit: int, pairs: set[str] | None = None) -> list[tuple[str, int]]:
+    """Parts of ``text`` of about ``limit`` characters, and the tokens by which each part's own count is too great.
+
+    A cut is made between a character that isn't a space and a space: the space
+    itself goes, as the encoder puts one before every part. Where no space comes within
+    ``limit`` characters (Chinese, Japanese, Thai, base64), a cut is made between two
+    characters that stand side by side in no piece, of which the second doesn't
+    follow a space in one either: the space that the encoder puts before
+    the part is then a token of its own, and counts as one too many. A stretch without
+    a cut stays whole, whatever its length.
     """
-    parts, start = [], 0
+    parts, start, extra = [], 0, 0
     while len(text) - start > limit:
         cut = text.find(" ", start + limit)
         while cut != -1 and text[cut - 1] in (" ", SPACE_MARK):
             cut = text.find(" ", cut + 1)
         if cut == -1 or cut + 1 == len(text):
+            cut = len(text)
+        inner = None
+        if pairs is not None and cut - start > 2 * limit:
+            spots = range(start + limit, cut - 1)
+            inner = next((i for i in spots if text[i - 1] not in " ▁" and text[i] not in " ▁" and text[i - 1 : i + 1] not in pairs and SPACE_MARK + text[i] not in pairs), None)
+        if inner is not None:
+            parts.append((text[start:inner], extra))
+            start, extra = inner, 1
+            continue
+        if cut == len(text):
             break
-        parts.append(text[start:cut])
-        start = cut + 1
-    parts.append(text[start:])
+        parts.append((text[start:cut], extra))
+        start, extra = cut + 1, 0
+    parts.append((text[start:], extra))
     return parts
 
 
@@ -81,7 +103,7 @@ def count_tokens(
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["n_bytes long", "n_tokens long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, safe = load_model(model_path)
+        model, safe, pairs = load_model(model_path)
 
         def lengths(texts: list[str]) -> list[int]:
             return [len(x) for x in model.encode(texts, num_threads=1)]
@@ -97,7 +119,7 @@ def count_tokens(
 
             for i, size in enumerate(sizes):
                 if size > split_bytes and safe:
-                    counts[i] = sum(n for part in split_text(text[i].as_py(), split_bytes) for n in lengths([part]))
+                    counts[i] = sum(lengths([part])[0] - extra for part, extra in split_text(text[i].as_py(), split_bytes, pairs))
                     continue
                 if held and held_bytes + size > batch_bytes:
                     encode(held)

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corvane.llm.bin_packing import SHARED_BELOW, crossover, evolve, load_encoder, pack_documents, pack_pieces
+from corvane.llm.bin_packing import SHARED_BELOW, best_fit, crossover, evolve, fullest_pair, load_encoder, pack_documents, pack_pieces
 from corvane.llm.queries import byte_bpe
 
 FULL = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -74,9 +74,41 @@ def test_children_are_whole_and_no_worse_is_kept():
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_optimum_of_triples_is_approached(seed):
+def test_evolution_gains_on_best_fit(seed):
+    """Triples that fill 100 bins exactly: best fit in decreasing order needs several more, evolution fewer."""
     rng = np.random.default_rng(seed)
     a, b = rng.integers(500, 900, 100), rng.integers(500, 900, 100)
     lengths = rng.permutation(np.r_[a, b, 2048 - a - b])
-    begun = evolve(lengths, [], 2048, seed, 6, 0)[0].max() + 1
-    assert evolve(lengths, [], 2048, seed, 6, 150)[0].max() + 1 <= begun
+    assign, free = np.full(len(lengths), -1, np.int32), []
+    best_fit(lengths.tolist(), np.argsort(-lengths, kind="stable").tolist(), assign, free, 2048)
+    grown = evolve(lengths, [], 2048, seed, 6, 60)[0]
+    assert np.bincount(grown, weights=lengths).max() <= 2048
+    assert len(free) >= 105 and grown.max() + 1 <= len(free) - 3
+
+
+def test_fullest_pair():
+    rest = np.array([3, 5, 8, 9])
+    assert [fullest_pair(rest, room) for room in (13, 2, 4, 8, 100)] == [(2, 1), (-1, -1), (0, -1), (1, 0), (3, 2)]
+
+
+def test_groups_leave_no_sequences_of_their_own(spark):
+    lengths = [1200, 300] * 8 + [700] * 5
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(lengths * 20)], "length long, fill int")
+    got = pack_pieces(df, group=20).collect()
+    at = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 2048 and sorted(r.fill for r in got) == list(range(len(got)))
+    assert sum(n <= 1024 for n in at.values()) <= 1  # two half-empty ones would be one
+
+
+def test_ids_are_those_of_the_library_for_every_text():
+    import pyarrow.parquet as pq
+
+    encode = load_encoder(**byte_bpe())
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for t, e in zip(part, FULL.encode_batch(part, add_special_tokens=False), strict=True):
+            assert encode(t).tolist() == e.ids

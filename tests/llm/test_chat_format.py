@@ -38,6 +38,14 @@ def test_round_trip(spark):
     assert len(whole) == 51 and whole[-1].loss_start == whole[-1].loss_end
 
 
+def test_ids_of_any_type(spark):
+    want = {str(k): v for k, v in brute([r for r in conversations() if r[0] is not None]).items()}
+    df = spark.createDataFrame([r for r in conversations() if r[0] is not None], "conv_id long, turn long, role string, text string")
+    for kind in ("smallint", "decimal(9,2)", "string", "double"):
+        got = {str(int(float(r.conv_id))): (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(expand(df.withColumn("conv_id", df["conv_id"].cast(kind)))).collect()}
+        assert got == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert read_back(expand(df)).count() == 0

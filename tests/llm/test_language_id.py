@@ -53,3 +53,43 @@ def test_clean_long_texts_stay(spark):
     got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, "doc_id string, text string").repartition(12), dictionaries).collect()}
     assert all(r.lang_pred == k[:2] and not r.rejected for k, r in got.items())
     assert all(abs(got[f"{lang}10000000"].margin / got[f"{lang}1000000"].margin - 1) < 0.2 for lang in WORDS)
+
+
+def test_sizes_and_choice_by_brute_force(spark):
+    """The sizes are added up by a plain loop here, a block at a time, and the least wins."""
+    import zstandard as zs
+
+    df = table(spark, 60)
+    dictionaries = fit_dictionaries(df)
+    assert all(len(v) <= 60_000 for v in dictionaries.values())
+
+    def size(text, dictionary):
+        own = zs.ZstdCompressionDict(dictionary.decode("utf-8", "ignore").lower().encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
+        data, total = f" {text.lower()} ".encode(), 0
+        while data:
+            coder = zs.ZstdCompressor(level=6, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total, data = total + len(coder.compress(data[:16384])), data[16384:]
+        return total
+
+    for r in classify(df, dictionaries, keep=["doc_id", "text"]).collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            continue
+        sizes = {lang: size(r.text, d) for lang, d in dictionaries.items()}
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == best and abs(r.margin - (second - best) / second) < 1e-12 and r.rejected == (r.margin < 0.002)
+
+
+def test_texts_of_several_languages_in_equal_parts_are_rejected(spark):
+    rng = random.Random(5)
+    dictionaries = fit_dictionaries(table(spark))
+    words = [rng.choices(WORDS[lang], k=9000) for lang in ("en", "fr")]
+    halves = " ".join(w for i in range(9000) for w in (words[0][i], words[1][i]))
+    rows = [(0, halves), (1, " ".join(words[0])), (2, " ".join(words[1]))]
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, "doc_id long, text string"), dictionaries).collect()}
+    assert got[0].margin < got[1].margin / 5 and got[0].margin < got[2].margin / 5 and not got[1].rejected and not got[2].rejected
+
+
+def test_dictionaries_share_their_bytes(spark):
+    rows = [("a b c " * n, "q") for n in (1, 5, 400, 500, 3000)]
+    got = fit_dictionaries(spark.createDataFrame(rows, "text string, lang string"), dict_bytes=3000)["q"]
+    assert len(got) == 3000 and all(("a b c " * n).encode()[:700] in got for n in (1, 5, 400))

@@ -72,3 +72,11 @@ def test_copies_and_empty(spark):
     assert mixed_documents(df).columns == df.columns
     assert mix(df.limit(0)).count() == 0 and mixed_documents(df.limit(0)).count() == 0
     assert mix(df.where(F.col("doc_id") == 2001)).first().taken == 0
+
+
+def test_clashing_columns(spark):
+    df, _ = table(spark)
+    for c in ("times_", "digest_", "id_", "times", "digest", "copy", "own_digest", "k0", "size", "src"):
+        df = df.withColumn(c, df["doc_id"])
+    got = mixed_documents(df)
+    assert got.columns == df.columns and got.count() > 0 and got.where("digest <> doc_id").count() == 0
