@@ -343,7 +343,8 @@ def resolved(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
 
     # the texts of grouped classes' first documents alone are read again, whole
     wanted = members.select("cid", "copies", "component", F.col("rep").alias("rep_"), F.col("x").alias("x_"))
-    texts = narrow.join(wanted, (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("rep_")) & (F.col("x") == F.col("x_")))
+    # both sides grow with the table, so they are dealt by key at every size
+    texts = maybe_among(narrow, wanted).join(wanted.hint("merge"), (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("rep_")) & (F.col("x") == F.col("x_")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,6 +381,20 @@ def resolved(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
     return rows.drop("sig"), facts.join(first, "component").select("cid", "h1", "h2", "rep", "n_links", "component", F.col("first.rep").alias("component_id"), F.col("first.cid").alias("first_class"))
 
 
+def maybe_among(narrow: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows of ``narrow`` whose ``x`` may be an ``x_`` of ``wanted``, so that few other texts are shuffled.
+
+    Digests are marked in a table of ``bits`` bits, 32 a row, whatever the sizes
+    of both, which is broadcast (8 MB). Where a bit is set for another digest, the row
+    stays; none that is wanted goes.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(bits))
+    word = lambda c: F.shiftright(place(c), 5)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod({c}, 32) as int))")
+    marks = wanted.select(word("x_").alias("word"), bit("x_").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    return narrow.join(F.broadcast(marks), word("x") == F.col("word")).where(F.col("marks").bitwiseAND(bit("x")) != 0).drop("word", "marks")
+
+
 def spanning(rep: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict | None:
     """Links of each node to its component's first, for the nodes that have any."""
     if not len(left):
