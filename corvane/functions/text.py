@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Token classes of the lexical estimator (fixed values): one ideograph or syllable, a run of letters and digits, any other character.
 LEXICAL_TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{N}_-]+|[^\s]"
+#: Ranges outside of which a text has no ideographs, syllables or numerals other than decimal digits.
+LEXICAL_SPECIAL, WIDE_SPECIAL = r"[\u00b2\u00b3\u00b9\u00bc-\u00be\u0300-\x{10ffff}]", r"[\u1100-\x{10ffff}]"
 #: Phrases by which an answer says that it can't answer (fixed values).
 ABSTENTIONS = [
     "证据不足", "资料不足", "现有资料未提供", "知识库没有提供", "知识库未提供", "无法判断", "无法确定", "无法确认", "无法根据",
@@ -21,9 +23,13 @@ def canonical_space(text: Column) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Estimated tokens: a lexical run counts a quarter of its characters, rounded up, anything else one; null and blank count 0."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEXICAL_TOKEN), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(LEXICAL_TOKEN), F.lit(0))
     weight = lambda t: F.when(t.rlike(r"^[\p{L}\p{Nd}_-]+$"), F.floor((F.length(t) + 3) / 4)).otherwise(F.lit(1).cast("long"))
-    return F.aggregate(found, F.lit(0).cast("long"), lambda n, t: n + weight(t))
+    every = F.aggregate(found, F.lit(0).cast("long"), lambda n, t: n + weight(t))
+    # without them a run is as many tokens as it has pieces of four characters
+    plain = F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}_-]{1,4}|[^\s]")).cast("long")
+    return F.when(text.rlike(LEXICAL_SPECIAL), every).otherwise(plain)
 
 
 def packing_tokens(text: Column) -> Column:
@@ -34,7 +40,7 @@ def packing_tokens(text: Column) -> Column:
 
 def script_tokens(text: Column) -> Column:
     """Estimated tokens for model budgets: Han, kana and hangul count one, four others one; blank and null 1."""
-    wide = F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
+    wide = F.when(text.rlike(WIDE_SPECIAL), F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))).otherwise(0)
     return F.when(text.isNull() | (F.trim(text) == ""), F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1), wide + F.floor((F.length(text) - wide + 3) / 4)).cast("long"))
 
 

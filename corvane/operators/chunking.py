@@ -17,6 +17,8 @@ from corvane.functions.text import lexical_tokens, name_uuid, terms
 #: Ends of sentences with closing marks after them (fixed values).
 SENTENCE = "[^。！？!?；;\\n]*[。！？!?；;\\n]+[\"'”’）)]*|[^。！？!?；;\\n]+$"
 LINE = r"[^\n]+\n?"
+#: The same, with marks that no sentence begins as units of their own.
+SENTENCE_OR_REST = "[^。！？!?；;\\n]+[。！？!?；;\\n]*[\"'”’）)]*|[。！？!?；;\\n]+[\"'”’）)]*"
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,12 @@ def units(blocks: DataFrame, limit: int) -> DataFrame:
     return out.where(F.trim("unit_text") != "").withColumn("tokens", lexical_tokens(F.col("unit_text"))).drop("s1", "s2")
 
 
+def cut_hard(s: Column, limit: int) -> Column:
+    """A text in pieces of at most ``limit`` tokens: the text itself, or as many characters as tokens, of which none has more than one."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda i: F.substring(s, i * limit + 1, F.lit(limit)))
+    return F.when(lexical_tokens(s) <= limit, F.array(s)).otherwise(pieces)
+
+
 def assign(rows: DataFrame, keys: list[str], order: list[str], target: int, most: int, least: int, by_heading: bool) -> DataFrame:
     """Rows with ``chunk``: its number within ``keys``, by a fold over their tokens in order.
 
@@ -61,7 +69,7 @@ def assign(rows: DataFrame, keys: list[str], order: list[str], target: int, most
     head = F.col("type").isin("TITLE", "HEADING")
     unit = F.struct(*order, "tokens", F.coalesce(head, F.lit(False)).alias("head"), F.coalesce("level", F.lit(9)).alias("level"), F.col("level").alias("own_level"), *rest)
     gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(unit)).alias("units"))
-    begin = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("content"), F.lit(False).alias("after_head"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("content"), F.lit(False).alias("after_head"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("starts"))
 
     def step(s, u):
         full = (s["tokens"] + u["tokens"] > most) | ((s["tokens"] >= target) & ~s["after_head"])
@@ -70,14 +78,17 @@ def assign(rows: DataFrame, keys: list[str], order: list[str], target: int, most
             soft = (u["level"] == 2) & (s["tokens"] >= least)
             full = full | (u["head"] & (hard | soft | (s["tokens"] >= most - least // 2)))
         new = (s["tokens"] > 0) & full
-        n = F.when(new, s["n"] + 1).otherwise(s["n"])
         return F.struct(
-            F.when(new, u["tokens"]).otherwise(s["tokens"] + u["tokens"]).alias("tokens"), (F.when(new, F.lit(False)).otherwise(s["content"]) | ~u["head"]).alias("content"), u["head"].alias("after_head"), n.alias("n"), F.concat(s["out"], F.array(n)).alias("out")
-        )
+            F.when(new, u["tokens"]).otherwise(s["tokens"] + u["tokens"]).alias("tokens"), (F.when(new, F.lit(False)).otherwise(s["content"]) | ~u["head"]).alias("content"), u["head"].alias("after_head"),
+            (s["i"] + 1).alias("i"), F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"),
+        )
 
-    numbered = gathered.withColumn("out", F.aggregate("units", begin, step)["out"])
-    zipped = numbered.select(*keys, F.explode(F.arrays_zip("units", "out")).alias("z"))
-    return zipped.select(*keys, *[F.col(f"z.units.{c}").alias(c) for c in [*order, "tokens", *rest]], F.col("z.units.own_level").alias("level"), F.col("z.out").alias("chunk"))
+    # the fold keeps a place for each chunk, not for each unit; the units are then cut at these places
+    folded = gathered.withColumn("starts", F.aggregate("units", begin, step)["starts"])
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("units"))
+    cut = folded.select(*keys, F.posexplode(F.transform("starts", lambda a, i: F.slice("units", a + 1, end(i) - a))).alias("chunk", "own"))
+    each = cut.select(*keys, "chunk", F.explode("own").alias("u"))
+    return each.select(*keys, *[F.col(f"u.{c}").alias(c) for c in [*order, "tokens", *rest]], F.col("u.own_level").alias("level"), "chunk")
 
 
 def chunk_columns(rows: DataFrame, policy: Policy) -> DataFrame:
@@ -136,15 +147,20 @@ def candidate_spans(parents: DataFrame, queries: DataFrame, limit: int = 600, mo
     """Each query's spans in its parents, at most ``most`` a parent: query_id, parent_id, span, span_id, relevance, tokens.
 
     ``queries``: query_id, parent_id, focus, anchor (the matched child's text).
-    Spans are runs of sentences of at most ``limit`` tokens; the order is the
-    distance to the anchor, then how often the focus terms occur, then place.
+    Spans are runs of sentences of at most ``limit`` tokens (a longer sentence
+    is cut), and cover the parent whole; the order is the distance to the
+    anchor, then how often the focus terms occur, then place.
     """
     own = parents.select("document_id", F.col("chunk_id").alias("parent_id"), "text", F.lit(0).alias("order_index"), F.lit("PARAGRAPH").alias("type"), F.lit(None).cast("int").alias("level"))
-    pieces = own.withColumn("cut", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).select(*own.columns, F.posexplode("cut").alias("unit", "unit_text"))
-    pieces = pieces.withColumn("tokens", lexical_tokens(F.col("unit_text"))).where(F.col("tokens").between(1, limit))
+    # every character is in a unit: sentences, and what is too long cut at the limit, with their places
+    cut = F.regexp_extract_all("text", F.lit(SENTENCE_OR_REST), F.lit(0))
+    pieces = own.select("parent_id", "order_index", "type", "level", F.posexplode(F.flatten(F.transform(cut, lambda s: cut_hard(s, limit)))).alias("unit", "unit_text"))
+    w = Window.partitionBy("parent_id").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumns({"tokens": lexical_tokens(F.col("unit_text")), "at": F.coalesce(F.sum(F.length("unit_text")).over(w), F.lit(0))})
     spans = assign(pieces, ["parent_id"], ["order_index", "unit"], limit, limit, 0, False)
-    spans = spans.groupBy("parent_id", F.col("chunk").alias("span")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "unit_text"))), lambda x: x["unit_text"]), "").alias("span_text"), F.first("text").alias("whole"), F.sum("tokens").alias("tokens"))
-    spans = spans.withColumn("start", F.expr("locate(span_text, whole) - 1")).withColumn("end", F.col("start") + F.length("span_text"))
+    spans = spans.groupBy("parent_id", F.col("chunk").alias("span")).agg(F.min("at").alias("start"), F.max(F.col("at") + F.length("unit_text")).alias("end"), F.sum("tokens").alias("tokens"))
+    wholes = parents.select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("whole"))
+    spans = spans.join(wholes, "parent_id").withColumn("span_text", F.expr("substring(whole, start + 1, end - start)"))
     met = spans.join(queries, "parent_id")
     at = F.expr("locate(anchor, whole) - 1")
     away = F.when(at < 0, F.lit(2**31 - 1)).otherwise(F.greatest(F.lit(0), F.col("start") - at - F.length("anchor"), at - F.col("end")))
@@ -152,4 +168,4 @@ def candidate_spans(parents: DataFrame, queries: DataFrame, limit: int = 600, mo
     met = met.withColumns({"away": away, "relevance": count})
     met = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "parent_id").orderBy("away", F.desc("relevance"), "start"))).where(F.col("n") <= most)
     span_id = F.sha2(F.concat_ws("\x1f", "parent_id", F.col("start").cast("string"), F.col("end").cast("string"), F.sha2(F.col("whole").cast("binary"), 256)).cast("binary"), 256)
-    return met.select("query_id", "parent_id", "span", span_id.alias("span_id"), "relevance", "tokens", F.col("n").alias("place"))
+    return met.select("query_id", "parent_id", "span", span_id.alias("span_id"), "relevance", "tokens", F.col("n").alias("place"), "start", "end")

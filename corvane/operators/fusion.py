@@ -12,7 +12,7 @@ def fuse_fast(hits: DataFrame, k: int = 60, limit: int | None = None) -> DataFra
     A chunk that a list holds twice counts twice; ties keep the order in which
     chunks were first seen, then by id.
     """
-    w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first_list", "first_rank", "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), "first_list", "first_rank", "chunk_id")
     seen = F.min(F.struct("list_idx", "rank"))
     out = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("rrf"), seen.alias("s"))
     out = out.select("query_id", "chunk_id", "rrf", F.col("s.list_idx").alias("first_list"), F.col("s.rank").alias("first_rank"))

@@ -75,21 +75,21 @@ def source_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.locate_once(docs, chunks(spark, sf_dir).select("chunk_id", "document_id", "text"), "document_id").select("chunk_id", "start")
 
 
-@query("SELECT label AS generation, count(DISTINCT vec_id) AS n_vectors, count(DISTINCT vec_id) = (SELECT count(*) FROM embeddings WHERE label = 0) AS complete FROM embeddings WHERE label = 0 GROUP BY label")
+@query("SELECT label AS generation, count(DISTINCT vec_id) AS n_vectors, count(DISTINCT vec_id) = (SELECT count(*) FROM embeddings) AS complete FROM embeddings GROUP BY label")
 def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("generation"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("generation"))
     return ingest.covered(e.select("chunk_id"), e)
 
 
 @query("""WITH m AS (SELECT row_number() OVER (ORDER BY c_custkey) AS row_no, CASE WHEN c_custkey % 40 = 0 THEN upper('file' || c_custkey % 60) WHEN c_custkey % 41 = 0 THEN '' ELSE 'file' || c_custkey END AS file_name,
-  CASE WHEN c_custkey % 7 = 0 THEN 'x' || c_custkey WHEN c_custkey % 11 = 0 THEN NULL ELSE '' || c_custkey END AS size FROM customer WHERE c_custkey < 400),
+  CASE WHEN c_custkey % 7 = 0 THEN 'x' || c_custkey WHEN c_custkey % 11 = 0 THEN NULL ELSE '' || c_custkey END AS size FROM customer),
 f AS (SELECT *, min(row_no) OVER (PARTITION BY lower(trim(file_name))) AS first FROM m)
 SELECT row_no, file_name, TRY_CAST(size AS DECIMAL(38,10)) AS size, list_filter([CASE WHEN trim(file_name) = '' THEN 'file_name: missing' END, CASE WHEN trim(file_name) <> '' AND first < row_no THEN 'file_name: first in row ' || first END,
   CASE WHEN size IS NULL THEN 'size: missing' END, CASE WHEN size IS NOT NULL AND TRY_CAST(size AS DECIMAL(38,10)) IS NULL THEN 'size: not number' END], lambda x: x IS NOT NULL) AS errors FROM f""")
 def manifest_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    c, k = table(spark, sf_dir, "customer").where("c_custkey < 400"), F.col("c_custkey")
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     s = lambda x: x.cast("string")
     m = c.select(
         F.row_number().over(Window.orderBy("c_custkey")).alias("row_no"), F.when(k % 40 == 0, F.upper(F.concat(F.lit("file"), s(k % 60)))).when(k % 41 == 0, "").otherwise(F.concat(F.lit("file"), s(k))).alias("file_name"), F.when(k % 7 == 0, F.concat(F.lit("x"), s(k))).when(k % 11 == 0, None).otherwise(s(k)).alias("size")
@@ -97,14 +97,14 @@ def manifest_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.manifest(m, {"size": ("NUMBER", True)})
 
 
-@query("""WITH r AS (SELECT o_orderkey AS row_no, 'k' || o_orderkey % 300 AS key FROM orders WHERE o_orderkey < 500), d AS (SELECT 'k' || (CASE WHEN c_custkey % 9 = 0 THEN c_custkey + 1 ELSE c_custkey END) AS key, c_custkey AS id FROM customer WHERE c_custkey < 200),
+@query("""WITH r AS (SELECT o_orderkey AS row_no, 'k' || o_orderkey % 300 AS key FROM orders), d AS (SELECT 'k' || (CASE WHEN c_custkey % 9 = 0 THEN c_custkey + 1 ELSE c_custkey END) AS key, c_custkey AS id FROM customer),
 g AS (SELECT key, count(*) AS n, min(id) AS id FROM d GROUP BY key)
 SELECT row_no, key, CASE WHEN n = 1 THEN id END AS document_id, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'ambiguous' END AS error FROM r LEFT JOIN g USING (key)""")
 def query_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda x: F.concat(F.lit("k"), x.cast("string")).alias("key")
-    r = table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("row_no"), s(F.col("o_orderkey") % 300))
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_no"), s(F.col("o_orderkey") % 300))
     k = F.col("c_custkey")
-    d = table(spark, sf_dir, "customer").where("c_custkey < 200").select(s(F.when(k % 9 == 0, k + 1).otherwise(k)), k.alias("document_id"))
+    d = table(spark, sf_dir, "customer").select(s(F.when(k % 9 == 0, k + 1).otherwise(k)), k.alias("document_id"))
     return imports.resolve_keys(r, d)
 
 

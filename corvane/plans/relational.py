@@ -134,9 +134,9 @@ def json_token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.coalesce(F.sum(F.get_json_object("props", "$.k").cast("bigint")), F.lit(0)).alias("tokens"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT l_orderkey, list_sort(list(DISTINCT l_shipdate)) AS days, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, list_sort(list(DISTINCT strftime(l_shipdate, '%Y-%m-%d'))) AS days, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY l_orderkey")
 def ordered_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_shipdate")).alias("days"), F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("first_part"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.date_format("l_shipdate", "yyyy-MM-dd"))).alias("days"), F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("first_part"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linestatus)) AS s FROM lineitem GROUP BY l_orderkey)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import fusion, ingest, search
 from corvane.plans import query
-from corvane.plans.model import SQL_CHUNKS, chunks, table
-from corvane.plans.retrieval import SQL_DEEP, _deep
+from corvane.plans.model import SQL_CHUNKS, chunks, questions, table
+from corvane.plans.retrieval import SQL_DEEP, SQL_TERM_SEARCH, SQL_TRIGRAM_SEARCH, _deep
 
 
 @query("""
@@ -51,11 +51,11 @@ def first_seen_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.first_ranks(h, ["event_id"]).select("query_id", "chunk_id", "rank")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id FROM lineitem WHERE l_orderkey < 500 AND l_quantity > 30), k AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id FROM lineitem WHERE l_orderkey < 500 AND l_quantity <= 30)
+@query("""WITH s AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id FROM lineitem WHERE l_quantity > 30), k AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id FROM lineitem WHERE l_quantity <= 30)
 SELECT * FROM s UNION ALL SELECT * FROM k WHERE query_id NOT IN (SELECT query_id FROM s)""")
 def semantic_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic hits, and keyword hits for the queries without any."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     pick = lambda c: l.where(c).select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("chunk_id"))
     return search.with_fallback(pick("l_quantity > 30"), pick("l_quantity <= 30"))
 
@@ -122,21 +122,21 @@ def artifact_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("doc_id % 2 = 1").join(a, ["h", "parser"]).select("doc_id", "artifact")
 
 
-@query("""WITH s AS (SELECT event_id AS query_id, user_id AS chunk_id, event_id % 2 AS generation, value AS score FROM events WHERE event_id < 2000), m AS (SELECT query_id % 50 AS query_id, chunk_id, max(score) AS score FROM s GROUP BY ALL)
+@query("""WITH s AS (SELECT event_id AS query_id, user_id AS chunk_id, event_id % 2 AS generation, value AS score FROM events), m AS (SELECT query_id % 50 AS query_id, chunk_id, max(score) AS score FROM s GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m QUALIFY rank <= 5""")
 def generation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of several index generations merged by the best score of each chunk."""
-    s = table(spark, sf_dir, "events").where("event_id < 2000").select((F.col("event_id") % 50).alias("query_id"), F.col("user_id").alias("chunk_id"), F.col("value").alias("score"))
+    s = table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("query_id"), F.col("user_id").alias("chunk_id"), F.col("value").alias("score"))
     return search.top_k(s.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), 5, [F.desc("score"), "chunk_id"]).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY n_chars DESC, doc_id) AS dup FROM documents), g AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS depth FROM d WHERE dup = 1)
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS dup FROM documents), g AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS depth FROM d WHERE dup = 1)
 SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY depth, source) AS line FROM g) WHERE line <= 100""")
 def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred documents dealt evenly from the sources, the longest first, one of those that begin alike (whichever source holds the longest)."""
+    """A hundred documents dealt evenly from the sources, the longest first, one of those with one text."""
     from corvane.operators.ranking import distinct_on, interleave
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.substring("text", 1, 200).alias("start"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("start"))
     once = distinct_on(d, ["start"], [F.desc("n_chars"), "doc_id"])
     return interleave(once, ["source"], [F.desc("n_chars"), "doc_id"], 100).select("doc_id", "source")
 
@@ -144,7 +144,7 @@ def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT doc_id, length(regexp_replace(lower(regexp_replace(text, '[^0-9a-zA-Z一-鿿]+', '', 'g')), '^[0-9]+', '')) AS compared, len(regexp_extract_all(text, '[一-鿿]')) AS cjk FROM documents WHERE text IS NOT NULL""")
 def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    compared = F.regexp_replace(F.lower(F.regexp_replace(t, "[^0-9a-zA-Z一-鿿]+", "")), "^[0-9]+", "")
+    compared = F.regexp_replace(text.comparison_text(F.regexp_replace(t, "[^0-9a-zA-Z一-鿿]+", "")), "^[0-9]+", "")
     return table(spark, sf_dir, "documents").where(t.isNotNull()).select("doc_id", F.length(compared).alias("compared"), text.ideographs(t).alias("cjk"))
 
 
@@ -159,11 +159,11 @@ def markdown_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length(clean_markdown(t)).alias("n"))
 
 
-@query(f"""WITH c AS ({SQL_CHUNKS}), e AS (SELECT document_id, min(chunk_id) AS chunk_id FROM c WHERE length(text) >= 100 GROUP BY document_id, sha256(substr(text, 1, 220)))
+@query(f"""WITH c AS ({SQL_CHUNKS}), e AS (SELECT document_id, min(chunk_id) AS chunk_id FROM c WHERE length(text) >= 100 GROUP BY document_id, sha256(text))
 SELECT document_id, count(*) AS n FROM e GROUP BY document_id""")
 def evidence_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct evidence blocks of documents: long enough lines, by their first 220 characters."""
-    c = chunks(spark, sf_dir).where(F.length("text") >= 100).groupBy("document_id", F.sha2(F.substring("text", 1, 220).cast("binary"), 256).alias("h")).agg(F.min("chunk_id").alias("c"))
+    """Distinct evidence blocks of documents: long enough lines."""
+    c = chunks(spark, sf_dir).where(F.length("text") >= 100).groupBy("document_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("chunk_id").alias("c"))
     return c.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -185,16 +185,22 @@ def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("document_id = 12 OR kb = 'src3' OR chunk_id = 700000").orderBy("document_id", "line_no").offset(20).limit(50).select("chunk_id", "document_id")
 
 
-@query()
+#: Each minimal cover's start and end by the last places of a query's terms before each place.
+SQL_DENSITY = r"""
+wq AS (SELECT query_id, unnest(t) AS term, len(t) AS n FROM q), full_hold AS (SELECT query_id, chunk_id, n FROM wq JOIN ct USING (term) GROUP BY query_id, chunk_id, n HAVING count(*) = n),
+spots AS (SELECT h.query_id, h.chunk_id, h.n, x.term, x.pos FROM full_hold h JOIN (SELECT chunk_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM c)) x USING (chunk_id)
+  JOIN wq ON wq.query_id = h.query_id AND wq.term = x.term),
+lasts AS (SELECT a.query_id, a.chunk_id, a.n, a.pos, b.term, max(b.pos) AS last FROM spots a JOIN spots b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+covers AS (SELECT query_id, chunk_id, pos, min(last) AS start FROM lasts GROUP BY query_id, chunk_id, n, pos HAVING count(*) = n),
+density AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (pos - start + 1)) AS density FROM (SELECT query_id, chunk_id, start, min(pos) AS pos FROM covers GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_TERM_SEARCH}, {SQL_TRIGRAM_SEARCH}, {SQL_DENSITY},
+s AS (SELECT query_id, chunk_id, coalesce(density, 0) + 0.2::DOUBLE * coalesce(ts.score, 0) AS score FROM ts FULL JOIN density d USING (query_id, chunk_id) WHERE density IS NOT NULL OR ts.score > 0.03)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s QUALIFY rank <= 30""")
 def keyword_search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question's chunks by cover density plus a fifth of the trigram similarity; either alone lets a chunk in."""
-    own = chunks(spark, sf_dir)
-    asked = spark.createDataFrame([(1, "the of")], "query_id long, text string")
-    dense = search.cover_density(own, ["the", "of"])
-    near = search.trigram_search(asked, own, k=1000)
-    both = near.select("chunk_id", F.col("score").alias("similarity")).join(dense, "chunk_id", "full")
-    score = F.coalesce("density", F.lit(0.0)) + F.lit(0.2) * F.coalesce("similarity", F.lit(0.0))
-    return search.top_k(both.select(F.lit(1).alias("query_id"), "chunk_id", F.round(score, 6).alias("score")), 30, [F.desc("score"), "chunk_id"])
+    """Every question's chunks by cover density plus a fifth of the trigram similarity; either alone lets a chunk in."""
+    return search.keyword_search(questions(spark, sf_dir), chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page, l_returnflag || ' page ' || l_linenumber AS text FROM lineitem), n AS (SELECT document_id, page, trim(regexp_replace(lower(text), '\\d+', '#', 'g')) AS norm FROM p),

@@ -41,17 +41,17 @@ def pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH q AS (SELECT conv_id, turn, regexp_replace(lower(text), '[\p{P}\p{S}\s]', '', 'g') AS n FROM conversations WHERE role = 'user' AND turn < 2),
+WITH q AS (SELECT conv_id, turn, regexp_replace(lower(text), '[\p{P}\p{S}\s]', '', 'g') AS n FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i, 2)))) AS g, len(list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i, 2)))) AS c FROM q WHERE length(n) > 1),
 m AS (SELECT a.conv_id AS a_id, b.conv_id AS b_id, a.turn AS a_turn, b.turn AS b_turn, a.c AS ca, b.c AS cb, count(*) AS common FROM p a JOIN p b ON a.g = b.g AND (a.conv_id, a.turn) < (b.conv_id, b.turn) GROUP BY ALL)
 SELECT a_id, a_turn, b_id, b_turn, round(common / (ca + cb - common), 6) AS similarity FROM m WHERE common / (ca + cb - common) >= 0.72""")
 def similar_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of short questions whose character pairs agree to 0.72 or more.
+    """Pairs of questions whose character pairs agree to 0.72 or more.
 
     Each question indexes only its rarest pairs, as many as a partner at the
     threshold can't all lack, so common pairs never bring questions together.
     """
-    q = table(spark, sf_dir, "conversations").where("role = 'user' AND turn < 2").select("conv_id", "turn", text.pairs_of(text.comparison_text(F.col("text"))).alias("g")).where(F.size("g") > 0)
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.pairs_of(text.comparison_text(F.col("text"))).alias("g")).where(F.size("g") > 0)
     q = q.where(F.length(F.get("g", F.lit(0))) > 1)
     each = q.select("conv_id", "turn", F.explode("g").alias("pair"))
     often = each.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
@@ -92,11 +92,11 @@ def router_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT item_id, substr(text, 1, 200) AS q FROM benchmark),
+WITH t AS (SELECT item_id, text AS q FROM benchmark),
 a AS (SELECT item_id, q, list_filter(regexp_extract_all(trim(regexp_replace(q, '\s+', ' ', 'g')), '(^|[^A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]{2,})', 2), lambda w: lower(w) NOT IN ('what','how','why','which','when','who','the','and','for','from','into','with','without','does','are','can','should')) AS anchors FROM t)
 SELECT item_id, CASE WHEN trim(q) = '' THEN 'DEEP' WHEN len(anchors) > 0 THEN 'FAST' ELSE 'DEEP' END AS mode, length(q) < 36 OR regexp_matches(q, 'those|that|it') AS rewrite FROM a""")
 def router_on_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("q"))
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     return t.select("item_id", routing.route(F.col("q"))["mode"].alias("mode"), routing.needs_rewrite(F.col("q"), F.lit(True)).alias("rewrite"))
 
 
@@ -201,11 +201,11 @@ def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS sheet, l_linenumber + l_partkey % 3 AS row, l_suppkey % 4 AS col FROM lineitem WHERE l_orderkey < 300),
+WITH c AS (SELECT l_orderkey AS sheet, l_linenumber + l_partkey % 3 AS row, l_suppkey % 4 AS col FROM lineitem),
 r AS (SELECT DISTINCT sheet, row FROM c), g AS (SELECT sheet, row, row - row_number() OVER (PARTITION BY sheet ORDER BY row) AS g FROM r)
 SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY min(row)) AS region, min(row) AS first_row, max(row) AS last_row FROM g GROUP BY sheet, g""")
 def sheet_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").where("l_orderkey < 300").selectExpr("l_orderkey AS sheet", "l_linenumber + l_partkey % 3 AS row", "l_suppkey % 4 AS col", "CAST(l_quantity AS STRING) AS value").dropDuplicates(["sheet", "row", "col"])
+    cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sheet", "l_linenumber + l_partkey % 3 AS row", "l_suppkey % 4 AS col", "CAST(l_quantity AS STRING) AS value").dropDuplicates(["sheet", "row", "col"])
     return parsers.sheet_regions(cells).select("sheet", "region", "first_row", "last_row")
 
 

@@ -133,3 +133,16 @@ def test_sheets_and_margins(spark):
     assert [(r.first_row, r.last_row) for r in got] == [(1, 2), (5, 5)] and got[0].text == "| h | k |\n| --- | --- |\n|  | v\\|w |"
     lines = spark.createDataFrame([(1, p, f"Page {p}") for p in range(4)] + [(1, 0, "once")], "document_id long, page int, text string")
     assert [r.norm for r in parsers.repeated_margins(lines).collect()] == ["page #"]
+
+
+def test_candidate_spans_cover_their_parents(spark):
+    from corvane.operators.chunking import candidate_spans
+
+    texts = ["One two. Three four! Five six? Seven.", "no stop " * 200 + "end. Same words here. Same words here. Same words here.", "!!! a b; c\n\nd", "日本語" * 90 + "。また", "x" * 900]
+    parents = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "document_id long, chunk_id string, text string")
+    asked = spark.createDataFrame([(i, str(i), "same words", "Same words") for i in range(len(texts))], "query_id long, parent_id string, focus string, anchor string")
+    got = candidate_spans(parents, asked, limit=30, most=10**6).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r.start, r.end) for r in got if r.query_id == i)
+        assert "".join(t[a:b] for a, b in own) == t and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert all(r.tokens <= 30 for r in got) and len({r.span_id for r in got}) == len(got)

@@ -94,6 +94,41 @@ def test_cover_density(spark):
     assert got == {1: pytest.approx(1 / 3 + 1 / 2), 3: pytest.approx(1 / 2)}
 
 
+def test_keyword_search_by_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(6)
+    words = ["apple", "Birne", "été", "a1", "x", "of"]
+    chunks = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9))) + rng.choice(["", ".", " - "])) for i in range(300)] + [(400, None)]
+    asked = [(i, " ".join(rng.choices(words, k=rng.randint(1, 3)))) for i in range(12)] + [(50, ""), (51, None)]
+
+    def grams(t):
+        return {p[i : i + 3] for p in (f"  {w} " for w in re.findall(r"[^\W_]+", (t or "").lower())) for i in range(len(p) - 2)}
+
+    def density(t, q):
+        own, want = re.findall(r"[^\W_]+", (t or "").lower()), set(re.findall(r"[^\W_]+", (q or "").lower()))
+        spans = {(i, j) for i in range(len(own)) for j in range(i, len(own)) if want <= set(own[i : j + 1])} if want else set()
+        least = [(i, j) for i, j in spans if not any((a, b) != (i, j) and i <= a and b <= j for a, b in spans)]
+        return sum(1 / (j - i + 1) for i, j in least), bool(spans)
+
+    want = set()
+    for q, query in asked:
+        scored = []
+        for c, t in chunks:
+            a, b = grams(query), grams(t)
+            similar = len(a & b) / len(a | b) if a | b else 0
+            dense, whole = density(t, query)
+            if whole or similar > 0.03:
+                scored.append((-round(dense + 0.2 * similar, 9), c))
+        want |= {(q, c, round(-s, 6), n + 1) for n, (s, c) in enumerate(sorted(scored)[:7])}
+    c = spark.createDataFrame(chunks, "chunk_id long, text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    for block in (1000, 4):
+        got = {(r.query_id, r.chunk_id, round(r.score, 6), r["rank"]) for r in search.keyword_search(q, c, 7, block=block).collect()}
+        assert got == want
+
+
 def test_vectors_in_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "vec_id long, embedding array<float>")
     q = v.where("vec_id < 6").withColumnRenamed("vec_id", "query_id")
