@@ -146,3 +146,65 @@ def test_candidate_spans_cover_their_parents(spark):
         own = sorted((r.start, r.end) for r in got if r.query_id == i)
         assert "".join(t[a:b] for a, b in own) == t and all(a[1] == b[0] for a, b in zip(own, own[1:]))
     assert all(r.tokens <= 30 for r in got) and len({r.span_id for r in got}) == len(got)
+
+
+def scanned(text):
+    """Cleaning written out as a scan, one place after the other."""
+    import re
+
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if text.startswith("---\n") and "\n---\n" in text[3:]:
+        text = text[text.index("\n---\n", 3) + 5 :]
+    out, plain, i = [], "", 0
+
+    def flush():
+        nonlocal plain
+        lines = plain.split("\n")
+        for n in range(1, len(lines) - 1):
+            if re.fullmatch(r"[ \t]*((import|export)[ \t].*|(?i:\[toc\]|table of contents|目录)[ \t]*)", lines[n]):
+                lines[n] = ""
+        out.append("\n".join(lines))
+        plain = ""
+
+    while i < len(text):
+        rest = text[i:]
+        if rest.startswith("```"):
+            end = rest.find("```", 3)
+            flush(), out.append(rest if end < 0 else rest[: end + 3])
+            i += len(rest) if end < 0 else end + 3
+        elif m := re.match(r"`[^`\n]+`", rest):
+            flush(), out.append(m[0])
+            i += len(m[0])
+        elif rest.startswith("<!--"):
+            end = rest.find("-->", 4)
+            flush()
+            i += len(rest) if end < 0 else end + 3
+        elif m := re.match(r"(?is)<(script|style|nav|template)\b.*?</\1\s*>", rest) or re.match(r"</?[A-Za-z][^<>]*>", rest):
+            flush(), out.append("\n" if re.fullmatch(r"(?i)<br\s*/?>", m[0]) else "")
+            i += len(m[0])
+        elif m := re.match(r"!?\[([^\]\n]*)\]\([^)\n]*\)", rest):
+            flush(), out.append(m[1])
+            i += len(m[0])
+        elif m := re.match(r"(?s)\{\{.*?\}\}", rest):
+            flush()
+            i += len(m[0])
+        elif rest[0] in "`<![{":
+            flush(), out.append(rest[0])
+            i += 1
+        else:
+            plain += rest[0]
+            i += 1
+    flush()
+    return "".join(out)
+
+
+def test_cleaning_by_a_written_out_scan(spark):
+    import random
+
+    from corvane.sources.cleaning import clean_markdown
+
+    parts = ["word ", "\n", "\r\n", "```\n<!-- kept -->\n```", "`<b>`", "<!-- c -->", "<br/>", "<BR>", "<b>", "</b>", "<script>x < 1</script>", "![alt](a.png)", "[label](http://x)", "{{< tab >}}", "a < b", "[x]", "!", "{", "\nimport x from 'y'\n", "\nTable of Contents\n", "目录", "`", "<!-- open", "--- "]
+    rng = random.Random(3)
+    texts = ["", "---\ntitle: T\n---\nbody", "```open fence [a](b)"] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(400)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string").select("i", clean_markdown(F.col("t")).alias("c")).collect()
+    assert {r.i: r.c for r in got} == {**{i: scanned(t) for i, t in enumerate(texts)}, -1: None}
