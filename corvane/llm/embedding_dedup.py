@@ -122,7 +122,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     a group of copies of any size costs a row. Rows that share an id are one
     node of the links. In some pass a pair just at the threshold is in one run
     with probability ``recall``, however the vectors lie; runs shorter than
-    twice ``window`` aren't worth further passes.
+    twice ``window`` aren't worth further passes. Repeated rows are copies; an
+    empty table gives no rows; other columns play no part, whatever their names.
     """
     rows, classes = vector_classes(df, id_col, vector_col)
     rows, classes = materialize(rows), materialize(classes)
