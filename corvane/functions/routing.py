@@ -15,18 +15,24 @@ SIGNALS = [
     ("COMPARISON", "比较|对比|差异|异同|权衡|优缺点|优势.{0,6}劣势|区别", "auto-deep-comparison"),
     ("CONFLICT", "冲突|矛盾|相互印证|交叉验证", "auto-deep-conflict"),
 ]
+#: Words that ask for a cause (fixed value).
 CAUSE = "根因|原因|为什么|为何"
+#: Words that ask for a remedy (fixed value).
 REMEDIATION = "修复|解决|方案|措施|处置|恢复|改进"
+#: Phrases that look one thing up (fixed value).
 DIRECT_LOOKUP = "根据《|在《|文档.{0,8}(?:说明|给出)|部分.{0,8}(?:关键信息|要求|做法)|(?:关键信息|要求|做法)是什么"
+#: Phrases that ask whether something is stated (fixed value).
 AVAILABILITY = "是否.{0,16}(?:给出|包含|规定|说明|提供)|有没有.{0,16}(?:给出|包含|规定|说明|提供)"
-#: A technical term: at least three characters, not part of a longer one. Common words aren't terms.
+#: A technical term: at least three characters, not part of a longer one (fixed value).
 TECHNICAL = r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z0-9_.-]{2,}(?![A-Za-z0-9_.-])"
+#: Common words, which aren't terms (fixed values).
 COMMON_WORDS = ["what", "how", "why", "which", "when", "who", "the", "and", "for", "from", "into", "with", "without", "does", "are", "can", "should"]
 #: Words by which a question is small talk, or about the organization (fixed values).
 GREETING = "^(你好|您好|嗨|hello|hi|hey|谢谢|多谢|在吗|你是谁|你能做什么)[！!。.?？ ]*$"
 GREETING_WORDS = ["你好", "您好", "hello", "hi"]
 ABOUT_YOU = ["你是谁", "介绍你", "介绍一下你", "身份", "能做什么", "能提供", "可以帮"]
 ORGANIZATION = ["我们公司", "本公司", "公司内部", "内部制度", "内部资料", "本项目", "我们的项目", "知识库", "部门", "组织", "研发规范", "员工", "权限", "版本发布"]
+#: Words that refer to what was said before (fixed value).
 REFERS_BACK = "它|这个|上面|刚才|其|该|他们|those|that|it"
 
 

@@ -78,7 +78,8 @@ def accept_within_quotas(arrivals: DataFrame, total: int, per_goal: int, per_par
 
     ``arrivals``: run_id, seq, goal_id, span_id, parent_id, phase. A span that
     its goal has already is a repeat; a full pool, goal or parent (in its
-    phase) rejects. The state is a run's counters, kept while its rows stream by.
+    phase) rejects. A run's arrivals, which its pool's producers bound, are decided
+    together in one task.
     """
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
