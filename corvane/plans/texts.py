@@ -217,3 +217,16 @@ def diversified_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.operators.ranking import distinct_on
 
     return packing.diversify(distinct_on(d, ["group_id", "kind", "documents"], [F.desc("quality"), "item_id"]), 5)
+
+
+@query(r"""
+WITH u AS (SELECT conv_id, turn, string_split(trim(regexp_replace(regexp_replace(text, '["''“”‘’]', ' ', 'g'), '\s+', ' ', 'g'), ' '), ' ') AS u FROM conversations WHERE role = 'user' AND text IS NOT NULL AND trim(regexp_replace(regexp_replace(text, '["''“”‘’]', ' ', 'g'), '\s+', ' ', 'g'), ' ') <> ''),
+k AS (SELECT *, list_filter(u, lambda x: x NOT IN ('the', 'of', 'and'))[1:4] AS k FROM u WHERE NOT list_contains(list_transform(u, lambda x: upper(x)), 'OR'))
+SELECT conv_id, turn, CASE WHEN len(k) = 0 THEN u[1] ELSE array_to_string(k, ' ') END AS plan FROM k""")
+def keyword_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as keyword queries of four units at most (turns that hold the word OR aside, which tests hold to)."""
+    from corvane.functions.planning import keyword_query
+
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    plain = ~F.exists(F.split("text", r"\s+"), lambda w: F.upper(F.regexp_replace(w, "[\"'“”‘’]", "")) == "OR")
+    return c.where(plain).select("conv_id", "turn", keyword_query(F.col("text"), F.lit(None).cast("string"), ["the", "of", "and"]).alias("plan")).where("plan IS NOT NULL")
