@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,30 +74,53 @@ def pack_for_coverage(evidence: DataFrame, budget: int) -> DataFrame:
     return parents.groupBy("run_id").applyInPandas(pack, "run_id long, position int, parent_id long, tokens long, score double")
 
 
-def accept_within_quotas(arrivals: DataFrame, total: int, per_goal: int, per_parent: int) -> DataFrame:
-    """What an evidence pool accepts, in the order of arrival: the rows with a decision column.
+def accept_within_quotas(arrivals: DataFrame, total: int, per_goal: int, per_parent: int, per_requirement: int | None = None) -> DataFrame:
+    """What an evidence pool accepts, in the order of arrival: run_id, seq, goal_id, span_id, decision, linked.
 
     ``arrivals``: run_id, seq, goal_id, span_id, parent_id, phase. A span that
-    its goal has already is a repeat; a full pool, goal or parent (in its
-    phase) rejects. A run's arrivals, which its pool's producers bound, are decided
-    together in one task.
+    its goal has already is a REPEAT; a full pool, goal or parent (in its
+    phase) rejects by QUOTA. With ``per_requirement``, arrivals also have
+    ``requirements``, a list of longs: links to requirements that have so many
+    spans are trimmed, a span left without any is rejected, and a span that
+    comes again with another phase or requirement is MERGED into the one its
+    goal holds. ``linked`` are the span's requirements then (null if it is
+    rejected). Each task streams through its runs in order and holds what one
+    run has accepted, which ``total`` bounds.
     """
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans, goals, parents, decisions = set(), {}, {}, []
-        for r in pdf.sort_values("seq").itertuples():
-            spot = (r.goal_id, r.parent_id, r.phase)
-            if (r.goal_id, r.span_id) in spans:
-                decisions.append("REPEAT")
-            elif len(spans) >= total or goals.get(r.goal_id, 0) >= per_goal or parents.get(spot, 0) >= per_parent:
-                decisions.append("QUOTA")
-            else:
-                spans.add((r.goal_id, r.span_id))
-                goals[r.goal_id], parents[spot] = goals.get(r.goal_id, 0) + 1, parents.get(spot, 0) + 1
-                decisions.append("ACCEPTED")
-        return pdf.sort_values("seq").assign(decision=decisions)[["run_id", "seq", "goal_id", "span_id", "decision"]]
-
-    return arrivals.groupBy("run_id").applyInPandas(decide, "run_id long, seq long, goal_id long, span_id long, decision string")
+    linked = per_requirement is not None
+    columns = ["run_id", "seq", "goal_id", "span_id", "parent_id", "phase"]
+    own = arrivals.select(*columns, *(["requirements"] if linked else []))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, pool, goals, spots, needs = None, {}, Counter(), Counter(), Counter()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if r.run_id != run:
+                    run, pool, goals, spots, needs = r.run_id, {}, Counter(), Counter(), Counter()
+                key, spot = (r.goal_id, r.span_id), (r.goal_id, None if pd.isna(r.parent_id) else r.parent_id, r.phase)
+                held = pool.get(key)
+                asked = set(r.requirements) if linked and r.requirements is not None else set()
+                wanted = asked | (held[1] if held else set())
+                free = {q for q in wanted if needs[r.goal_id, q] < per_requirement} if linked else set()
+                full = held is None and (len(pool) >= total or goals[r.goal_id] >= per_goal or spots[spot] >= per_parent)
+                if held and (not linked or (asked <= held[1] and held[0] == r.phase)):
+                    decision, links = "REPEAT", held[1]
+                elif full or (linked and not free):
+                    decision, links = "QUOTA", None
+                else:
+                    decision, links = ("MERGED" if held else "ACCEPTED"), free
+                    if not held:
+                        goals[r.goal_id] += 1
+                        spots[spot] += 1
+                    needs.subtract((r.goal_id, q) for q in (held[1] if held else ()))
+                    needs.update((r.goal_id, q) for q in free)
+                    pool[key] = (held[0] if held else r.phase, free)
+                out.append((r.run_id, r.seq, r.goal_id, r.span_id, decision, sorted(links) if linked and links is not None else None))
+            yield pd.DataFrame(out, columns=["run_id", "seq", "goal_id", "span_id", "decision", "linked"])
+
+    in_order = own.repartition("run_id").sortWithinPartitions("run_id", "seq", "goal_id", "span_id")
+    return in_order.mapInPandas(decide, "run_id long, seq long, goal_id long, span_id long, decision string, linked array<long>")
 
 
 def diversify(candidates: DataFrame, limit: int, threshold: float = 0.72) -> DataFrame:

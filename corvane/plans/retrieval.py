@@ -229,7 +229,14 @@ def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evidence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 AS run_id", "l_orderkey * 8 + l_linenumber AS seq", "CAST(l_linenumber % 3 AS BIGINT) AS goal_id", "l_partkey % 50 AS span_id", "l_partkey % 10 AS parent_id", "l_returnflag AS phase")
-    return packing.accept_within_quotas(e, 40, 16, 4)
+    return packing.accept_within_quotas(e, 40, 16, 4).drop("linked")
+
+
+@query()
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool with spans that support several requirements, each of which takes six spans."""
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 AS run_id", "l_orderkey * 8 + l_linenumber AS seq", "CAST(l_linenumber % 3 AS BIGINT) AS goal_id", "l_partkey % 50 AS span_id", "l_partkey % 10 AS parent_id", "l_returnflag AS phase", "array_distinct(array(l_suppkey % 4, l_partkey % 3)) AS requirements")
+    return packing.accept_within_quotas(e, 40, 16, 4, 6)
 
 
 @query("""

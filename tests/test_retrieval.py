@@ -81,6 +81,14 @@ def test_quotas(spark):
     assert got == ["ACCEPTED", "ACCEPTED", "QUOTA", "QUOTA", "REPEAT", "REPEAT", "QUOTA", "QUOTA", "ACCEPTED"]
 
 
+def test_links_to_saturated_requirements_are_trimmed(spark):
+    rows = [(1, 0, 1, 10, 7, "P", [1, 2]), (1, 1, 1, 11, 7, "P", [1]), (1, 2, 1, 12, 8, "P", [1, 2]), (1, 3, 1, 13, 8, "P", [1]), (1, 4, 1, 12, 8, "P", [2]), (1, 5, 1, 11, 7, "P", [3]), (1, 6, 1, 14, 9, "P", None), (2, 0, 1, 10, 7, "P", [1])]
+    a = spark.createDataFrame(rows, "run_id long, seq long, goal_id long, span_id long, parent_id long, phase string, requirements array<long>")
+    got = [(r.decision, r.linked) for r in packing.accept_within_quotas(a, 9, 9, 9, 2).orderBy("run_id", "seq").collect()]
+    # at 5, requirement 1 has its two spans, so what 11 held of it is trimmed as 3 joins
+    assert got == [("ACCEPTED", [1, 2]), ("ACCEPTED", [1]), ("ACCEPTED", [2]), ("QUOTA", None), ("REPEAT", [2]), ("MERGED", [3]), ("QUOTA", None), ("ACCEPTED", [1])]
+
+
 def test_search_box_queries(spark):
     rows = [("mit license text",), ("the apache license",), ("apache foo license",), ("mit license gnu",)]
     words = F.split("t", " ")
