@@ -160,7 +160,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = parsers.markdown_blocks(_markdown(spark, sf_dir))
-    return chunking.parent_child(blocks, chunking.Policy(160, 190, 40, 55, "small")).drop("pieces")
+    return chunking.parent_child(blocks, chunking.Policy(160, 190, 20, 40, 55, 8, "small")).drop("pieces")
 
 
 @query()
@@ -173,7 +173,7 @@ def chunk_source_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.parent_child(parsers.markdown_blocks(_markdown(spark, sf_dir)))
     kinds = F.transform("pieces", lambda p: p["type"])
-    own = chunks.withColumns({"heading_only": F.forall(kinds, lambda t: t.isin("TITLE", "HEADING")), "has_code": F.array_contains(kinds, "CODE"), "mapped": F.lit(True)})
+    own = chunks.withColumns({"heading_only": F.forall(kinds, lambda t: t.isin("TITLE", "HEADING")), "has_code": F.array_contains(kinds, "CODE"), "mapped": F.exists("pieces", lambda p: F.coalesce(p["start"] >= 0, F.lit(False)))})
     return quality.chunk_quality(own)
 
 

@@ -53,22 +53,64 @@ def test_plain_text_and_offsets(spark):
 def test_chunks_respect_limits_and_map_back(spark):
     text = "\n".join(f"## S{i}\nSentence {i} goes on; and more of it here! Yes.\n\n" + "word " * (15 * i) for i in range(1, 9))
     blocks = parsers.markdown_blocks(spark.createDataFrame([(1, text)], "document_id long, text string"))
-    policy = chunking.Policy(80, 100, 20, 28, "p")
+    policy = chunking.Policy(80, 100, 10, 20, 28, 5, "p")
     chunks = chunking.parent_child(blocks, policy)
     rows = chunks.collect()
     parents, children = [r for r in rows if r.type == "PARENT"], [r for r in rows if r.type == "CHILD"]
     assert parents and children and {c.parent_id for c in children} == {p.chunk_id for p in parents}
     assert max(p.tokens for p in parents) <= 100 and max(c.tokens for c in children) <= 28
     texts = {r.chunk_id: r.text for r in rows}
-    units = {(p.order_index, p.unit): p.unit_text.strip() for r in rows for p in r.pieces}
+    source = {b.order_index: b.text for b in blocks.collect()}
     for m in chunking.source_map(chunks).collect():
-        assert texts[m.chunk_id][m.chunk_start : m.chunk_end] == units[m.order_index, m.unit]
+        assert texts[m.chunk_id][m.chunk_start : m.chunk_end] == source[m.order_index][m.block_start : m.block_end]
     assert rows[0].chunk_id == chunking.parent_child(blocks, policy).collect()[0].chunk_id
     marked = chunks.withColumns({"heading_only": F.lit(False), "has_code": F.lit(False), "mapped": F.lit(True)})
     report = quality.chunk_quality(marked, 20, 28, 80, 100).first()
     assert report.parents == len(parents) and report.over_limit == report.orphans == 0
 
 
+def chunks_of(spark, blocks, *policy):
+    """Chunks of one document's blocks (type, level, text, heading_path), by kind, in order."""
+    rows = [(1, i, *b) for i, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "document_id long, order_index int, type string, level int, text string, heading_path array<string>")
+    got = chunking.parent_child(df, chunking.Policy(*policy)).orderBy("type", "order_index").collect()
+    return [r for r in got if r.type == "PARENT"], [r for r in got if r.type == "CHILD"]
+
+
+def test_chunks_overlap_by_whole_units_but_not_across_headings(spark):
+    rules = "".join(f"Rule {i} says something short; " for i in range(60))
+    parents, children = chunks_of(spark, [("HEADING", 1, "A", ["A"]), ("PARAGRAPH", None, rules, ["A"]), ("HEADING", 1, "B", ["B"]), ("PARAGRAPH", None, "Last words of B.", ["B"])], 80, 100, 10, 20, 28, 8)
+    assert all(p.tokens <= 100 for p in parents) and all(c.tokens <= 28 for c in children)
+    own = [c.text for c in children if "Rule" in c.text]
+    assert all(t.startswith(("Rule", "A")) for t in own)
+    met = [i for t in own for i in __import__("re").findall(r"Rule (\d+)", t)]
+    assert set(met) == {str(i) for i in range(60)} and len(met) > 60  # all are there, some twice
+    assert parents[-1].text == "B\n\nLast words of B." and all("Last words" not in p.text for p in parents[:-1])
+
+
+def test_chunks_section_change_and_short_tail(spark):
+    para = lambda n, path: ("PARAGRAPH", None, "word " * n, path)
+    parents, _ = chunks_of(spark, [para(60, ["A"]), para(10, ["B"])], 80, 100, 10, 20, 28, 5)
+    assert len(parents) == 2 and parents[1].text.count("word") == 10  # a section long enough ends with its heading
+    parents, _ = chunks_of(spark, [para(20, ["A"]), para(10, ["B"])], 80, 100, 10, 20, 28, 5)
+    assert len(parents) == 1
+    # 20 + 5 tokens fit one child of 28; 20 + 12 don't
+    assert [c.tokens for c in chunks_of(spark, [para(20, []), para(5, [])], 80, 100, 10, 20, 28, 0)[1]] == [25]
+    assert [c.tokens for c in chunks_of(spark, [para(20, []), para(12, [])], 80, 100, 10, 20, 28, 0)[1]] == [20, 12]
+
+
+def test_chunks_keep_statements_and_words_whole(spark):
+    code = "".join(f"call_number_{i}(\n  some, arguments, here\n);\n\n" for i in range(20))
+    _, children = chunks_of(spark, [("CODE", None, code, [])], 200, 240, 0, 40, 60, 0)
+    assert len(children) > 2 and not any(c.text.startswith(")") for c in children) and "".join(p.unit_text for c in children for p in c.pieces) == code
+    words = " ".join(f"volatility_measure_{i}" for i in range(200))
+    _, children = chunks_of(spark, [("PARAGRAPH", None, words, [])], 80, 100, 0, 20, 28, 0)
+    assert all(c.tokens <= 28 and all(w in words.split() for w in c.text.split()) for c in children)
+    _, children = chunks_of(spark, [("PARAGRAPH", None, "x" * 1000, [])], 80, 100, 0, 20, 28, 0)
+    assert all(c.tokens <= 28 for c in children) and "".join(c.text for c in children) == "x" * 1000
+    assert chunks_of(spark, [("PARAGRAPH", None, " \n", []), ("PARAGRAPH", None, None, [])], 80, 100, 10, 20, 28, 5) == ([], [])
+
+
 def test_parse_quality(spark):
     rows = [(1, 0, "PARAGRAPH", "short", None), (2, 0, "PARAGRAPH", "x" * 60_000, 1), *[(3, i, "PARAGRAPH", "a repeated line of some length", 1) for i in range(4)], (4, 0, "PARAGRAPH", "ok � text that is long enough for a page", 1)]
     blocks = spark.createDataFrame(rows, "document_id long, order_index int, type string, text string, page int")
