@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bin_packing, chat_format, embedding_dedup, language_id, license_scan, mixing, ngram_join, sharding, token_count, topk_search
+from corvane.llm import bin_packing, chat_format, embedding_dedup, language_id, license_scan, mixing, ngram_join, piece_coding, sharding, token_count, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +70,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return piece_coding.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_token_count, op2_license_scan, op3_exact_topk, op4_language_id, op5_embedding_near_dedup, op6_chat_format, op7_sharding, op8_best_fit_packing, op9_ngram_jaccard_join, op10_mixing)
+    found = (op1_token_count, op2_license_scan, op3_exact_topk, op4_language_id, op5_embedding_near_dedup, op6_chat_format, op7_sharding, op8_best_fit_packing, op9_ngram_jaccard_join, op10_mixing, op13_sentencepiece)
     return {f.__name__: f for f in found}
 
 
