@@ -150,3 +150,111 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(upto) FILTER (role = 'assistant' OR back = 1) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: list_prepend(CAST(ascii(c) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))"
+    step = "lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF.format(n_chars="n_chars + 1")} END AS other
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER () AS rid, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM rows_
+), node(g, lvl, idx, n, digest) AS (
+  SELECT g, CAST(0 AS BIGINT), idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT g, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY g, lvl, n, idx // 2
+), top(lvl, idx, n, digest) AS (
+  SELECT CAST(0 AS BIGINT), g, count(*) OVER (), digest FROM node WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, n, idx // 2
+), steps AS (
+  SELECT rid, o.lvl AS step, s.digest AS sibling, s.idx < o.idx AS before
+  FROM leaves l JOIN node o ON o.g = l.g AND o.idx = l.idx >> o.lvl AND o.n > 1 LEFT JOIN node s ON s.g = o.g AND s.lvl = o.lvl AND s.idx = xor(o.idx, 1)
+  UNION ALL
+  SELECT rid, 1000 + o.lvl, s.digest, s.idx < o.idx
+  FROM leaves l JOIN top o ON o.idx = l.g >> o.lvl AND o.n > 1 LEFT JOIN top s ON s.lvl = o.lvl AND s.idx = xor(o.idx, 1)
+), path AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY step) AS pos FROM steps
+), folded(rid, pos, digest) AS (
+  SELECT rid, CAST(0 AS BIGINT), coalesce(other, leaf) FROM leaves
+  UNION ALL
+  SELECT f.rid, p.pos, sha256(CASE WHEN p.before THEN p.sibling || f.digest ELSE f.digest || coalesce(p.sibling, '') END)
+  FROM folded f JOIN path p ON p.rid = f.rid AND p.pos = f.pos + 1
+), proofs AS (
+  SELECT rid, string_agg(sibling, '' ORDER BY pos) AS proof FROM path GROUP BY rid
+), ends AS (
+  SELECT rid, arg_max(digest, pos) AS folded_root FROM folded GROUP BY rid
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = r.digest AS verified
+FROM leaves l JOIN node s ON s.g = l.g AND s.n = 1 CROSS JOIN (SELECT digest FROM top WHERE n = 1) r JOIN ends e ON e.rid = l.rid LEFT JOIN proofs p ON p.rid = l.rid
+"""
+
+
+def _repair() -> str:
+    def plus(state: str, letter: str, cost: str, line: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || chr(10) || {line}}} END"
+
+    def gone(state: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 2, 'a': {state}.a || 'D', 'r': {state}.r}} END"
+
+    def inserted(source: str) -> str:
+        u = f"least(u, {plus('e', 'I', '5', chr(39) + 'user:' + chr(39))}, {plus('s', 'I', '5', chr(39) + 'user:' + chr(39))}, {plus('a', 'I', '5', chr(39) + 'user:' + chr(39))})"
+        return f"SELECT conv_id, idx, e, s, u, least(a, {plus('u', 'I', '5', chr(39) + 'assistant:' + chr(39))}) AS a FROM (SELECT conv_id, idx, e, s, {u} AS u, a FROM {source})"
+
+    def kept(initial: str, before: str) -> str:
+        return f"CASE WHEN stays AND initial = '{initial}' THEN {plus(before, 'K', 'more', 'line')} END"
+
+    def reroled(role: str, before: str) -> str:
+        return f"CASE WHEN stays THEN {plus(before, 'R', '1 + more', chr(39) + role + ':' + chr(39) + ' || text')} END"
+
+    state = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR))"
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations
+), hit AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS idx FROM hit
+), flags AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY idx) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed
+), turns AS (
+  SELECT *, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, role || ':' || text AS line FROM flags
+), fold(conv_id, idx, e, s, u, a) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST({{'c': 0, 'a': '', 'r': ''}} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)), {state}, {state}, {state} FROM turns
+  UNION ALL
+  SELECT g.conv_id, t.idx, {gone("e")}, least({gone("s")}, {kept("s", "e")}), least({gone("u")}, {kept("u", "b")}, {reroled("user", "b")}), least({gone("a")}, {kept("a", "u")}, {reroled("assistant", "u")})
+  FROM (SELECT *, least(e, s, a) AS b FROM ({inserted("fold")})) g JOIN turns t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.idx = g.idx + 1
+), ends AS (
+  SELECT conv_id, arg_max(least(e, a), idx) AS best FROM ({inserted("fold")}) GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN ends n ON n.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+SQL["op12_conversation_repair"] = _repair()
