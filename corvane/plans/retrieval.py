@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import fusion, metrics, packing, ranking, search
+from corvane.operators.keyword_index import KeywordIndex
 from corvane.plans import query
 from corvane.plans.model import SQL_CHUNKS, SQL_GOLD, chunks, gold, questions, table
 
@@ -46,6 +47,30 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {SQL_TERM_SEARCH} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keyword")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword search by an index that is written, opened and read in blocks whose bounds allow a hit."""
+    written = KeywordIndex.build(chunks(spark, sf_dir))
+    hits = KeywordIndex.open(spark, written.path).search(questions(spark, sf_dir))
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+SQL_BM25 = f"""c AS ({SQL_CHUNKS}), w AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS t FROM c),
+s AS (SELECT count(*) AS chunks, (SELECT avg(len(t)) FROM w JOIN c USING (chunk_id) WHERE document_id % 10 <> 7) AS mean FROM w),
+tf AS (SELECT chunk_id, term, count(*) AS f, n FROM (SELECT chunk_id, unnest(t) AS term, len(t) AS n FROM w) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
+k AS (SELECT query_id, chunk_id, round(sum(ln(1 + (chunks - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s WHERE term <> '' GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL_BM25} SELECT query_id, chunk_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k QUALIFY rank <= 20")
+def keyword_index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index to which a tenth of the documents is appended after the rest was written."""
+    own = chunks(spark, sf_dir)
+    index = KeywordIndex.build(own.where("document_id % 10 <> 7"), scoring="bm25").append(own.where("document_id % 10 = 7"))
+    return index.search(questions(spark, sf_dir), 20).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 @query(f"WITH c AS ({SQL_CHUNKS}), {SQL_TRIGRAM_SEARCH} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM trigram")
 def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.trigram_search(questions(spark, sf_dir), chunks(spark, sf_dir))

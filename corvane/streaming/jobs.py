@@ -8,8 +8,6 @@ keeps a batch's output from being written twice.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,13 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from corvane.sources.folders import workspace
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder for a job's table and checkpoint, in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -40,12 +34,12 @@ def finish(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
 
 def deliver_once(spark: SparkSession, path: str, late: str = "40 days") -> DataFrame:
     """Events once each by id, however often they are delivered within ``late``."""
-    return finish(events(spark, path).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]), workspace(spark))
+    return finish(events(spark, path).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]), workspace(spark, "stream"))
 
 
 def split_dead_letters(spark: SparkSession, path: str, ok) -> tuple[DataFrame, DataFrame]:
     """Events that can be worked on, and those that can't, each written once for each batch."""
-    out = workspace(spark)
+    out = workspace(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         for name, keep in (("good", ok), ("dead", ~F.coalesce(ok, F.lit(False)))):
@@ -61,13 +55,13 @@ def window_rates(spark: SparkSession, path: str, width: str = "1 day", late: str
     """Counts, errors and value sums of closed windows: start, n, errors, total."""
     w = F.window("ts", width)
     agg = events(spark, path).withWatermark("ts", late).groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total"))
-    return finish(agg.select(F.col("window.start").alias("start"), "n", "errors", "total"), workspace(spark))
+    return finish(agg.select(F.col("window.start").alias("start"), "n", "errors", "total"), workspace(spark, "stream"))
 
 
 def sessions(spark: SparkSession, path: str, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
     """Closed sessions of users: user_id, start, end, n."""
     agg = events(spark, path).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
-    return finish(agg.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n"), workspace(spark))
+    return finish(agg.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n"), workspace(spark, "stream"))
 
 
 def replay(log: DataFrame, run: str, after: int) -> DataFrame:
@@ -97,4 +91,4 @@ def stale_runs(spark: SparkSession, path: str, idle_hours: int = 72, max_attempt
         yield pd.DataFrame(found, columns=["user_id", "attempt", "action"])
 
     out = events(spark, path).groupBy("user_id").applyInPandasWithState(watch, "user_id long, attempt int, action string", "last long, attempts int", "append", GroupStateTimeout.NoTimeout)
-    return finish(out, workspace(spark))
+    return finish(out, workspace(spark, "stream"))
