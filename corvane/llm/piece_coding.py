@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,12 +28,17 @@ from corvane.llm.token_count import SPACE_MARK, load_model, split_text
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What the library writes for the unknown id (a fixed value).
 UNKNOWN_TEXT = " ⁇ "
-#: Short units whose ids a worker keeps (twice so many at most), and units of a long text that are coded at once.
-KEPT_UNITS, UNITS_AT_ONCE = 1 << 19, 1 << 18
+#: Short units whose ids a worker keeps (twice so many at most).
+KEPT_UNITS = 1 << 19
+#: Characters of a text whose units are found at once; of a longer one, so many units at a time.
+TEXT_AT_ONCE, UNITS_AT_ONCE = 1 << 20, 1 << 18
 #: Bits of a symbol's number; an agenda's entry is a rank above a place.
 WIDTH, PLACE_BITS = 24, 32
 PLACE = (1 << PLACE_BITS) - 1
 RANK = ~PLACE
+NEVER = 1 << 62
+#: Symbols up to which a list is the quicker agenda.
+SHORT = 40
 
 
 class MergeVocabulary:
@@ -74,6 +80,8 @@ class MergeVocabulary:
         """What pairs of symbols make, by rank of score. A symbol is a piece's id; characters that are no piece but stand in one have numbers after the pieces'."""
         scores = sorted({self.scores[p] for p in long}, reverse=True)
         rank = {x: i for i, x in enumerate(scores)}
+        times = Counter(self.scores[p] for p in long)
+        self.tied = {rank[x] for x, n in times.items() if n > 1}
         self.parts = sorted(set("".join(long)) - self.ids.keys())
         self.symbols = self.ids | {c: len(self.names) + i for i, c in enumerate(self.parts)}
         self.made: dict[int, int] = {}
@@ -122,6 +130,21 @@ class MergeVocabulary:
                 heappush(agenda, pair & RANK | h)
         return [s for s in symbols if s >= 0]
 
+    def merged_short(self, symbols: list[int]) -> list[int]:
+        """As :meth:`merged`, for a few symbols: the agenda is a list beside them, whose least entry is the next."""
+        made, tied = self.made.get, self.tied
+        agenda = [made(a << WIDTH | b, NEVER) for a, b in pairwise(symbols)]
+        while agenda and (least := min(agenda)) != NEVER:
+            rank = least >> PLACE_BITS
+            i = next(i for i, x in enumerate(agenda) if x >> PLACE_BITS == rank) if rank in tied else agenda.index(least)
+            symbols[i] = s = agenda[i] & PLACE
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = made(s << WIDTH | symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = made(symbols[i - 1] << WIDTH | s, NEVER)
+        return symbols
+
     def fallback(self, char: str) -> tuple[int, ...]:
         """The ids of a character that is no piece."""
         return tuple(self.byte_ids[x] for x in char.encode()) if self.byte_ids else (self.unknown,)
@@ -133,39 +156,49 @@ class MergeVocabulary:
             return got
         got = self.older.pop(unit, None)
         if got is None:
-            touching, known, size = self.touching, self.symbols.get, len(unit)
-            cuts = [0, *(i for i in range(1, size) if unit[i - 1 : i + 1] not in touching), size]
             out: list[int] = []
-            for a, b in pairwise(cuts):
-                if b - a == 1 and unit[a] not in self.ids:
-                    out += self.fallback(unit[a])
-                    continue
-                for s in self.merged([known(c) for c in unit[a:b]]):
-                    if s < len(self.names):
-                        out.append(s)
-                    else:
-                        out += self.fallback(self.parts[s - len(self.names)])
-            got = tuple(out)
+            for s in self._symbols(unit):
+                if s < len(self.names):
+                    out.append(s)
+                else:
+                    out += self.fallback(self.parts[s - len(self.names)])
+            got = tuple(out) if out else self.fallback(unit)
         if len(unit) <= 64:
             if len(self.kept) >= KEPT_UNITS:
                 self.kept, self.older = {}, self.kept
             self.kept[unit] = got
         return got
 
+    def _symbols(self, unit: str) -> list[int]:
+        """What is left of a unit's symbols; nothing of a character that stands in no piece, which is a unit of its own."""
+        symbols = list(map(self.symbols.get, unit))
+        if len(symbols) <= SHORT:
+            return [] if symbols == [None] else self.merged_short(symbols)
+        # a long unit is cut where no piece can span the cut, so that an agenda is no longer than it must be
+        cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.touching), len(unit)]
+        return [s for a, b in pairwise(cuts) for s in self.merged(symbols[a:b])]
+
     def pieces(self, text: str) -> Iterator[list[int]]:
         """The ids of ``text``, in lists of ``UNITS_AT_ONCE`` units at most."""
         if not text:
             return
-        units = self.units.finditer(self.prefix + text.replace(" ", SPACE_MARK))
-        last = None
-        while matches := list(islice(units, UNITS_AT_ONCE)):
+        marked = self.prefix + text.replace(" ", SPACE_MARK)
+        if len(marked) <= TEXT_AT_ONCE:
+            parts: Iterator[list[str]] = iter([self.units.findall(marked)])
+        else:
+            found = (m[0] for m in self.units.finditer(marked))
+            parts = iter(lambda: list(islice(found, UNITS_AT_ONCE)), [])
+        last, joins = None, not self.byte_ids
+        for units in parts:
             ids: list[int] = []
-            for m in matches:
-                got = self.kept.get(m[0]) or self.unit_ids(m[0])
-                if not self.byte_ids and got == (self.unknown,) == last:
-                    continue  # without bytes, neighbours that are unknown share one id
+            known, code = self.kept.get, self.unit_ids
+            for unit in units:
+                got = known(unit) or code(unit)
+                if joins:
+                    if got == last == (self.unknown,):
+                        continue  # without bytes, neighbours that are unknown share one id
+                    last = got[-1:]
                 ids += got
-                last = got[-1:]
             yield ids
 
     def encode(self, text: str, end: bool = False) -> list[int]:

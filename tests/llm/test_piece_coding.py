@@ -33,6 +33,7 @@ def test_what_is_kept_doesnt_change_results(monkeypatch):
 
     monkeypatch.setattr(piece_coding, "KEPT_UNITS", 3)
     monkeypatch.setattr(piece_coding, "UNITS_AT_ONCE", 2)
+    monkeypatch.setattr(piece_coding, "TEXT_AT_ONCE", 10)
     small = MergeVocabulary(PATH)
     for text in ["one two three four five six one two three", "a\nb\nc  d   e", "ab" * 500, "x" * 3000, "中" * 50]:
         assert small.encode(text) == LIBRARY.encode(text)
