@@ -19,6 +19,8 @@ from corvane.llm.common import batches_by_bytes
 UNKNOWN = "und"
 #: Bytes that are compressed at once: what a dictionary saves is bounded, so in one long piece it would sink below any share.
 BLOCK = 16_384
+#: Passages of a language behind which a short text is compressed, their bytes, and the short pieces of each language by which they are levelled.
+PASSAGES, PASSAGE, PROBES = 4, 4096, 12
 PREDICTED = ["lang_pred", "score", "margin", "rejected"]
 
 
@@ -66,7 +68,7 @@ def identified(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
-def predictions(df: DataFrame, dictionaries: dict[str, bytes], text_col: str, keep: list[str], level: int = 6, margin: float = 0.002) -> DataFrame:
+def predictions(df: DataFrame, dictionaries: dict[str, bytes], text_col: str, keep: list[str], level: int = 6, margin: float = 0.002, least_bytes: int = 48) -> DataFrame:
     """The ``keep`` columns as k0, k1, ... with lang_pred, score, margin and rejected.
 
     The whole text is compressed once for each language, in blocks of ``BLOCK``
@@ -75,7 +77,11 @@ def predictions(df: DataFrame, dictionaries: dict[str, bytes], text_col: str, ke
     the minus its compressed bits, ``margin`` how many bytes fewer the best
     needs than the second, by the second's. A text is rejected if its margin is below ``margin`` or it is
     ``und``: null, empty or without a letter (score and margin 0). With one
-    language nothing is narrow. Ties go to the first of ``dictionaries``.
+    language nothing is narrow.
+
+    No dictionary shortens a text of a few words, so all sizes are equal there. A text of less than ``least_bytes``
+    bytes is compressed behind passages of each language (the dictionary's end), and counts as what it adds to
+    them, beside what short pieces of all languages add on average; a narrow margin doesn't reject it, as it is too short to tell: it keeps its best guess. Ties go to the first of ``dictionaries``.
     Repeated rows stay; an empty table gives no rows; other columns play no
     part, whatever their names. One narrow stage.
     """
@@ -90,22 +96,40 @@ def predictions(df: DataFrame, dictionaries: dict[str, bytes], text_col: str, ke
         import zstandard as zs
 
         langs = [k for k, _ in shared.value]
+        primed: list[tuple] = []
+
+        def added(data: bytes) -> np.ndarray:
+            """What each language's passages grow by when ``data`` follows them, above the average of short pieces of all languages."""
+            if not primed:
+                probes = [v[at : at + 8 + 3 * i] for _, v in shared.value for i in range(PROBES) for at in [i * (len(v) // 2) // PROBES]]
+                for _, v in shared.value:
+                    size = min(PASSAGE, len(v) // (2 * PASSAGES))
+                    cut = len(v) - size * PASSAGES
+                    before = zs.ZstdCompressionDict(v[:cut], dict_type=zs.DICT_TYPE_RAWCONTENT)
+                    before.precompute_compress(level=level)
+                    coder = zs.ZstdCompressor(level=level, dict_data=before, write_content_size=False, write_checksum=False, write_dict_id=False)
+                    passages = [v[cut + i * size : cut + (i + 1) * size] for i in range(PASSAGES)]
+                    primed.append((coder, passages, np.mean([sum(len(coder.compress(p + x)) for p in passages) for x in probes])))
+            return np.array([sum(len(c.compress(p + data)) for p in passages) - mean for c, passages, mean in primed]) / PASSAGES
+
         coders = [zs.ZstdCompressor(level=level, dict_data=zs.ZstdCompressionDict(v, dict_type=zs.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, v in shared.value]
         for batch in batches:
-            pred, score, gap = [], [], []
+            pred, score, gap, few = [], [], [], []
             for x, letters in zip(batch.column(at), batch.column(len(keep)).to_pylist(), strict=True):
                 if not letters or not langs:
-                    pred.append(UNKNOWN), score.append(0.0), gap.append(0.0)
+                    pred.append(UNKNOWN), score.append(0.0), gap.append(0.0), few.append(False)
                     continue
                 data = f" {x.as_py().lower()} ".encode()
                 blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders], float)
+                short = len(data) - 2 < least_bytes
+                sizes = added(data) if short else np.array([sum(len(c.compress(b)) for b in blocks) for c in coders], float)
                 best = int(sizes.argmin())
                 pred.append(langs[best])
                 score.append(float(1 / np.exp2(np.maximum(-1000, 8 * (sizes[best] - sizes))).sum()))
                 second = np.partition(sizes, 1)[1] if len(sizes) > 1 else np.inf
-                gap.append(1.0 if np.isinf(second) else float((second - sizes[best]) / second))
-            rejected = [p == UNKNOWN or g < margin for p, g in zip(pred, gap, strict=True)]
+                gap.append(1.0 if np.isinf(second) else float((second - sizes[best]) / (len(data) if short else second)))
+                few.append(short)
+            rejected = [p == UNKNOWN or (g < margin and not f) for p, g, f in zip(pred, gap, few, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score", "margin", "rejected"])
 
     return narrow.mapInArrow(run, schema)

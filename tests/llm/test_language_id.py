@@ -93,3 +93,29 @@ def test_dictionaries_share_their_bytes(spark):
     rows = [("a b c " * n, "q") for n in (1, 5, 400, 500, 3000)]
     got = fit_dictionaries(spark.createDataFrame(rows, "text string, lang string"), dict_bytes=3000)["q"]
     assert len(got) == 3000 and all(("a b c " * n).encode()[:700] in got for n in (1, 5, 400))
+
+
+def test_short_texts_are_told_apart_and_never_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL AND length(text) > 200")
+    rows = docs.select("doc_id", "lang", "text").orderBy("doc_id").limit(3000).collect()
+    is_held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    dictionaries = fit_dictionaries(spark.createDataFrame([(r.lang, r.text) for r in rows if not is_held(r)], "lang string, text string"))
+    cuts = []
+    for n in (8, 16, 24, 32, 46):
+        for r in [r for r in rows if is_held(r)][:150]:
+            at = r.text.find(" ", 60) + 1
+            cut = r.text[at : at + n].rsplit(" ", 1)[0] or r.text[at : at + n]
+            cuts.append((n, r.lang, cut))
+    got = classify(spark.createDataFrame(cuts, "n int, lang string, text string"), dictionaries, keep=["n", "lang", "text"]).collect()
+    told = [r for r in got if any(c.isalpha() for c in r.text)]
+    assert not any(r.rejected for r in told) and all(r.lang_pred in dictionaries and 0 <= r.score <= 1 for r in told)
+    right = {n: sum(r.lang_pred == r.lang for r in told if r.n == n) / sum(r.n == n for r in told) for n in (8, 16, 24, 32, 46)}
+    print(right)
+    assert all(right[n] >= least for n, least in {8: 0.55, 16: 0.7, 24: 0.85, 32: 0.92, 46: 0.95}.items()), right
+
+
+def test_the_least_length_is_a_parameter(spark):
+    dictionaries = fit_dictionaries(table(spark))
+    few = spark.createDataFrame([(1, "xy zq"), (2, "das")], "doc_id long, text string")
+    assert not any(r.rejected for r in classify(few, dictionaries).collect())
+    assert all(r.rejected for r in classify(few, dictionaries, least_bytes=0).collect())

@@ -47,3 +47,14 @@ def test_stages_stand_clashing_columns_nulls_and_no_rows(spark):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert "sequence_id" in got.columns and got.count() > 0
+
+
+def test_short_documents_stay(spark):
+    short = ["das Haus", "la maison", "a river", "el invierno", "Ja", "ok then", "noch ein kleines Haus am Fluss"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = spark.createDataFrame([(10_000 + i, t, None, "short", len(t)) for i, t in enumerate(short)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
+    at = both
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        at = materialize(stage(spark, at, ""))
+        assert {r.doc_id for r in at.where("doc_id >= 10000").collect()} == {10_000 + i for i in range(len(short))}, name
