@@ -125,7 +125,7 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     place = np.arange(n) - starts[owner]
     short = counts < size
     value = np.zeros(n, np.uint64)
-    for j in range(size):
+    for j in range(min(size, n)):
         part = words[j:] * np.uint64(pow(int(MIX) | 1, j + 1, 1 << 64))
         value[: n - j] += part
     keep = place + size <= counts[owner]

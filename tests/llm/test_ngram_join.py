@@ -145,3 +145,10 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(300, 340)] + [(7, 7), (2, 339)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and {got[j] for j in [2, 5, *range(300, 340)]} == {2} and got[7] == 7
+
+
+def test_tables_of_less_words_than_a_shingle(spark):
+    for texts in (["Ja"], ["Ja", "ja"], ["", None, "one two"]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: (r.n_links, r.kept) for r in near_duplicates(df).collect()}
+        assert len(got) == len(texts) and sum(k for _, k in got.values()) == (1 if texts == ["Ja", "ja"] else len(texts))
