@@ -64,9 +64,10 @@ def tiled(chunks: DataFrame, queries: DataFrame, k: int, scorer: Callable[[list]
     and ``columns``, so of a bounded number) go to every task, which multiplies
     it with ``rows`` chunks at a time and carries its ``k`` best of each query
     along. Tasks' lists are merged at the end. ``scorer`` makes of a block's rows a
-    function from chunks to scores (chunks by queries) and whether they count.
+    function from chunks to scores (chunks by queries) and whether they count. Null ids take no part.
     """
     out = None
+    queries, chunks = queries.where("query_id IS NOT NULL"), chunks.where("chunk_id IS NOT NULL")
     for part in query_blocks(queries, block):
         asked = part.select("query_id", *columns).collect()
         ids = np.array([r.query_id for r in asked], np.int64)
@@ -256,15 +257,16 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, within: l
     """Each query's ``k`` nearest vectors by cosine, exactly: query_id, vec_id, similarity, rank.
 
     ``queries``: query_id, embedding; ``vectors``: vec_id, embedding. A query's own id doesn't count, nor do null
-    vectors or those of another length. ``within`` names columns that both sides hold
+    vectors, those of another length or those that hold null or non-finite components. ``within`` names columns that both sides hold
     and that must be equal (a knowledge base, say). Queries are taken in blocks
     and met with the vectors in tiles (:func:`tiled`): a tile is one matrix
     product. Similarities count to nine digits.
     """
     keys = within or []
     width = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
-    asked = queries.where((F.size("embedding") == width) & F.col("query_id").isNotNull())
-    own = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>"), F.xxhash64(F.lit(0), *keys).alias("key"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    asked = queries.where((F.size("embedding") == width) & finite & F.col("query_id").isNotNull())
+    own = vectors.where(F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>"), F.xxhash64(F.lit(0), *keys).alias("key"))
     asked = asked.select("query_id", F.col("embedding").cast("array<double>"), F.xxhash64(F.lit(0), *keys).alias("key"))
 
     def scorer(rows: list):

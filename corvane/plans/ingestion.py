@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import ingest
 from corvane.plans import query
 from corvane.plans.model import SQL_CHUNKS, SQL_VERSIONS, chunks, table, versions
-from corvane.sources import imports
+from corvane.sources import imports, workbooks
+from corvane.sources.folders import workspace
 
 
 @query(f"WITH c AS ({SQL_CHUNKS}) SELECT chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = chunk_id % 700)")
@@ -125,3 +126,39 @@ def content_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("doc_id") % 3
     declared = F.when(m == 0, F.sha2("content", 256)).when(m == 1, F.sha2(F.lit("other").cast("binary"), 256)).otherwise("0" * 64)
     return verify_content(d.withColumn("declared_hash", declared)).select("doc_id", "sha256", "verified")
+
+
+SQL_CELLS = """SELECT l_suppkey AS supplier, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS row, l_returnflag || '|' || l_linestatus AS flag,
+  CAST(l_quantity AS BIGINT) AS quantity, CAST(l_shipdate AS TIMESTAMP) AS shipped, l_discount > 0.05 AS cheap FROM lineitem"""
+
+
+def _supplier_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of workbooks with a sheet for each supplier: a line's flags, quantity, date and whether it is cheap, written and read back."""
+    workbooks.register(spark)
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(order))
+    cell = lambda col, kind, value: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.alias("value"))
+    cells = F.array(
+        cell(1, "text", F.concat("l_returnflag", F.lit("|"), "l_linestatus")), cell(2, "number", F.col("l_quantity").cast("long").cast("string")),
+        cell(3, "date", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")), cell(4, "boolean", (F.col("l_discount") > 0.05).cast("string")),
+    )
+    path = workspace(spark, "workbooks")
+    spread = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("sheet"), "row", F.inline(cells))
+    spread.repartition("sheet").sortWithinPartitions("sheet", "row", "col").write.format(workbooks.NAME).mode("append").save(path)
+    return spark.read.format(workbooks.NAME).option("splitBytes", 1_000_000).option("maxRows", 100_000).load(path)
+
+
+@query(SQL_CELLS)
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _supplier_workbooks(spark, sf_dir).groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
+    at = lambda c: F.element_at("m", c)
+    return per.select(F.substring("sheet", 2, 20).cast("long").alias("supplier"), F.col("row").cast("long").alias("row"), at(1).alias("flag"), at(2).cast("long").alias("quantity"), at(3).cast("timestamp_ntz").alias("shipped"), at(4).cast("boolean").alias("cheap"))
+
+
+@query(f"""WITH c AS ({SQL_CELLS}), w AS (SELECT *, (row - 1) // 50 AS "window", '| ' || replace(flag, '|', chr(92) || '|') || ' | ' || quantity || ' | ' || strftime(shipped, '%Y-%m-%d %H:%M:%S') || ' | ' || cheap || ' |' AS line FROM c),
+a AS (SELECT supplier, "window", min(row) AS first_row, max(row) AS last_row, list(line ORDER BY row) AS lines FROM w GROUP BY ALL)
+SELECT supplier, "window", first_row, last_row, md5(array_to_string(list_concat(lines[1:1], ['| --- | --- | --- | --- |'], lines[2:]), chr(10))) AS text_md5 FROM a""")
+def workbook_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheets in windows of 50 rows, as tables."""
+    w = workbooks.row_windows(_supplier_workbooks(spark, sf_dir))
+    return w.select(F.substring("sheet", 2, 20).cast("long").alias("supplier"), F.col("window").cast("long").alias("window"), F.col("first_row").cast("long").alias("first_row"), F.col("last_row").cast("long").alias("last_row"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

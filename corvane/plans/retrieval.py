@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import fusion, metrics, packing, ranking, search
 from corvane.operators.keyword_index import KeywordIndex
+from corvane.operators.vector_index import VectorIndex, search_generations
 from corvane.plans import query
 from corvane.plans.model import SQL_CHUNKS, SQL_GOLD, chunks, gold, questions, table
 
@@ -77,6 +78,8 @@ def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Components of a vector in ``embeddings``.
+WIDTH = 64
 SQL_VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
@@ -99,6 +102,34 @@ def vector_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(q, v, 5, within=["label"]).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(f"""
+WITH {SQL_VECTORS}, s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact nearest vectors by an index that is written, opened and read in rings that the triangle inequality leaves."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    written = VectorIndex.build(v, WIDTH)
+    hits = VectorIndex.open(spark, written.path).search(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+    return hits.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""
+WITH {SQL_VECTORS}, g AS (SELECT vec_id, label, e, 0 AS generation FROM v WHERE vec_id % 3 <> 1 UNION ALL SELECT vec_id, label, list_transform(e, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END), 1 FROM v WHERE vec_id % 3 <> 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, max(round(list_cosine_similarity(CASE WHEN generation = 0 THEN a.e ELSE list_transform(a.e, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END) END, b.e), 9)) AS s
+  FROM v a JOIN g b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s QUALIFY rank <= 8""")
+def vector_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations of an index whose models differ (the later one reads half of the components), merged; searches stay within a label."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    other = v.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0.0).cast("float"))))
+    asked = []
+    for vectors, kept in ((v, "vec_id % 3 <> 1"), (other, "vec_id % 3 <> 0")):
+        index = VectorIndex.build(vectors.where(kept), WIDTH, within=["label"], ring=64)
+        asked.append((index, vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")))
+    hits = search_generations(asked, 8, over_fetch=2)
+    return hits.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query(f"WITH {SQL_TERM_SEARCH}, {SQL_TRIGRAM_SEARCH}, {SQL_FUSED} SELECT query_id, chunk_id, round(rrf, 9) AS rrf, rrf_rank FROM fused")
 def rrf_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_hits(spark, sf_dir).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "rrf_rank")

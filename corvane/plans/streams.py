@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corvane.plans import query
 from corvane.plans.model import table
-from corvane.streaming import jobs
+from corvane.sources.folders import workspace
+from corvane.streaming import groups, jobs
 
 
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1")
@@ -79,3 +80,42 @@ def paired_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparisons both of whose runs have ended."""
     done = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_orderkey").alias("pair"))
     return done.join(done.select((F.col("pair") - 1).alias("pair")), "pair", "left_semi")
+
+
+IDLE = 12 * 3_600_000
+GROUP_MESSAGES = """SELECT user_id % 16 AS queue, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'POLL' WHEN 'signup' THEN 'ACK' WHEN 'error' THEN 'RESTART' ELSE 'ADD' END AS kind, event_id % 3 AS consumer, event_id AS job"""
+_GIVEN = "lambda p: {{'s': p.s, 'j': p.j, 'c': m.consumer, 'tm': m.tm, 'd': p.d + 1, 'f': true}}".replace("{{", "{").replace("}}", "}")
+_TOLD = "lambda p: {'s': p.s, 'j': p.j, 'c': p.c, 'd': p.d, 'action': "
+
+
+@query(f"""
+WITH RECURSIVE m AS (
+  SELECT *, row_number() OVER (PARTITION BY queue ORDER BY tm, seq) AS step FROM ({GROUP_MESSAGES}, epoch_us(ts) // 1000 AS tm FROM events)
+), walk(queue, step, tm, seq, waiting, pending, told) AS (
+  SELECT DISTINCT queue, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(s BIGINT, j BIGINT)[]), CAST([] AS STRUCT(s BIGINT, j BIGINT, c BIGINT, tm BIGINT, d INTEGER, f BOOLEAN)[]),
+    CAST([] AS STRUCT(s BIGINT, j BIGINT, c BIGINT, d INTEGER, action VARCHAR)[]) FROM m
+  UNION ALL
+  SELECT queue, step, tm, seq, CASE WHEN kind = 'ADD' THEN list_append(waiting, {{'s': step, 'j': job}}) WHEN src = 'NEW' THEN waiting[5:] ELSE waiting END,
+    CASE WHEN kind = 'RESTART' THEN list_transform(pending, lambda p: {{'s': p.s, 'j': p.j, 'c': p.c, 'tm': p.tm, 'd': p.d, 'f': p.f AND p.c <> consumer}})
+      WHEN kind IN ('ACK', 'POLL') THEN list_sort(list_concat(list_filter(pending, lambda p: NOT list_contains(list_transform(list_concat(acked, given, dead), lambda x: x.s), p.s)), given)) ELSE pending END,
+    list_concat(list_transform(acked, {_TOLD}'ACK'}}), list_transform(given, {_TOLD}src}}), list_transform(dead, {_TOLD}'DEAD'}}))
+  FROM (SELECT m.*, waiting, pending, src, CASE WHEN m.kind = 'ACK' THEN list_filter(pending, lambda p: p.c = m.consumer AND p.f)[1:4] ELSE [] END AS acked,
+      CASE src WHEN 'OWN' THEN list_transform(own[1:4], {_GIVEN}) WHEN 'RECLAIMED' THEN list_transform(list_filter(idle[1:8], lambda p: p.d < 3), {_GIVEN})
+        WHEN 'NEW' THEN list_transform(waiting[1:4], lambda w: {{'s': w.s, 'j': w.j, 'c': m.consumer, 'tm': m.tm, 'd': CAST(1 AS INTEGER), 'f': true}}) ELSE [] END AS given,
+      CASE WHEN src = 'RECLAIMED' THEN list_filter(idle[1:8], lambda p: p.d >= 3) ELSE [] END AS dead
+    FROM (SELECT w.queue, w.waiting, w.pending, m.step AS next, list_filter(w.pending, lambda p: p.c = m.consumer AND NOT p.f) AS own, list_filter(w.pending, lambda p: p.c <> m.consumer AND m.tm - p.tm >= {IDLE}) AS idle,
+        CASE WHEN m.kind <> 'POLL' THEN '' WHEN len(list_filter(w.pending, lambda p: p.c = m.consumer AND NOT p.f)) > 0 THEN 'OWN' WHEN len(list_filter(w.pending, lambda p: p.c <> m.consumer AND m.tm - p.tm >= {IDLE})) > 0 THEN 'RECLAIMED' ELSE 'NEW' END AS src
+      FROM walk w JOIN m ON m.queue = w.queue AND m.step = w.step + 1) x JOIN m ON m.queue = x.queue AND m.step = x.next)
+), rows_ AS (
+  SELECT queue, step, tm, seq, t.s AS entry, t.action AS action, t.c AS consumer, t.j AS job, t.d AS deliveries FROM (SELECT queue, step, tm, seq, unnest(told) AS t FROM walk)
+), next_ AS (
+  SELECT *, lead(tm) OVER (PARTITION BY queue, entry ORDER BY step) AS touched FROM rows_
+)
+SELECT queue, tm AS "at", seq, action, consumer, job, deliveries FROM rows_
+UNION ALL
+SELECT queue, tm + {IDLE}, 0, 'STALE', consumer, job, deliveries FROM next_ WHERE action IN ('OWN', 'RECLAIMED', 'NEW') AND coalesce(touched, (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)) >= tm + {IDLE}""")
+def stream_consumer_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of 16 queues and three consumers each: own pending work, idle work of others, new work, and what fell silent."""
+    source = jobs.events(spark, f"{sf_dir}/events.parquet")
+    messages = source.selectExpr("ts", *[x.strip() for x in GROUP_MESSAGES.removeprefix("SELECT ").split(", ")])
+    return jobs.finish(groups.deliveries(messages, idle_ms=IDLE), workspace(spark, "stream"))
