@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import citations
+from corvane.operators.greedy import Spread, streamed
 
 
 def rerank(ranked: DataFrame, score: Column, limit: int) -> DataFrame:
@@ -106,7 +104,7 @@ def balanced_pick(candidates: DataFrame, count: int) -> DataFrame:
     is taken. Of items alike in kind and documents only the first ``count`` can
     be taken, and where every item has one document, only those of a kind's
     first ``count`` documents, as at most ``count - 1`` are taken before: a
-    task gets no others.
+    task gets no others. It reads them as a stream and holds what could still be taken (:class:`Spread`).
     """
     same = ["group_id", "kind", "documents"]
     rows = candidates.select("group_id", "item_id", "kind", F.sort_array(F.coalesce("documents", F.array().cast("array<string>"))).alias("documents"), "rank")
@@ -117,15 +115,6 @@ def balanced_pick(candidates: DataFrame, count: int) -> DataFrame:
     alike = (F.col("s_group_id") == F.col("group_id")) & F.col("kind").eqNullSafe(F.col("s_kind")) & (F.col("s_documents") == F.col("documents"))
     bounded = near.join(open_sets, alike, "left_semi").drop("n")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = list(pdf.sort_values(["rank", "item_id"]).itertuples())
-        kinds, documents, taken = Counter(), Counter(), []
-        while rest and len(taken) < count:
-            at = min(range(len(rest)), key=lambda i: (kinds[rest[i].kind], sum(documents[d] for d in rest[i].documents), i))
-            r = rest.pop(at)
-            kinds[r.kind] += 1
-            documents.update(r.documents)
-            taken.append((r.group_id, len(taken) + 1, r.item_id))
-        return pd.DataFrame(taken, columns=["group_id", "position", "item_id"])
-
-    return bounded.groupBy("group_id").applyInPandas(pick, "group_id string, position int, item_id long")
+    width = rows.groupBy(F.col("group_id").alias("g_")).agg(F.max(F.size("documents")).alias("widest"))
+    bounded = bounded.join(width, F.col("group_id").eqNullSafe(F.col("g_"))).drop("g_")
+    return streamed(bounded, "group_id", ["rank", "item_id"], lambda: Spread(count), "group_id string, position int, item_id long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import fusion, ingest, search
+from corvane.operators.packing import fit_in_order
 from corvane.plans import query
 from corvane.plans.model import SQL_CHUNKS, chunks, questions, table
 from corvane.plans.retrieval import SQL_DEEP, SQL_TERM_SEARCH, SQL_TRIGRAM_SEARCH, _deep
@@ -77,18 +78,19 @@ def evidence_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.select("doc_id", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("at").cast("string"), "quote").cast("binary"), 256).alias("evidence_id"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT l_orderkey % 200 AS run_id, l_linenumber AS goal, l_partkey AS item, l_suppkey % 90 + 40 AS tokens,
+  row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_linenumber, l_discount DESC, l_partkey, l_suppkey % 90) AS n FROM lineitem),
+w(run_id, n, room, taken, "position") AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT), CAST(1500 AS BIGINT), false, CAST(0 AS BIGINT) FROM e
+  UNION ALL
+  SELECT e.run_id, e.n, CASE WHEN tokens <= room THEN room - tokens ELSE room END, tokens <= room, CASE WHEN tokens <= room THEN "position" + 1 ELSE "position" END FROM w JOIN e ON e.run_id = w.run_id AND e.n = w.n + 1)
+SELECT run_id, "position", goal, item FROM w JOIN e USING (run_id, n) WHERE taken""")
 def judge_bounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run's evidence for its judge: goal by goal, best first, what fits the tokens that are left over all goals."""
     e = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("run_id"), F.col("l_linenumber").alias("goal"), F.col("l_discount").alias("score"), F.col("l_partkey").alias("item"), (F.col("l_suppkey") % 90 + 40).cast("long").alias("tokens"))
-    rows = e.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("goal", (-F.col("score")).alias("order"), "item", "tokens"))).alias("items"))
-    begin = F.struct(F.lit(1500).cast("long").alias("left"), F.array().cast("array<struct<goal:int,item:bigint>>").alias("taken"))
-
-    def step(s, x):
-        one = F.struct(x["goal"].alias("goal"), x["item"].alias("item"))
-        return F.when(x["tokens"] <= s["left"], F.struct((s["left"] - x["tokens"]).alias("left"), F.concat(s["taken"], F.array(one)).alias("taken"))).otherwise(s)
-
-    return rows.select("run_id", F.posexplode(F.aggregate("items", begin, step)["taken"]).alias("position", "x")).select("run_id", "position", "x.goal", "x.item")
+    taken = fit_in_order(e, "run_id", ["goal", F.desc("score"), "item", "tokens"], 1500)
+    return taken.select("run_id", "position", "goal", "item")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS chunk_id, l_linenumber AS ord, CASE WHEN l_tax < 0.05 THEN l_partkey END AS a, CASE WHEN l_tax < 0.05 THEN l_partkey + CAST(l_quantity AS BIGINT) END AS b, l_suppkey % 30 AS page FROM lineitem)

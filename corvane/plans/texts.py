@@ -211,12 +211,9 @@ def sheet_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diversified_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A varied choice of a source's questions, by kind and character pairs."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("item_id"), "lang", F.substring("text", 1, 60).alias("q"), F.length("text").alias("n"))
-    d = d.select("group_id", "item_id", F.col("lang").alias("kind"), text.pairs_of(text.comparison_text(F.col("q"))).alias("pairs"), (F.col("item_id") % 3).cast("int").alias("documents"), (F.col("n") / 100.0).alias("quality"))
-    from corvane.operators.ranking import distinct_on
-
-    return packing.diversify(distinct_on(d, ["group_id", "kind", "documents"], [F.desc("quality"), "item_id"]), 5)
+    """A varied choice of a source's documents, by language and the character pairs of their whole texts."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("item_id"), F.col("lang").alias("kind"), text.pairs_of(text.comparison_text(F.coalesce("text", F.lit("")))).alias("pairs"), (F.col("doc_id") % 3).cast("int").alias("documents"), (F.length("text") / 100.0).alias("quality"))
+    return packing.diversify(d, 5)
 
 
 @query(r"""
