@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import routing, text
 from corvane.operators import chunking, packing, quality
+from corvane.operators.questions import route_table
 from corvane.plans import query
 from corvane.plans.model import table
 from corvane.sources import parsers
@@ -72,23 +73,27 @@ QUESTIONS = [
     (6, "etcdctl snapshot 怎么用"), (7, "是否在文档里说明了限流"), (8, "第一阶段检查集群，第二阶段分别处理部署手册"), (9, "同时说明部署手册和运维手册"), (10, "今天怎么样"),
     (11, "综合多份资料说明"), (12, "两份记录是否矛盾"), (13, "how does the and for"), (14, "  \t "), (15, "你好！"), (16, "我们公司的研发规范"), (17, "hello, 你能做什么"), (18, "它的上限是多少"),
 ]
-_TITLES = ["部署手册", "运维手册", "ab"]
 
 
 @query("""
-SELECT * FROM (VALUES
+SELECT doc_id, mode, reason, demand, final_mode, title_hits FROM documents JOIN (VALUES
  (1, 'DEEP', 'auto-deep-comparison', 'GENERAL', 'DEEP', 0), (2, 'FAST', 'auto-fast-explicit-document', 'GENERAL', 'FAST', 1), (3, 'DEEP', 'auto-deep-multi-document', 'GENERAL', 'DEEP', 0),
  (4, 'DEEP', 'auto-deep-empty', 'GENERAL', 'DEEP', 0), (5, 'DEEP', 'auto-deep-diagnose-repair', 'GENERAL', 'DEEP', 0), (6, 'FAST', 'auto-fast-technical-anchor', 'GENERAL', 'FAST', 0),
  (7, 'FAST', 'auto-fast-simple-lookup', 'GENERAL', 'FAST', 0), (8, 'DEEP', 'auto-deep-multi-goal', 'GENERAL', 'DEEP', 1), (9, 'DEEP', 'auto-deep-multi-goal', 'GENERAL', 'FAST', 2),
  (10, 'DEEP', 'auto-deep-uncertain', 'GENERAL', 'DEEP', 0), (11, 'DEEP', 'auto-deep-synthesis', 'GENERAL', 'DEEP', 0), (12, 'DEEP', 'auto-deep-conflict', 'GENERAL', 'DEEP', 0),
  (13, 'DEEP', 'auto-deep-uncertain', 'GENERAL', 'DEEP', 0), (14, 'DEEP', 'auto-deep-empty', 'GENERAL', 'DEEP', 0), (15, 'DEEP', 'auto-deep-uncertain', 'NONE', 'DEEP', 0),
  (16, 'DEEP', 'auto-deep-uncertain', 'ORGANIZATION_SPECIFIC', 'DEEP', 0), (17, 'FAST', 'auto-fast-technical-anchor', 'NONE', 'FAST', 0), (18, 'DEEP', 'auto-deep-uncertain', 'GENERAL', 'DEEP', 0)
-) t(question_id, mode, reason, demand, final_mode, title_hits)""")
+) t(question_id, mode, reason, demand, final_mode, title_hits) ON question_id = doc_id % 18 + 1""")
 def router_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(QUESTIONS, "question_id int, question string")
-    hits = F.size(F.filter(F.array(*[F.lit(t) for t in _TITLES]), lambda t: (F.length(t) >= 4) & F.col("question").contains(t)))
-    first = q.select("question_id", "question", routing.route(F.col("question")).alias("d"), hits.alias("title_hits"), routing.knowledge_demand(F.col("question")).alias("demand"))
-    return first.select("question_id", "d.mode", "d.reason", "demand", routing.reroute(F.col("d"), F.col("title_hits"))["mode"].alias("final_mode"), "title_hits")
+    """Questions that name documents by their titles, one for each document, and where they go before and after a look at the titles found for them."""
+    forms = F.broadcast(spark.createDataFrame(QUESTIONS, "form int, question string"))  # 18 rows
+    title = lambda n: F.concat(F.lit("手册"), F.lpad(n.cast("string"), 9, "0"), F.lit("号"))
+    d = table(spark, sf_dir, "documents").select("doc_id", title(F.col("doc_id")).alias("own"), title(F.col("doc_id") + 1).alias("next"))
+    q = d.join(forms, F.col("form") == F.col("doc_id") % 18 + 1)
+    q = q.select(F.col("doc_id").alias("question_id"), F.replace(F.replace("question", F.lit("部署手册"), F.col("own")), F.lit("运维手册"), F.col("next")).alias("question"), "own", "next")
+    found = q.select("question_id", F.explode(F.array("own", "next", "own", F.lit("ab"))).alias("title"))
+    out = route_table(q.select("question_id", "question"), found)
+    return out.select(F.col("question_id").alias("doc_id"), "mode", "reason", "demand", "final_mode", F.col("title_hits").cast("int").alias("title_hits"))
 
 
 @query(r"""
@@ -211,9 +216,11 @@ def sheet_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diversified_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A varied choice of a source's documents, by language and the character pairs of their whole texts."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("item_id"), F.col("lang").alias("kind"), text.pairs_of(text.comparison_text(F.coalesce("text", F.lit("")))).alias("pairs"), (F.col("doc_id") % 3).cast("int").alias("documents"), (F.length("text") / 100.0).alias("quality"))
-    return packing.diversify(d, 5)
+    """A varied choice of users' questions, whole, by length and character pairs."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    pairs = text.pairs_of(text.comparison_text(F.col("text")))
+    q = q.select(F.concat(F.lit("g"), F.col("conv_id") % 20).alias("group_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), (F.length("text") % 4).alias("kind"), pairs.alias("pairs"), (F.col("turn") % 3).cast("int").alias("documents"), (F.length("text") / 100.0).alias("quality"))
+    return packing.diversify(q, 5)
 
 
 @query(r"""
