@@ -150,6 +150,12 @@ def assign(rows: DataFrame, keys: list[str], order: list[str], target: int, most
     return each.select(*keys, *[F.col(f"u.{c}").alias(c) for c in rows.columns if c not in keys], "chunk")
 
 
+def fence(code: Column) -> Column:
+    """Ticks that can stand around ``code``: three, or one more than its longest run of them."""
+    runs = F.transform(F.regexp_extract_all(code, F.lit("`+"), F.lit(0)), F.length)
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+
+
 def chunk_columns(rows: DataFrame, policy: Policy) -> DataFrame:
     """Rows (document_id, parent_no, child_no, pieces) with their text, rendering, header, tokens, hash and stable id; child -1 is the parent."""
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -159,7 +165,7 @@ def chunk_columns(rows: DataFrame, policy: Policy) -> DataFrame:
         own = strip(p["unit_text"])
         return (
             F.when(p["type"].isin("TITLE", "HEADING"), F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), F.coalesce(p["level"], F.lit(1)))), F.lit(" "), own))
-            .when(p["type"] == "CODE", F.concat(F.lit("```"), F.coalesce(p["language"], F.lit("")), F.lit("\n"), own, F.lit("\n```")))
+            .when(p["type"] == "CODE", let(fence(own), lambda f: F.concat(f, F.coalesce(p["language"], F.lit("")), F.lit("\n"), own, F.lit("\n"), f)))
             .otherwise(own)
         )
 

@@ -250,3 +250,10 @@ def test_cleaning_by_a_written_out_scan(spark):
     texts = ["", "---\ntitle: T\n---\nbody", "```open fence [a](b)"] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(400)]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string").select("i", clean_markdown(F.col("t")).alias("c")).collect()
     assert {r.i: r.c for r in got} == {**{i: scanned(t) for i, t in enumerate(texts)}, -1: None}
+
+
+def test_code_that_holds_a_fence_has_a_longer_one(spark):
+    rows = [(1, 0, "CODE", "a = 1", "py"), (2, 0, "CODE", "```\nx\n```", None), (3, 0, "CODE", "`````", "md"), (4, 0, "CODE", "a `b` c", None)]
+    df = spark.createDataFrame(rows, "document_id long, order_index int, type string, text string, language string")
+    got = {r.document_id: r.render for r in chunking.parent_child(df).where("type = 'PARENT'").collect()}
+    assert got == {1: "```py\na = 1\n```", 2: "````\n```\nx\n```\n````", 3: "``````md\n`````\n``````", 4: "```\na `b` c\n```"}
