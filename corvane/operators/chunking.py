@@ -181,23 +181,41 @@ def chunk_columns(rows: DataFrame, policy: Policy) -> DataFrame:
     return out.select("document_id", "parent_no", "chunk_id", "parent_id", "type", "order_index", "text", "render", "header", embedding.alias("embedding_text"), "tokens", "hash", F.lit(policy.version).alias("policy"), "pieces")
 
 
-def parent_child(blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Parents and children of documents' blocks; a child names its parent. Blank blocks, page headers and footers are left out."""
+def stretches(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with stretch: how many first-level headings (or titles) that follow on a block of another kind stand up to it.
+
+    Before such a heading a parent ends in any case and nothing is repeated, so the fold
+    of what follows doesn't depend on what came before: stretches are folded apart, in tasks of their own.
+    """
+    head = F.coalesce(F.col("type").isin("TITLE", "HEADING"), F.lit(False))
+    first = (F.col("type") == "TITLE") | ((F.col("type") == "HEADING") & (F.coalesce("level", F.lit(9)) == 1))
+    by_place = Window.partitionBy("document_id").orderBy("order_index")
+    begins = F.coalesce(first & ~F.lag(head).over(by_place), F.lit(False))
+    marked = blocks.withColumn("begins", begins.cast("long"))
+    return marked.withColumn("stretch", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+
+
+def parent_child(blocks: DataFrame, policy: Policy = Policy(), split: bool = True) -> DataFrame:
+    """Parents and children of documents' blocks; a child names its parent. Blank blocks, page headers and footers are left out.
+
+    With ``split``, a document's :func:`stretches` are dealt to different tasks, with the same result.
+    """
     own = blocks.where((F.trim("text") != "") & ~F.col("type").isin("PAGE_HEADER", "PAGE_FOOTER"))
     for c, t in (("level", "int"), ("heading_path", "array<string>"), ("language", "string")):
         if c not in own.columns:
             own = own.withColumn(c, F.array().cast(t) if c == "heading_path" else F.lit(None).cast(t))
     own = own.select("document_id", "order_index", "type", "level", "text", "heading_path", "language")
     own = own.withColumn("level", F.when(F.col("type") == "HEADING", F.coalesce("level", F.size("heading_path"))).otherwise(F.col("level")))
+    own = stretches(own).repartition("document_id", "stretch") if split else own.withColumn("stretch", F.lit(0).cast("long"))
     least = min(policy.parent_target, max(2 * policy.child_target, round(0.6 * policy.parent_target)))
     place = ["order_index", "unit"]
     parts = assign(
-        units(own, policy.child_max).drop("text"), ["document_id"], place, policy.parent_target, policy.parent_max, overlap=policy.parent_overlap,
+        units(own, policy.child_max).drop("text"), ["document_id", "stretch"], place, policy.parent_target, policy.parent_max, overlap=policy.parent_overlap,
         whole=max(policy.parent_target, policy.parent_max - policy.parent_overlap), heading=(least, policy.parent_max - policy.child_target),
     ).withColumnRenamed("chunk", "parent_no")
     # a parent and its children come from one row
     kids = fold(
-        parts, ["document_id", "parent_no"], place, policy.child_target, policy.child_max, overlap=policy.child_overlap,
+        parts, ["document_id", "stretch", "parent_no"], place, policy.child_target, policy.child_max, overlap=policy.child_overlap,
         whole=policy.child_max, short=max(1, round(0.48 * policy.child_target)), with_all=True,
     ).withColumnRenamed("chunk", "child_no")
 
@@ -209,7 +227,8 @@ def parent_child(blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
     blocks_ = F.array_distinct(F.transform("own", lambda u: u["order_index"]))
     pieces = F.transform(blocks_, lambda b: let(F.filter("own", lambda u: u["order_index"] == b), piece))
-    return chunk_columns(kids.select("document_id", "parent_no", "child_no", pieces.alias("pieces")), policy)
+    number = F.dense_rank().over(Window.partitionBy("document_id").orderBy("stretch", "parent_no")) - 1
+    return chunk_columns(kids.select("document_id", number.alias("parent_no"), "child_no", pieces.alias("pieces")), policy)
 
 
 def source_map(chunks: DataFrame) -> DataFrame:

@@ -257,3 +257,29 @@ def test_code_that_holds_a_fence_has_a_longer_one(spark):
     df = spark.createDataFrame(rows, "document_id long, order_index int, type string, text string, language string")
     got = {r.document_id: r.render for r in chunking.parent_child(df).where("type = 'PARENT'").collect()}
     assert got == {1: "```py\na = 1\n```", 2: "````\n```\nx\n```\n````", 3: "``````md\n`````\n``````", 4: "```\na `b` c\n```"}
+
+
+def test_stretches_of_a_document_are_chunked_as_the_whole(spark):
+    import random
+
+    r = random.Random(12)
+    rows = []
+    for d in range(6):
+        for i in range(90):
+            kind, level = r.choice([("HEADING", 1), ("HEADING", 2), ("TITLE", None), ("PARAGRAPH", None), ("PARAGRAPH", None), ("CODE", None), ("LIST", None)])
+            path = [f"h{r.randint(0, 2)}", f"s{r.randint(0, 2)}"] if r.random() < 0.5 else None
+            rows.append((d, i, kind, level, " ".join(r.choices(["word", "other.", "long-ish", "x = 1;", "end!"], k=r.choice([1, 3, 9, 40]))), path))
+    df = spark.createDataFrame(rows, "document_id long, order_index int, type string, level int, text string, heading_path array<string>")
+    for policy in (chunking.Policy(30, 45, 6, 10, 14, 3, "small"), chunking.Policy(160, 190, 20, 40, 55, 8, "middle")):
+        whole, split = (sorted(map(repr, chunking.parent_child(df, policy, split=x).collect())) for x in (False, True))
+        assert whole == split
+    assert chunking.stretches(df).select("document_id", "stretch").distinct().count() > 30
+
+
+def test_one_long_document_is_folded_in_several_tasks(spark):
+    text = [("HEADING", 1, f"Part {i}") if i % 40 == 0 else ("PARAGRAPH", None, f"Sentence number {i} of this part.") for i in range(4000)]
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(text)], "document_id long, order_index int, type string, level int, text string")
+    dealt = chunking.stretches(df).repartition(8, "document_id", "stretch").withColumn("task", F.spark_partition_id())
+    assert dealt.select("task").distinct().count() > 4
+    got = chunking.parent_child(df)
+    assert got.where("type = 'PARENT'").agg(F.count_distinct("parent_no"), F.max("parent_no")).first() == (n := got.where("type = 'PARENT'").count(), n - 1) and n >= 100
