@@ -84,7 +84,7 @@ class KeywordIndex:
     @staticmethod
     def _write_chunks(chunks: DataFrame, path: str, segment: int, block: int, frequent: list[str]) -> None:
         """The forward table: chunk_id, place, block, length, terms with their counts. Blocks are runs of a partition of a range of the order."""
-        counted = F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("count")))
+        counted = F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), (F.size("words") - F.size(F.array_remove("words", t))).alias("count")))
         own = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), word_list(F.col("text")).alias("words"))
         known = F.array(*[F.lit(t) for t in frequent]).cast("array<string>")
         bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(FREQUENT) - F.array_position(known, t)).cast("int"))
@@ -102,7 +102,7 @@ class KeywordIndex:
         impact = F.lit(1.0) if self.scoring == "share" else count * (K1 + 1) / (count + K1 * (1 - B + B * F.col("length") / self.mean_length))
         per = own.select(F.col("t.term").alias("term"), "block", F.struct("place", "chunk_id", impact.alias("impact")).alias("posting")).groupBy("term", "block").agg(F.array_sort(F.collect_list("posting")).alias("p"))  # at most ``block`` of them
         rows = per.select("term", "block", F.array_max(F.transform("p", lambda x: x["impact"])).alias("most"), F.transform("p", lambda x: x["chunk_id"]).alias("chunk_ids"), F.transform("p", lambda x: x["place"]).alias("places"), F.transform("p", lambda x: x["impact"]).alias("impacts"))
-        rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/postings/segment={segment}")
+        stored(rows).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/postings/segment={segment}")
         back = self.spark.read.parquet(f"{self.path}/postings/segment={segment}")
         back.groupBy("term").agg(F.sum(F.size("chunk_ids")).cast("long").alias("df"), F.max("most").alias("most")).write.parquet(f"{self.path}/terms/segment={segment}")
         return self
