@@ -29,7 +29,7 @@ FROM p
 
 def _licenses() -> str:
     """Every unit of every text against every template, with nothing left out beforehand."""
-    from corvane.llm.license_scan import BLANK, BREAK, DENSE, FILE_NAME, TERM, THRESHOLD, template_weights
+    from corvane.llm.license_scan import BLANK, BREAK, DENSE, FILE_NAME, LAST, SENTENCE, TERM, THRESHOLD, template_weights
 
     idf, weights, needs, other = template_weights()
     idf_rows = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in idf.items())
@@ -49,7 +49,7 @@ files AS (
       THEN x ELSE chr({ord(BREAK)}) END), chr(10)) AS runs FROM cut
 ), units AS (
   SELECT id, body, p AS part, p = text AS whole
-  FROM marked, LATERAL (SELECT unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '{BLANK}'), lines, string_split(runs, chr({ord(BREAK)}))))) AS p)
+  FROM marked, LATERAL (SELECT unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '{BLANK}'), lines, string_split(regexp_replace(text, '{SENTENCE}', '\1' || chr({ord(BREAK)}), 'g'), chr({ord(BREAK)})), string_split(runs, chr({ord(BREAK)}))))) AS p)
 ), tf AS (
   SELECT id, body, part, whole, term, count(*) AS tf
   FROM (SELECT id, body, part, whole, unnest(regexp_extract_all(lower(part), '{TERM}')) AS term FROM units) GROUP BY ALL
@@ -63,11 +63,11 @@ files AS (
 ), scored AS (
   SELECT id, whole, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (id, body, part) WHERE round(dot / norm, 6) >= {THRESHOLD}
 ), own AS (
-  SELECT id, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score, bool_or(whole) AS whole FROM scored GROUP BY id
+  SELECT id, arg_min(license, (license = '{LAST}', -score, license)) AS own_license, arg_min(score, (license = '{LAST}', -score, license)) AS own_score, bool_or(whole) AS whole FROM scored GROUP BY id
 ), known AS (
   SELECT f.id, f.repo, f.path, own_license, own_score, coalesce(whole, false) AS whole, regexp_replace(f.path, '/[^/]*$', '') AS dir FROM files f LEFT JOIN own USING (id)
 ), given AS (
-  SELECT repo, dir, arg_min(own_license, (-own_score, path, own_license)) AS dir_license FROM known
+  SELECT repo, dir, arg_min(own_license, (own_license = '{LAST}', -own_score, path, own_license)) AS dir_license FROM known
   WHERE own_license IS NOT NULL AND (whole OR regexp_matches(regexp_extract(path, '[^/]*$'), '{FILE_NAME}')) GROUP BY ALL
 ), reach AS (
   SELECT k.id, d.dir, d.dir_license, row_number() OVER (PARTITION BY k.id ORDER BY len(d.dir) DESC) AS r
@@ -236,8 +236,11 @@ WITH RECURSIVE keyed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS idx FROM hit
 ), flags AS (
   SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY idx) || left(role, 1) AS pair,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) > 1 THEN 'duplicate'
-      WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed
 ), turns AS (
   SELECT *, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, role || ':' || text AS line FROM flags
 ), fold(conv_id, idx, e, s, u, a) AS (

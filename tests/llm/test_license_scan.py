@@ -106,14 +106,49 @@ def test_what_is_left_out_beforehand_would_not_match(spark):
         mixed = [w for w in words if rng.random() < rng.choice([0.8, 0.9, 1.0])] + [f"zq{rng.randrange(99)}" for _ in range(rng.randrange(1 + len(words) // 4))]
         texts.append(" ".join(mixed))
 
-    def brute(text):
-        c = Counter(re.findall(TERM, text.lower()))
+    def scored(unit):
+        c = Counter(re.findall(TERM, unit.lower()))
         norm = math.sqrt(sum((k * idf.get(t, other)) ** 2 for t, k in c.items()))
-        scores = [(-round(sum(k * idf.get(t, other) * v.get(t, 0) for t, k in c.items()) / norm, 6), name) for name, v, must, bars in vectors.values() if must <= set(c) and not bars & set(c)]
-        best = min(scores, default=(0, None))
-        return best[1] if -best[0] >= 0.8 else None
+        return [(name == "Proprietary", -round(sum(k * idf.get(t, other) * v.get(t, 0) for t, k in c.items()) / norm, 6), name) for name, v, must, bars in vectors.values() if must <= set(c) and not bars & set(c)] if c else []
+
+    def brute(text):  # one line: the whole of it, and its sentences
+        units = {text, *re.split(r"(?<=[.!?])[ \t\r\n]+", text)}
+        return min((x for u in units for x in scored(u) if -x[1] >= 0.8), default=(0, 0, None))[2]
 
     got = run(spark, [(i, f"r{i}", "f", t) for i, t in enumerate(texts)])
     want = [brute(t) for t in texts]
     assert [got[i].own_license for i in range(len(texts))] == want and 10 < sum(w is not None for w in want) < 60
     assert set(QUALIFIERS) >= {"lesser", "affero"}
+
+
+NAMED = {  # names, identifiers and heads, as projects print them
+    "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1", "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0", "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC-4.0", "SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0 OR MIT",
+    "MIT License": "MIT", "The MIT License (MIT)": "MIT", "Licensed under the MIT license.": "MIT", "BSD 3-Clause License": "BSD-3-Clause", "GNU GPL v3": "GPL-3.0",
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "Apache-2.0",
+    "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.": "LGPL-3.0",
+    "This file is part of Foo.\n\nFoo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nFoo is distributed in the hope that it will be useful.": "GPL-3.0",
+    "Copyright (c) 2020 The Foo Authors. All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "BSD-3-Clause",
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0 OR MIT",
+    "Mit der Lizenz": None, "mit": None, "the license": None, "apache": None, "SPDX-License-Identifier: Foo-1.0": None, "Copyright 2020 Foo. All rights reserved.": "Proprietary",
+}
+
+
+def test_names_identifiers_and_heads(spark):
+    got = run(spark, [(i, f"r{i}", "LICENSE", t) for i, t in enumerate(NAMED)])
+    assert {t: got[i].own_license for i, t in enumerate(NAMED)} == NAMED
+
+
+def test_every_name_finds_its_licence(spark):
+    from corvane.llm.license_scan import NAMES
+
+    got = run(spark, [(i, f"r{i}", "f", f"x = 1\n# {t}\ny = 2") for i, (_, t) in enumerate(NAMES)])
+    assert [got[i].own_license for i in range(len(NAMES))] == [n for n, _ in NAMES]
+
+
+def test_long_templates_keep_their_version_and_qualifiers(spark):
+    words = " ".join(f"word{i}" for i in range(700))
+    long = [(f"L-{v}", f"Some License Version {v} {words}") for v in ("1", "2")] + [("L-NC-1", f"Some NonCommercial License Version 1 {words}")]
+    df = spark.createDataFrame([(i, "r", f"f{i}", t) for i, (_, t) in enumerate([*long, ("", f"Some License Version 3 {words}")])], "id long, repo string, path string, text string")
+    got = {r.id: r.own_license for r in scan(df, F.col("id"), F.col("repo"), F.col("path"), F.col("text"), templates=long).collect()}
+    assert got == {0: "L-1", 1: "L-2", 2: "L-NC-1", 3: None}
