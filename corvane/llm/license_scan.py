@@ -184,21 +184,22 @@ def can_reach(part: Column, idf: dict[str, float], rows: list, needs: dict[int,
     least = sorted(sorted(x) for x in sets if not any(y < x for y in sets))  # a set that holds another is reached only with it
     constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  (one constant, whatever its size)
     floor = (threshold - 1e-6) ** 2 - 1e-9
-    shared = F.array_intersect(terms_of(part), constant(sorted(idf), "array<string>"))
-    most = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(constant({t: max(v) for t, v in squares.items()}, "map<string, double>"), t), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), len(spread))
-    sums = F.aggregate(F.filter(shared, lambda t: t.isin(list(squares))), zeros, lambda a, t: F.zip_with(a, F.element_at(constant(squares, "map<string, array<double>>"), t), lambda x, y: x + y))
-    reached = F.when(most >= floor, F.array_max(sums) >= floor)
-    # the fewest words of which each name has one
-    cover, left = [], least
+    cover, left = [], least  # few words of which each name has one
     while left:
         word = max(sorted(set().union(*left)), key=lambda t: sum(t in x for x in left))
         cover.append(word)
         left = [x for x in left if word not in x]
-    if cover:
+
+    def reached(shared: Column) -> Column:
+        most = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at(constant({t: max(v) for t, v in squares.items()}, "map<string, double>"), t), F.lit(0.0)))
+        sums = F.aggregate(F.filter(shared, lambda t: t.isin(list(squares))), F.array_repeat(F.lit(0.0), len(spread)), lambda a, t: F.zip_with(a, F.element_at(constant(squares, "map<string, array<double>>"), t), lambda x, y: x + y))
+        alike = F.when(most >= floor, F.array_max(sums) >= floor)
         named = F.exists(constant(least, "array<array<string>>"), lambda x: F.size(F.array_except(x, shared)) == 0)
-        reached = F.coalesce(reached, F.lit(False)) | F.when(F.arrays_overlap(shared, constant(cover, "array<string>")), named)
-    return F.coalesce(reached, F.lit(False))
+        return F.coalesce(alike, F.lit(False)) | F.coalesce(F.when(F.arrays_overlap(shared, constant(cover, "array<string>")), named), F.lit(False))
+
+    # the shared terms are bound to a variable, so that they are found once, not for each name
+    shared = F.array_intersect(terms_of(part), constant(sorted(idf), "array<string>"))
+    return F.coalesce(F.element_at(F.transform(F.array(shared), reached), 1), F.lit(False))
 
 
 def units_of(text: Column, vocabulary: list[str]) -> Column:
