@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Token classes of the lexical estimator (fixed values): one ideograph or syllable, a run of letters and digits, any other character.
 LEXICAL_TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{N}_-]+|[^\s]"
@@ -76,6 +80,18 @@ def comparison_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\p{P}\p{S}\s]", "")
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Text with HTML's character references resolved."""
+    return text.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
+def document_key(text: Column) -> Column:
+    """What texts are compared by: references resolved, without ordinals such as "3." and "4)", digits, Latin letters and ideographs only, in lower case."""
+    plain = F.regexp_replace(unescaped(text), r"(?U)(?<!\w)\d+[.)](?=\s)", "")
+    return F.lower(F.regexp_replace(plain, "[^0-9a-zA-Z\u3400-\u4dbf\u4e00-\u9fff]+", ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 

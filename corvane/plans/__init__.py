@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from corvane.plans import deep, evaluation, governance, ingestion, operations, relational, research, retrieval, streams, texts  # noqa: F401
+    from corvane.plans import datasets, deep, evaluation, governance, ingestion, operations, relational, research, retrieval, streams, texts  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import metrics
+from corvane.operators import health, metrics
 from corvane.plans import query
 from corvane.plans.model import table
 
@@ -96,11 +96,35 @@ def independent_groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""SELECT r_name, n_name, round(avg(c_acctbal), 4) AS mean, count(*) AS n FROM g_customer JOIN g_nation ON n_nationkey = c_nationkey JOIN g_region ON r_regionkey = n_regionkey GROUP BY GROUPING SETS ((r_name), (n_name), ())""")
 
 
-@query(r"""
-SELECT c.conv_id, CASE WHEN regexp_matches(lower(text), 'error|timeout') THEN 'TRANSIENT' WHEN regexp_matches(lower(text), 'denied|forbidden') THEN 'AUTH' ELSE 'NONE' END AS error_kind, turn > 5 AS degraded FROM conversations c WHERE turn % 2 = 1""")
+#: Messages of failed runs, by an event's number.
+MESSAGES = ["HTTP 401 from the provider", "Rate limit: too many requests", "http 503", "Judge timed out", "the router failed", "Coverage judge broke", "deep read failed", "search index: Forbidden", "odd", None]
+SQL_MESSAGES = f"e AS (SELECT event_id, event_type, user_id, k, CASE k % {len(MESSAGES)} {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MESSAGES) if m)} END AS message FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"
+
+
+@query(f"""WITH {SQL_MESSAGES}, a AS (SELECT *, coalesce(regexp_matches(message, 'HTTP (401|403)|Unauthorized|Forbidden|authentication failed|authorization failed'), false) AS auth, lower(message) AS m FROM e)
+SELECT event_id, auth, NOT auth AND coalesce(regexp_matches(m, 'timed out|timeout|rate limit|too many requests|connection reset|connection refused|(temporarily|service) unavailable|http (429|5[0-9][0-9])'), false) AS transient,
+  CASE WHEN m IS NULL THEN NULL WHEN regexp_matches(m, 'timed out|timeout') THEN 'TIMEOUT' WHEN regexp_matches(m, 'authentication|unauthorized|forbidden') THEN 'PROVIDER_AUTH' WHEN regexp_matches(m, 'routing|router') THEN 'ROUTING'
+    WHEN regexp_matches(m, 'judge|coverage') THEN 'EVIDENCE_JUDGE' WHEN regexp_matches(m, 'deep|evidence') THEN 'DEEP_READ' WHEN regexp_matches(m, 'retriev|search') THEN 'RETRIEVAL' ELSE 'RAG_RUN' END AS phase FROM a""")
 def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower("text")
-    return table(spark, sf_dir, "conversations").where("turn % 2 = 1").select("conv_id", F.when(t.rlike("error|timeout"), "TRANSIENT").when(t.rlike("denied|forbidden"), "AUTH").otherwise("NONE").alias("error_kind"), (F.col("turn") > 5).alias("degraded"))
+    """Events as runs that failed with one of several messages: refused credentials, passing faults, and the phase."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), k % len(MESSAGES) + 1).alias("message"))
+    m = F.col("message")
+    return e.select("event_id", health.authentication_failure(m).alias("auth"), health.transient_failure(m).alias("transient"), health.failure_phase(m).alias("phase"))
+
+
+@query(f"""WITH {SQL_MESSAGES}, r AS (SELECT event_id, event_type <> 'view' AND user_id % 4 < 3 AS applies, user_id % 4 = 1 AS by_goal, k % 10 = 0 AS lost, k % 5 = 1 AS support, k % 7 = 2 AS failed, k % 11 = 3 AS hidden, k % 4 AS judged, k % 3 AS goals FROM e)
+SELECT event_id, CASE WHEN applies THEN CASE WHEN lost THEN 'diagnostics missing' ELSE concat_ws(', ', CASE WHEN support THEN 'failed support action' END, CASE WHEN failed THEN 'failed model logical call' END,
+  CASE WHEN hidden THEN 'hidden evidence outcome' END, CASE WHEN NOT (judged = 1 OR (by_goal AND goals > 0 AND judged = goals)) THEN 'unexpected evidence judge call count' END) END END AS reasons FROM r""")
+def degraded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as finished runs with diagnostics, and why they are no healthy samples; older runs count attempts instead of calls."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    flag = lambda c: c.cast("int").cast("string")
+    calls = F.when(k % 2 == 0, F.concat(F.lit('"modelFailedAttemptCount": '), flag(k % 7 == 2))).otherwise(F.concat(F.lit('"modelFailedAttemptCount": 9, "modelFailedLogicalCallCount": '), flag(k % 7 == 2)))
+    diagnostics = F.when(k % 10 != 0, F.concat(F.lit('{"failedSupportActionCount": '), flag(k % 5 == 1), F.lit(', "hiddenEvidenceOutcomeCount": '), flag(k % 11 == 3), F.lit(', "judgeCallCount": '), (k % 4).cast("string"), F.lit(', "primaryGoalCount": '), (k % 3).cast("string"), F.lit(", "), calls, F.lit("}")))
+    pipeline = F.element_at(F.array(F.lit("agentic-rag-v4"), F.lit("agentic-rag-v8"), F.lit("agentic-rag-v7"), F.lit("other")), (F.col("user_id") % 4 + 1).cast("int"))
+    mode = F.when(F.col("event_type") != "view", "DEEP").otherwise("FAST")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(health.degradations(mode, pipeline, diagnostics), ", ").alias("reasons"))
 
 
 @query("""SELECT o_orderkey, 'KEPT' AS state FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 UNION ALL SELECT o_orderkey, 'RERUN' FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice <= 1000""")
