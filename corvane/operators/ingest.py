@@ -109,3 +109,34 @@ def content_revision(chunks: DataFrame) -> DataFrame:
     joined = lambda c, by: F.sha2(F.expr(f"listagg({c}, char(31)) WITHIN GROUP (ORDER BY {by})").cast("binary"), 256)
     parts = chunks.groupBy("kb", F.substring("hash", 1, 3).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"), joined("hash", "hash").alias("digest"))
     return parts.groupBy("kb").agg(F.sum("n").alias("n_chunks"), F.min("low").alias("min_hash"), F.max("high").alias("max_hash"), joined("digest", "part").alias("revision"))
+
+
+def source_locations(chunks: DataFrame, blocks: DataFrame, segments: DataFrame) -> DataFrame:
+    """Where chunks stand in their document: chunk_id, page, source_start, source_end.
+
+    ``chunks``: chunk_id, text, block_ids; ``blocks``: block_id, order_index, page,
+    source_start, source_end, text; ``segments``: chunk_id, ord, block_id,
+    source_start, source_end. Each value comes from the mapped segments (the
+    first one's page, the first start, the last end), or else from the first of the chunk's
+    blocks that holds its text, or else is the least page and start and the
+    greatest end of its blocks. Only chunks that the segments leave a gap in
+    meet their blocks' texts. Places that nothing tells are null.
+    """
+    page = blocks.select("block_id", "page")
+    by = lambda c: F.when(F.col(c).isNotNull(), F.col("ord"))
+    mapped = segments.join(page, "block_id", "left").groupBy("chunk_id").agg(
+        F.min_by("page", F.when(F.col("block_id").isNotNull(), F.col("ord"))).alias("p1"), F.min_by("source_start", by("source_start")).alias("s1"), F.max_by("source_end", by("source_end")).alias("e1")
+    )
+    known = chunks.join(mapped, "chunk_id", "left")
+    gap = F.col("p1").isNull() | F.col("s1").isNull() | F.col("e1").isNull()
+    asked = known.where(gap).select("chunk_id", F.col("text").alias("chunk_text"), F.explode(F.array_distinct("block_ids")).alias("block_id"))
+    met = asked.join(blocks, "block_id").withColumn("at", F.expr("locate(chunk_text, text)"))
+    start = F.col("source_start") + F.col("at") - 1
+    holds = F.when(F.col("at") > 0, F.struct("order_index", "block_id"))
+    placed = F.when((F.col("at") > 0) & F.col("source_start").isNotNull(), F.struct("order_index", "block_id"))
+    found = met.groupBy("chunk_id").agg(
+        F.min_by("page", holds).alias("p2"), F.min_by(start, placed).alias("s2"), F.min_by(start + F.length("chunk_text"), placed).alias("e2"),
+        F.min("page").alias("p3"), F.min("source_start").alias("s3"), F.max("source_end").alias("e3"),
+    )
+    out = known.join(found, "chunk_id", "left")
+    return out.select("chunk_id", F.coalesce("p1", "p2", "p3").alias("page"), F.coalesce("s1", "s2", "s3").alias("source_start"), F.coalesce("e1", "e2", "e3").alias("source_end"))

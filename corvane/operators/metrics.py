@@ -96,3 +96,23 @@ def routing_metrics(rows: DataFrame) -> DataFrame:
         ratio(F.count_if("fallback"), F.count(F.lit(1))).alias("fallback_rate"),
         *cells,
     )
+
+
+def strict_measures(expected: Column, found: Column, read: Column) -> dict[str, Column]:
+    """Recall of expected documents in what a run found and read, as arrays in order.
+
+    ``all_recall``, ``discovery5`` and ``discovery10`` (over all found, the first
+    five, the first ten) are null where nothing was reported (null ``found``);
+    ``deep_read`` and ``compliant`` (1.0 if anything was read) where ``read`` is null.
+    Without expected documents recall is 0; one that is named twice counts twice.
+    """
+    want = F.filter(F.coalesce(expected, F.array()), lambda d: d.isNotNull())
+
+    def recall(have: Column) -> Column:
+        share = F.size(F.filter(want, lambda d: F.array_contains(have, d))) / F.size(want)
+        return F.when(have.isNotNull(), F.when(F.size(want) == 0, F.lit(0.0)).otherwise(share))
+
+    return {
+        "all_recall": recall(found), "discovery5": recall(F.slice(found, 1, 5)), "discovery10": recall(F.slice(found, 1, 10)),
+        "deep_read": recall(read), "compliant": F.when(read.isNotNull(), (F.size(read) > 0).cast("double")),
+    }

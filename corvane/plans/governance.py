@@ -147,3 +147,18 @@ def memory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND o_orderdate <= TIMESTAMP_NTZ '1997-01-01 00:00:00'")
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     return o.withColumn("n", F.row_number().over(w)).where("n <= 20").select(F.col("o_custkey").alias("c_custkey"), "n", F.col("o_orderkey").alias("fact"))
+
+
+@query("""WITH m AS (SELECT conv_id AS conversation_id, turn AS message_id, role, CASE WHEN (conv_id + turn) % 7 <> 0 THEN conv_id * 1000 + turn // 2 END AS turn_id, (conv_id * 1000 + turn // 2) * 2 AS run_id FROM conversations),
+t AS (SELECT DISTINCT conv_id * 1000 + turn // 2 AS turn_id FROM conversations), a AS (SELECT turn_id, CASE WHEN turn_id % 11 <> 0 THEN turn_id * 2 + CASE WHEN turn_id % 4 = 0 THEN 1 ELSE 0 END END AS active FROM t),
+v AS (SELECT m.*, row_number() OVER (PARTITION BY conversation_id ORDER BY message_id DESC) AS n FROM m LEFT JOIN a USING (turn_id)
+  WHERE turn_id IS NULL OR role NOT IN ('user', 'assistant') OR (role = 'assistant' AND run_id = active) OR (role = 'user' AND active % 5 > 1))
+SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY n DESC) AS "position", message_id, role FROM v WHERE n <= 4""")
+def visible_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest four messages that each conversation's memory sees, by their turns' active runs."""
+    turn_id = (F.col("conv_id") * 1000 + F.expr("turn div 2")).cast("long")
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    m = c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("message_id"), F.col("turn").alias("created_at"), "role", F.when((F.col("conv_id") + F.col("turn")) % 7 != 0, turn_id).alias("turn_id"), (turn_id * 2).alias("run_id"))
+    t = c.select(turn_id.alias("turn_id")).distinct().withColumn("active_run_id", F.expr("CASE WHEN turn_id % 11 <> 0 THEN turn_id * 2 + IF(turn_id % 4 = 0, 1, 0) END"))
+    r = t.where("active_run_id IS NOT NULL").select(F.col("active_run_id").alias("run_id"), F.expr("CASE active_run_id % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'QUEUED' ELSE 'COMPLETED' END").alias("status"))
+    return scope.visible_messages(m, t, r, 4)

@@ -242,3 +242,40 @@ def trimmed_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 AS run_id", "l_linenumber % 3 AS goal_id", "l_suppkey % 4 AS requirement_id", "l_partkey % 30 AS parent_id", "l_discount AS score", "CAST(100 + l_partkey % 30 * 7 AS BIGINT) AS tokens")
     return trim_packs(e, 1200)
+
+
+@query("""WITH l AS (SELECT l_orderkey // 4 AS case_id, l_suppkey % 20 AS d, l_orderkey AS o, l_linenumber AS i, l_partkey AS p, l_quantity AS q, l_discount AS x FROM lineitem),
+g AS (SELECT case_id, list(d) FILTER (q > 35) AS e, coalesce(list(d ORDER BY o, i, p, d) FILTER (x > 0.01), []) AS f, list(d) FILTER (x > 0.06) AS r FROM l GROUP BY case_id),
+n AS (SELECT case_id, len(coalesce(e, [])) AS n, len(list_filter(e, lambda y: list_contains(f, y))) AS a, len(list_filter(e, lambda y: list_contains(f[1:5], y))) AS a5, len(list_filter(e, lambda y: list_contains(f[1:10], y))) AS a10,
+  r IS NOT NULL AS has_read, len(list_filter(e, lambda y: list_contains(r, y))) AS b FROM g)
+SELECT case_id, CASE WHEN n = 0 THEN 0 ELSE round(a / n, 6) END AS all_recall, CASE WHEN n = 0 THEN 0 ELSE round(a5 / n, 6) END AS discovery5, CASE WHEN n = 0 THEN 0 ELSE round(a10 / n, 6) END AS discovery10,
+  CASE WHEN has_read THEN CASE WHEN n = 0 THEN 0 ELSE round(b / n, 6) END END AS deep_read, CASE WHEN has_read THEN 1.0 END AS compliant FROM n""")
+def strict_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected documents among the first five, ten and all that a run found, in order, and among those it read."""
+    from corvane.operators import metrics
+
+    l = table(spark, sf_dir, "lineitem").withColumns({"case_id": F.expr("l_orderkey div 4"), "d": F.col("l_suppkey") % 20})  # noqa: E741
+    some = lambda c: F.collect_list(F.when(c, F.col("d")))
+    found = F.transform(F.array_sort(F.collect_list(F.when(F.col("l_discount") > 0.01, F.struct("l_orderkey", "l_linenumber", "l_partkey", "d")))), lambda s: s["d"])
+    g = l.groupBy("case_id").agg(some(F.col("l_quantity") > 35).alias("e"), found.alias("f"), some(F.col("l_discount") > 0.06).alias("r"))
+    m = metrics.strict_measures(F.col("e"), F.col("f"), F.when(F.size("r") > 0, F.col("r")))
+    return g.select("case_id", *[F.round(c, 6).alias(k) for k, c in m.items()])
+
+
+@query("""WITH b AS (SELECT doc_id AS block_id, doc_id % 5 AS order_index, CASE WHEN doc_id % 8 <> 0 THEN doc_id % 30 END AS page, CASE WHEN doc_id % 6 <> 0 THEN doc_id * 10 END AS s, doc_id * 10 + length(text) AS e, text FROM documents),
+c AS (SELECT doc_id AS chunk_id, substr(text, 5 + doc_id % 20, 80) || CASE WHEN doc_id % 3 = 1 THEN '#' ELSE '' END AS t FROM documents WHERE length(text) > 40),
+m AS (SELECT chunk_id, chunk_id + 1 AS first_block, CASE WHEN chunk_id % 2 = 0 THEN chunk_id END AS s, chunk_id + 9 AS e FROM c WHERE chunk_id % 3 = 2),
+x AS (SELECT chunk_id, t, b.*, strpos(b.text, t) AS pos FROM c JOIN b ON b.block_id IN (c.chunk_id, c.chunk_id + 1)),
+f AS (SELECT chunk_id, arg_min(struct_pack(v := page), (order_index, block_id)) FILTER (pos > 0) AS p2, min(struct_pack(o := order_index, b := block_id, v := s + pos - 1)) FILTER (pos > 0 AND s IS NOT NULL) AS s2, min(page) AS p3, min(s) AS s3, max(e) AS e3 FROM x GROUP BY chunk_id)
+SELECT c.chunk_id, coalesce(mb.page, p2.v, p3) AS page, coalesce(m.s, s2.v, s3) AS source_start, coalesce(m.e, s2.v + length(t), e3) AS source_end
+FROM c LEFT JOIN m USING (chunk_id) LEFT JOIN b mb ON mb.block_id = m.first_block LEFT JOIN f USING (chunk_id)""")
+def located_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed by their segments, by their text in a block, or by the blocks' bounds."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    b = d.select(i.alias("block_id"), (i % 5).alias("order_index"), F.when(i % 8 != 0, i % 30).alias("page"), F.when(i % 6 != 0, i * 10).alias("source_start"), (i * 10 + F.length("text")).alias("source_end"), "text")
+    c = d.where(F.length("text") > 40).select(i.alias("chunk_id"), F.concat(F.expr("substring(text, 5 + doc_id % 20, 80)"), F.when(i % 3 == 1, "#").otherwise("")).alias("text"), F.array(i, i + 1).alias("block_ids"))
+    k = F.col("chunk_id")
+    s = c.where(k % 3 == 2).select("chunk_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"))
+    s = s.select("chunk_id", "ord", (k + 1 - F.col("ord")).alias("block_id"), F.when((F.col("ord") == 1) & (k % 2 == 0), k).alias("source_start"), (k + 8 + F.col("ord")).alias("source_end"))
+    return ingest.source_locations(c, b, s)
