@@ -1,23 +1,28 @@
 """SentencePiece encoding and decoding with merge-type vocabularies.
 
-A text is cut into units that no piece can span. A unit's characters are merged
+A text is cut into words, at its spaces, and a word into units that no piece can span. A unit's characters are merged
 by an agenda of adjacent pairs: the pair whose piece has the highest score goes
 first, the leftmost of equals, until no pair makes a piece. What has no piece
-falls back to its UTF-8 bytes. All of it runs in Arrow batches, and the
-sentencepiece library, which codes the same batch, says whether both agree.
+falls back to its UTF-8 bytes. All of it runs in Arrow batches: a batch's distinct
+words are coded once, where units of one length are merged side by side, each by its own
+agenda; and the sentencepiece library, which codes the same batch, says whether both agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice, pairwise
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +33,9 @@ from corvane.llm.token_count import SPACE_MARK, load_model, split_text
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What the library writes for the unknown id (a fixed value).
 UNKNOWN_TEXT = " ⁇ "
-#: Short units whose ids a worker keeps (twice so many at most).
-KEPT_UNITS = 1 << 19
-#: Characters of a text whose units are found at once; of a longer one, so many units at a time.
+#: Words, and characters in them, beyond which a worker forgets the ids that it keeps.
+KEPT_UNITS, KEPT_CHARS = 1 << 20, 1 << 24
+#: Characters of a word whose units are found at once; words that are coded, or put into texts, at once.
 TEXT_AT_ONCE, UNITS_AT_ONCE = 1 << 20, 1 << 18
 #: Bits of a symbol's number; an agenda's entry is a rank above a place.
 WIDTH, PLACE_BITS = 24, 32
@@ -39,6 +44,26 @@ RANK = ~PLACE
 NEVER = 1 << 62
 #: Symbols up to which a list is the quicker agenda.
 SHORT = 40
+#: Units of one length from which they are merged side by side, and symbols of such units at once.
+FEW, SYMBOLS_AT_ONCE = 32, 1 << 17
+
+
+class Numbers(dict):
+    """Words or units and their numbers, in the order in which they are met; ``fresh`` has those whose ids aren't known yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        self[unit] = n = len(self)
+        return n
+
+
+def runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one behind the other."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(counts.sum())]
 
 
 class MergeVocabulary:
@@ -65,16 +90,16 @@ class MergeVocabulary:
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == UNKNOWN)
         self.end = next((i for i, p in enumerate(spec.pieces) if p.piece == (trainer.eos_piece or "</s>")), -1)
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
-        self.controls = {i for i, p in enumerate(spec.pieces) if p.type == CONTROL}
+        self.controls = np.array([p.type == CONTROL for p in spec.pieces])
         shown = {UNKNOWN: UNKNOWN_TEXT, CONTROL: ""}
         self.raw = [bytes([self.byte_of[i]]) if p.type == BYTE else shown.get(p.type, p.piece.replace(SPACE_MARK, " ")).encode() for i, p in enumerate(spec.pieces)]
-        self.names = [str(i) for i in range(len(spec.pieces))]
+        self.raw_of = np.array(self.raw, object)
+        self.names = np.array([f"{i} ".encode() for i in range(len(spec.pieces))])
         long = [p for p in self.ids if len(p) > 1]
         self.touching = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
         self.units = self._units(long)
         self._pairs(long)
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     def _pairs(self, long: list[str]) -> None:
         """What pairs of symbols make, by rank of score. A symbol is a piece's id; characters that are no piece but stand in one have numbers after the pieces'."""
@@ -90,12 +115,19 @@ class MergeVocabulary:
                 a, b = self.symbols.get(p[:i]), self.symbols.get(p[i:])
                 if a is not None and b is not None:
                     self.made[a << WIDTH | b] = rank[self.scores[p]] << PLACE_BITS | self.ids[p]
+        # the same as arrays, whose last entry is for pairs that make nothing; and symbols by code point
+        made = np.array([*self.made.values(), NEVER], np.int64)
+        self.pairs, self.made_rank, self.made_id = pd.Index(np.array(list(self.made), np.int64)), made & RANK, (made & PLACE).astype(np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for c, x in self.symbols.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = x
 
     def _units(self, long: list[str]) -> re.Pattern:
         """Matches a text's units: a character that stands in no longer piece is one, and where no piece has a space after another character, spaces begin one."""
         joined = sorted(set("".join(long)) - {SPACE_MARK})
         inner = "".join(map(re.escape, joined))
-        spaced = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in long)
+        self.spaced = spaced = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in long)
         if not inner:
             return re.compile(f"{SPACE_MARK}+|[^{SPACE_MARK}]", re.S)
         if spaced:
@@ -145,29 +177,114 @@ class MergeVocabulary:
                 agenda[i - 1] = made(symbols[i - 1] << WIDTH | s, NEVER)
         return symbols
 
+    def merged_all(self, symbols: np.ndarray) -> np.ndarray:
+        """As :meth:`merged`, for many units of equal length side by side, a unit a column: merged symbols are where their first one was, -1 is where the others were."""
+        n, m = symbols.shape
+        # two more rows stand for what is after a unit and, found by -1, before it
+        places = np.arange((n + 2) * m).reshape(n + 2, m)
+        before, after = np.roll(places, 1, 0).ravel(), np.roll(places, -1, 0).ravel()
+        left = np.full((n + 2) * m, -1, np.int32)
+        left[: n * m] = symbols.ravel()
+        agenda, makes = np.full((n + 2) * m, NEVER, np.int64), np.zeros((n + 2) * m, np.int32)
+
+        def pair(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            got = self.pairs.get_indexer(a.astype(np.int64) << WIDTH | b)
+            agenda[at], makes[at] = self.made_rank[got] | at, self.made_id[got]
+
+        pair(places[: n - 1].ravel(), left[: (n - 1) * m], left[m : n * m])
+        firsts = agenda[: (n - 1) * m].reshape(n - 1, m)
+        while len(i := (least := firsts.min(0))[least < NEVER] & PLACE):
+            j, h = after[i], before[i]
+            k = after[j]
+            grown = makes[i]
+            left[i], left[j], agenda[j] = grown, -1, NEVER
+            after[i], before[k] = k, i
+            pair(i, grown, left[k])
+            pair(h, left[h], grown)
+        return left[: n * m].reshape(n, m)
+
     def fallback(self, char: str) -> tuple[int, ...]:
         """The ids of a character that is no piece."""
         return tuple(self.byte_ids[x] for x in char.encode()) if self.byte_ids else (self.unknown,)
 
     def unit_ids(self, unit: str) -> tuple[int, ...]:
-        """The ids of a unit; those of short units are kept, the most recent ones."""
-        got = self.kept.get(unit)
-        if got is not None:
-            return got
-        got = self.older.pop(unit, None)
-        if got is None:
-            out: list[int] = []
-            for s in self._symbols(unit):
-                if s < len(self.names):
-                    out.append(s)
-                else:
-                    out += self.fallback(self.parts[s - len(self.names)])
-            got = tuple(out) if out else self.fallback(unit)
-        if len(unit) <= 64:
-            if len(self.kept) >= KEPT_UNITS:
-                self.kept, self.older = {}, self.kept
-            self.kept[unit] = got
-        return got
+        """The ids of a unit."""
+        out: list[int] = []
+        for s in self._symbols(unit):
+            if s < len(self.names):
+                out.append(s)
+            else:
+                out += self.fallback(self.parts[s - len(self.names)])
+        return tuple(out) if out else self.fallback(unit)
+
+    def _forget(self) -> None:
+        self.numbers, self.chars = Numbers(), 0
+        self.starts, self.counts, self.coded = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self) -> None:
+        """Codes the fresh words. Where a word's ids begin among all, and how many they are, is kept by its number."""
+        units, numbers, ends = Numbers(), array("q"), array("q", [0])
+        for word in self.numbers.fresh:
+            found = self.units.findall(word) if len(word) <= TEXT_AT_ONCE else (m[0] for m in self.units.finditer(word))
+            numbers.extend(map(units.__getitem__, found))
+            ends.append(len(numbers))
+            self.chars += len(word)
+        starts, counts, coded = self._coded(units.fresh)
+        numbers = np.array(numbers, np.int64)
+        until = np.append(0, np.cumsum(counts[numbers]))[np.array(ends)]
+        self.starts, self.counts = np.append(self.starts, len(self.coded) + until[:-1]), np.append(self.counts, np.diff(until))
+        self.coded = np.append(self.coded, runs(coded, starts[numbers], counts[numbers]))
+        self.numbers.fresh = []
+
+    def _coded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of ``fresh`` units begin, how many they are, and the ids: short units of one length are merged side by side, others one by one."""
+        if not fresh:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        symbols = self.symbol_of[np.frombuffer("".join(fresh).encode("utf-32-le"), "<u4")]
+        begin = np.cumsum(lengths) - lengths
+        alone = np.add.reduceat((symbols < 0) | (symbols >= len(self.names)), begin, dtype=np.int64) > 0
+        alone |= lengths > SHORT
+        starts, counts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        coded, end = [], 0
+
+        def keep(units: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            nonlocal end
+            starts[units], counts[units] = end + np.cumsum(n) - n, n
+            coded.append(ids)
+            end += len(ids)
+
+        for n in np.unique(lengths[~alone]):
+            units = np.flatnonzero((lengths == n) & ~alone)
+            if n > 1 and len(units) < FEW:
+                alone[units] = True
+                continue
+            for some in np.array_split(units, len(units) * n // SYMBOLS_AT_ONCE + 1):
+                left = symbols[begin[some] + np.arange(n)[:, None]]
+                left = (self.merged_all(left) if n > 1 else left).T
+                keep(some, left[left >= 0], (left >= 0).sum(1))
+        for u in np.flatnonzero(alone):
+            ids = np.array(self.unit_ids(fresh[u]), np.int32)
+            keep(np.array([u]), ids, np.array([len(ids)]))
+        return starts, counts, np.concatenate(coded)
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`_coded`, for words; the ids of those met before are kept."""
+        counts, coded = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for at in range(0, len(words), UNITS_AT_ONCE):
+            some = words.slice(at, UNITS_AT_ONCE).to_numpy(zero_copy_only=False).tolist()
+            try:
+                numbers = np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some))
+                self._learn()
+            except BaseException:
+                self._forget()  # numbers without ids would put later ones out of step
+                raise
+            counts.append(self.counts[numbers])
+            coded.append(runs(self.coded, self.starts[numbers], counts[-1]))
+            if len(self.numbers) > KEPT_UNITS or self.chars > KEPT_CHARS:
+                self._forget()
+        n = np.concatenate(counts)
+        return np.cumsum(n) - n, n, np.concatenate(coded)
 
     def _symbols(self, unit: str) -> list[int]:
         """What is left of a unit's symbols; nothing of a character that stands in no piece, which is a unit of its own."""
@@ -178,41 +295,56 @@ class MergeVocabulary:
         cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.touching), len(unit)]
         return [s for a, b in pairwise(cuts) for s in self.merged(symbols[a:b])]
 
-    def pieces(self, text: str) -> Iterator[list[int]]:
-        """The ids of ``text``, in lists of ``UNITS_AT_ONCE`` units at most."""
-        if not text:
-            return
-        marked = self.prefix + text.replace(" ", SPACE_MARK)
-        if len(marked) <= TEXT_AT_ONCE:
-            parts: Iterator[list[str]] = iter([self.units.findall(marked)])
-        else:
-            found = (m[0] for m in self.units.finditer(marked))
-            parts = iter(lambda: list(islice(found, UNITS_AT_ONCE)), [])
-        last, joins = None, not self.byte_ids
-        for units in parts:
-            ids: list[int] = []
-            known, code = self.kept.get, self.unit_ids
-            for unit in units:
-                got = known(unit) or code(unit)
-                if joins:
-                    if got == last == (self.unknown,):
-                        continue  # without bytes, neighbours that are unknown share one id
-                    last = got[-1:]
-                ids += got
-            yield ids
+    def _words(self, texts: pa.Array) -> pa.Array:
+        """The words of each text, spaces as marks before them: a cut is where a mark follows another character, if no piece spans that."""
+        cut = "" if self.spaced else " "
+        marked = pc.replace_substring(pc.replace_substring(texts, SPACE_MARK, " "), " ", cut + SPACE_MARK)
+        if self.prefix:
+            marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(self.prefix, texts.type), marked, pa.scalar("", texts.type)))
+        for _ in range(2):  # a replacement takes every other cut of a run of marks
+            marked = pc.replace_substring(marked, SPACE_MARK + " " + SPACE_MARK, SPACE_MARK * 2)
+        return pc.split_pattern(marked, " ")
+
+    def _whole(self, ids: np.ndarray, end: bool) -> np.ndarray:
+        """A text's ids from those of its words."""
+        if not self.byte_ids and len(ids):  # without bytes, neighbours that are unknown share one id
+            unknown = ids == self.unknown
+            ids = ids[~(unknown & np.append(False, unknown[:-1]))]
+        return np.append(ids, np.int32(self.end)) if end else ids
+
+    def encode_all(self, texts: Sequence[str] | pa.Array, end: bool = False) -> Iterator[np.ndarray]:
+        """The ids of each of ``texts``, without begin id, with ``end`` with the end id."""
+        lists = self._words(pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        starts, counts, coded = self._table(words.dictionary)
+        numbers = words.indices.to_numpy()
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        first, n = 0, len(lists)
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + UNITS_AT_ONCE, "right")) - 1)
+            some = numbers[ends[first] : ends[last]]
+            until = np.append(0, np.cumsum(counts[some]))[ends[first : last + 1] - ends[first]]
+            ids = runs(coded, starts[some], counts[some])
+            for a, b in pairwise(until):
+                yield self._whole(ids[a:b], end)
+            first = last
 
     def encode(self, text: str, end: bool = False) -> list[int]:
-        """The ids of ``text``, without begin id, with ``end`` with the end id."""
-        out = [i for part in self.pieces(text) for i in part]
-        return [*out, self.end] if end else out
+        """The ids of ``text``, as :meth:`encode_all` has them."""
+        return next(self.encode_all([text], end)).tolist()
+
+    def digits(self, ids: np.ndarray) -> bytes:
+        """The decimals of ``ids``, joined by a space."""
+        return self.names[ids].tobytes().translate(None, b"\0")[:-1]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ``ids``: control ids are nothing, bytes that aren't UTF-8 one U+FFFD each, and the space that encoding puts first goes."""
         body = next((i for i in ids if self.raw[i]), None)
+        ids = np.asarray(ids, np.int32)
         try:
-            text = b"".join(map(self.raw.__getitem__, ids)).decode() if self.controls.isdisjoint(ids[:-1]) else self._by_runs(ids)
+            text = b"".join(self.raw_of[ids].tolist()).decode() if not self.controls[ids[:-1]].any() else self._by_runs(ids.tolist())
         except UnicodeDecodeError:
-            text = self._by_runs(ids)
+            text = self._by_runs(ids.tolist())
         drop = self.prefix and body is not None and body not in self.byte_of and body != self.unknown and text.startswith(" ")
         return text[1:] if drop else text
 
@@ -251,12 +383,12 @@ def vocabulary(path: str) -> MergeVocabulary:
     return MergeVocabulary(path)
 
 
-def library_ids(model_path: str, text: str, split_bytes: int) -> list[int]:
+def library_ids(model_path: str, text: str, split_bytes: int) -> np.ndarray:
     """The library's ids of ``text``, a long one coded in parts cut where no piece can span the cut."""
     model, safe, pairs = load_model(model_path)
     if len(text) <= split_bytes or not safe:
-        return model.encode(text)
-    return [i for part, extra in split_text(text, split_bytes, pairs) for i in model.encode(part)[extra:]]
+        return model.encode(text, return_type="numpy")
+    return np.concatenate([model.encode(part, return_type="numpy")[extra:] for part, extra in split_text(text, split_bytes, pairs)])
 
 
 def _mapped(df: DataFrame, keep: list[str], value: F.Column, made: str, names: list[str], code) -> DataFrame:
@@ -282,7 +414,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[st
 
     def code(texts: pa.Array) -> list[pa.Array]:
         v = vocabulary(model_path)
-        return [pa.array([v.encode(t.as_py(), end) for t in texts], pa.list_(pa.int32()))]
+        return [pa.array(list(v.encode_all(texts, end)), pa.list_(pa.int32()))]
 
     return _mapped(df, keep or ["doc_id"], F.coalesce(F.col(text_col), F.lit("")), "ids array<int>", ["ids"], code)
 
@@ -313,14 +445,12 @@ def round_trip(df: DataFrame, model_path: str, text_col: str = "text", keep: lis
         v = vocabulary(model_path)
         model = load_model(model_path)[0] if check else None
         counts, digests, decoded, agrees = [], [], [], []
-        for x in texts:
-            text = x.as_py()
-            ids = v.encode(text, end=True)
-            back = v.decode(ids)
-            counts.append(len(ids))
-            digests.append(hashlib.sha256(" ".join(map(v.names.__getitem__, ids)).encode()).hexdigest())
+        for x, coded in zip(texts, v.encode_all(texts, end=True), strict=True):
+            text, back = x.as_py(), v.decode(coded)
+            counts.append(len(coded))
+            digests.append(hashlib.sha256(v.digits(coded)).hexdigest())
             decoded.append(hashlib.sha256(back.encode()).hexdigest())
-            agrees.append(None if model is None else ids[:-1] == library_ids(model_path, text, split_bytes) and back == model.decode(ids))
+            agrees.append(None if model is None else np.array_equal(coded[:-1], library_ids(model_path, text, split_bytes)) and back == model.decode(coded))
         return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "agrees"]

@@ -1,5 +1,8 @@
 import hashlib
+import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -93,3 +96,71 @@ def test_query_over_all_documents(spark):
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.agrees) == (*want(texts[r.doc_id]), True)
+
+
+def pseudo_words(seed, n):
+    """Texts of words that hardly repeat."""
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choices("etaoinshrdlucmé.", k=rng.randint(1, 14))) for _ in range(200)) for _ in range(n)]
+
+
+def changed_model(path, change):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.ModelProto()
+    spec.ParseFromString(open(PATH, "rb").read())
+    change(spec)
+    path.write_bytes(spec.SerializeToString())
+    return str(path)
+
+
+def tied(spec):
+    for p in spec.pieces:
+        p.score = p.score // 40
+
+
+def spaced(spec):
+    next(p for p in spec.pieces if p.type == 1 and len(p.piece) == 2).piece = "e▁"
+
+
+def unprefixed(spec):
+    spec.normalizer_spec.add_dummy_prefix = False
+
+
+@pytest.mark.parametrize(("few", "at_once", "units"), [(1, 50, 7), (1, 1 << 17, 1 << 18), (32, 1 << 17, 5_000)])
+def test_units_side_by_side_as_the_library(monkeypatch, tmp_path, few, at_once, units):
+    from corvane.llm import piece_coding
+
+    for name, value in (("FEW", few), ("SYMBOLS_AT_ONCE", at_once), ("UNITS_AT_ONCE", units), ("TEXT_AT_ONCE", 3_000), ("KEPT_UNITS", 2_000), ("KEPT_CHARS", 20_000)):
+        monkeypatch.setattr(piece_coding, name, value)
+    rng = random.Random(few + units)
+    mixed = ["".join(rng.choices("abeinth▁ \n\t.<s>/0x4é中文ไทย\U0001f600\x00​﻿", k=rng.randint(0, 60))) for _ in range(300)]
+    texts = ["", *pseudo_words(units, 20), "", *mixed, *(f"a{' ' * n}e te the▁t" for n in range(12)), " a ", "QUJD" * 100 + " a", "", " ".join(pseudo_words(5, 4)), ""]
+    for path in (PATH, *(changed_model(tmp_path / f"{f.__name__}.model", f) for f in (tied, spaced, unprefixed))):
+        own, library = MergeVocabulary(path), SentencePieceProcessor(model_file=path)
+        got = [x.tolist() for x in own.encode_all(texts, end=True)]
+        assert got == [library.encode(t, add_eos=True) for t in texts]
+        assert own.digits(np.array(got[1])) == " ".join(map(str, got[1])).encode()
+    assert list(own.encode_all([])) == []
+
+
+def test_a_failed_text_leaves_later_ones_right():
+    own = MergeVocabulary(PATH)
+    with pytest.raises(UnicodeEncodeError):
+        own.encode("one \ud800 two")
+    assert own.encode("one two three") == LIBRARY.encode("one two three")
+
+
+def test_new_words_dont_cost_many_times_the_librarys_seconds():
+    """Words that a worker hasn't met took 4.9 to 6.7 times the library's CPU seconds when they were merged one by one, and take 1.8 to 2.5 times side by side."""
+    texts = pseudo_words(1, 1_500)
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    coders = [MergeVocabulary(PATH) for _ in range(3)]
+    own = min(seconds(lambda v=v: list(v.encode_all(texts))) for v in coders)
+    library = min(seconds(lambda: [LIBRARY.encode(t) for t in texts]) for _ in range(3))
+    assert own < 4 * library, f"{own:.2f} s, the library {library:.2f} s"
