@@ -133,25 +133,28 @@ SQL_CELLS = """SELECT l_suppkey AS supplier, row_number() OVER (PARTITION BY l_s
 
 
 def _supplier_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of workbooks with a sheet for each supplier: a line's flags, quantity, date and whether it is cheap, written and read back."""
+    """The rows of workbooks with a sheet for each supplier: a line's flags, quantity, date and whether it is cheap, written and read back.
+
+    A supplier's lines are dealt and sorted once; their numbers keep that order, in which they are written.
+    """
     workbooks.register(spark)
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    lines = table(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(order))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    dealt = table(spark, sf_dir, "lineitem").select("l_suppkey", *keys, "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "l_discount").repartition("l_suppkey").sortWithinPartitions("l_suppkey", *keys)
+    lines = dealt.withColumn("row", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)))
     cell = lambda col, kind, value: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.alias("value"))
     cells = F.array(
         cell(1, "text", F.concat("l_returnflag", F.lit("|"), "l_linestatus")), cell(2, "number", F.col("l_quantity").cast("long").cast("string")),
         cell(3, "date", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")), cell(4, "boolean", (F.col("l_discount") > 0.05).cast("string")),
     )
     path = workspace(spark, "workbooks")
-    spread = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("sheet"), "row", F.inline(cells))
-    spread.repartition("sheet").sortWithinPartitions("sheet", "row", "col").write.format(workbooks.NAME).mode("append").save(path)
-    return spark.read.format(workbooks.NAME).option("splitBytes", 1_000_000).option("maxRows", 100_000).load(path)
+    lines.select(F.concat(F.lit("s"), "l_suppkey").alias("sheet"), "row", cells.alias("cells")).write.format(workbooks.NAME).mode("append").save(path)
+    return spark.read.format(workbooks.NAME).option("splitBytes", 1_000_000).option("maxRows", 100_000).option("rows", "true").load(path)
 
 
 @query(SQL_CELLS)
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _supplier_workbooks(spark, sf_dir).groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
-    at = lambda c: F.element_at("m", c)
+    per = _supplier_workbooks(spark, sf_dir)
+    at = lambda n: F.get(F.filter("cells", lambda c: c["col"] == n), F.lit(0))["value"]
     return per.select(F.substring("sheet", 2, 20).cast("long").alias("supplier"), F.col("row").cast("long").alias("row"), at(1).alias("flag"), at(2).cast("long").alias("quantity"), at(3).cast("timestamp_ntz").alias("shipped"), at(4).cast("boolean").alias("cheap"))
 
 

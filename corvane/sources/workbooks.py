@@ -1,8 +1,8 @@
 """Workbooks as a Spark data source: ``spark.read.format("workbook")`` and ``df.write.format("workbook")``.
 
-A large file is split into a partition for each sheet, small ones are read several to a partition. Sheets are
-parsed as a stream of rows, so that a task holds one row and the file's shared strings. Paths go to
-pyarrow's file systems, so executors read what they could reach by it (a shared folder, S3, HDFS).
+A large file is split into runs of sheets of about as many bytes, small ones are read several to a partition. Sheets are
+parsed in blocks of rows, so that a task holds one block and the file's shared strings; plain rows as columns of Arrow,
+others element by element. Paths go to pyarrow's file systems, so executors read what they could reach by it (a shared folder, S3, HDFS).
 """
 
 from __future__ import annotations
@@ -11,25 +11,42 @@ import io
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import lru_cache
+from itertools import chain
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "workbook"
 SCHEMA = "document string, sheet string, sheet_no int, row int, col int, kind string, value string, span_rows int, span_cols int, truncated boolean"
+ROWS = "document string, sheet string, sheet_no int, row int, cells array<struct<col: int, kind: string, value: string, span_rows: int, span_cols: int>>, truncated boolean"
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 S, R = f"{{{MAIN}}}", f"{{{LINKS}}}"
 #: Built-in number formats that show dates or times (fixed values).
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+#: Bytes of a sheet that are parsed at once.
+BLOCK = 4 << 20
+#: Bytes of small files that are read in one partition.
+MOST_SMALL = 16 << 20
+#: What stands before a sheet's plain rows, and a plain cell up to its end tag, with the row that it begins.
+HEAD = re.compile(rb"""^(?:\xef\xbb\xbf)?(?:<\?xml(?: version="1.0")?(?: encoding="(?:UTF|utf)-8")?(?: standalone="\w+")?\s*\?>)?\s*<worksheet (?:[^<>]*\s)?xmlns="%s"[^<>]*>(?s:.*?)<sheetData>""" % re.escape(MAIN).encode())
+CELL = r'^(?:</row>)?(?:<row r="(?P<row>\d+)"[^<>/]*>)?<c r="(?P<col>[A-Z]+)\d+"(?: s="(?P<style>\d+)")?(?: t="(?P<type>\w+)")?>(?:<v>(?P<v>[^<]*)</v>|<is><t(?: xml:space="preserve")?>(?P<text>[^<]*)</t></is>)$'
+KINDS = {"s": "text", "inlineStr": "text", "str": "text", "b": "boolean", "e": "error", "d": "date"}
+FIELDS = {"row": pa.int32(), "col": pa.int32(), "kind": pa.string(), "value": pa.string(), "span_rows": pa.int32(), "span_cols": pa.int32()}
 
 
 def column_number(letters: str) -> int:
@@ -61,6 +78,15 @@ def as_date(serial: float, from_1904: bool) -> str:
     return (start + timedelta(milliseconds=round(serial * 86_400_000))).isoformat(sep=" ")
 
 
+@lru_cache(1 << 16)
+def date_of(raw: str, from_1904: bool) -> str | None:
+    """A cell's text as a date; null for one that is none."""
+    try:
+        return as_date(float(raw), from_1904)
+    except (OverflowError, ValueError):
+        return None
+
+
 @dataclass
 class Workbook:
     """An open file: its sheets' names, states and parts, and what cells refer to."""
@@ -95,11 +121,17 @@ class Workbook:
         ids = [int(x.get("numFmtId", 0)) for x in (cells if cells is not None else [])]
         return {i for i, n in enumerate(ids) if (shows_date(own[n]) if n in own else n in DATE_FORMATS)}
 
-    def merged(self, part: str) -> dict[tuple[int, int], tuple[int, int]]:
-        """(row, col) of each merged range's first cell: its rows and columns. They stand after a sheet's rows."""
-        out = {}
+    def blocks(self, part: str) -> Iterator[bytes]:
         with self.files.open(part) as f:
-            for _, e in ElementTree.iterparse(f):
+            while block := f.read(BLOCK):
+                yield block
+
+    def merged(self, blocks: Iterable[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
+        """(row, col) of each merged range's first cell: its rows and columns. They stand after a sheet's rows, and only a sheet that names them is parsed for them."""
+        out, parser = {}, ElementTree.XMLPullParser()
+        for block in blocks:
+            parser.feed(block)
+            for _, e in parser.read_events():
                 if e.tag == f"{S}mergeCell" and (m := re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", e.get("ref", ""))):
                     c0, r0, c1, r1 = column_number(m[1]), int(m[2]), column_number(m[3]), int(m[4])
                     out[r0, c0] = (r1 - r0 + 1, c1 - c0 + 1)
@@ -107,19 +139,122 @@ class Workbook:
                     e.clear()
         return out
 
-    def cells(self, part: str, shared: list[str], dates: set[int], max_rows: int, max_columns: int) -> Iterator[tuple]:
-        """(row, col, kind, value, span_rows, span_cols, truncated) of a sheet's cells with a value, up to the caps. A sheet
-        that has more says so in a last line of kind ``warning``, whose value names the caps."""
-        spans = self.merged(part)
-        row_at, over = 0, False
-        with self.files.open(part) as f:
-            for event, e in ElementTree.iterparse(f, ("start", "end")):
+    def cells(self, part: str, shared: list[str], dates: set[int], max_rows: int, max_columns: int) -> Iterator[pa.Table]:
+        """A sheet's cells with a value, up to the caps, in tables of FIELDS of whole rows. A sheet that has more says so in a
+        last line of kind ``warning``, whose value names the caps."""
+        blocks, names, last = self.blocks(part), False, b""
+        if self.files.getinfo(part).file_size <= BLOCK:
+            blocks = list(blocks)
+        for block in blocks if isinstance(blocks, list) else self.blocks(part):
+            names, last = names or b"mergeCell" in last + block, block[-8:]
+        spans = self.merged(blocks if isinstance(blocks, list) else self.blocks(part)) if names else {}
+        over = yield from self._rows(iter(blocks), spans, shared, dates, max_rows, max_columns)
+        if over:
+            yield table([(0, 0, "warning", f"more than {max_rows} rows or {max_columns} columns", 1, 1)])
+
+    def _rows(self, blocks: Iterator[bytes], spans: dict, shared: list[str], dates: set[int], max_rows: int, max_columns: int) -> Iterator[pa.Table]:
+        """Plain rows as columns, from the first other ones on by elements; whether a cap is passed."""
+        rest, over, row_at = next(blocks, b""), False, 0
+        caps = (max_rows, max_columns)
+        head = HEAD.match(rest)
+        if not head:
+            return (yield from self._elements(chain([rest], blocks), 0, spans, shared, dates, *caps))
+        rest = rest[head.end() :]
+        while True:
+            end = rest.rfind(b"</row>") + 6
+            if end > 5:
+                found = self._plain(rest[:end], shared, dates)
+                if found is None or rest.find(b"</sheetData>", 0, end) >= 0:
+                    return (yield from self._elements(chain([head[0], rest], blocks), row_at, spans, shared, dates, *caps)) or over
+                rows = found["row"].to_numpy()
+                row_at, rest = int(rows[-1]), rest[end:]
+                beyond = rows > max_rows
+                if beyond.any():
+                    found = found.slice(0, int(beyond.argmax()))
+                wide = pc.greater(found["col"], max_columns)
+                over = over or bool(beyond.any()) or pc.any(pc.and_(wide, pc.not_equal(found["value"], ""))).as_py() is True
+                found = found.filter(pc.and_(pc.invert(wide), pc.not_equal(found["value"], "")))
+                if spans:
+                    own = [spans.get(x, (1, 1)) for x in zip(found["row"].to_pylist(), found["col"].to_pylist(), strict=True)]
+                    for n, name in enumerate(("span_rows", "span_cols")):
+                        found = found.set_column(4 + n, name, pa.array([x[n] for x in own], pa.int32()))
+                yield found
+                if beyond.any():
+                    return True
+            elif not rest.startswith(b"</sheetData>"):
+                block = next(blocks, b"")
+                if not block:
+                    return (yield from self._elements([head[0], rest], row_at, spans, shared, dates, *caps)) or over
+                rest += block
+                continue
+            if rest.startswith(b"</sheetData>"):
+                for _ in blocks:  # to the end, where the archive tells a broken part
+                    pass
+                return over
+
+    def _plain(self, rows: bytes, shared: list[str], dates: set[int]) -> pa.Table | None:
+        """Whole rows, if each cell is a plain one, with blank values."""
+        try:
+            pieces = pc.split_pattern(pa.array([rows.decode()], pa.large_string()), "</c>").values
+        except UnicodeDecodeError:
+            return None
+        if b"\r" in rows or len(pieces) < 2 or pieces[-1].as_py() != "</row>":
+            return None
+        x = pc.extract_regex(pieces.slice(0, len(pieces) - 1), CELL)
+        if x.null_count:
+            return None
+        row, col, style, kind, v, text = x.flatten()
+        begins = np.flatnonzero(pc.not_equal(row, ""))
+        if begins[0] != 0:
+            return None
+        numbers = pc.cast(row.take(pa.array(begins)), pa.int32()).to_numpy()
+        letters, kinds, styles = (c.dictionary_encode() for c in (col, kind, style))
+        types = kinds.dictionary.to_pylist()
+        dated = pa.array([int(s or 0) in dates for s in styles.dictionary.to_pylist()]).take(styles.indices)
+        of = lambda *names: pa.array([t in names for t in types]).take(kinds.indices)
+        value = pc.if_else(of("inlineStr"), text, v)
+        if pc.any(pc.match_substring(value, "&")).as_py():
+            own = value.dictionary_encode()
+            try:
+                value = pa.array([ElementTree.fromstring(f"<a>{s}</a>").text if "&" in s else s for s in own.dictionary.to_pylist()], pa.large_string()).take(own.indices)
+            except ElementTree.ParseError:
+                return None
+        known = pa.array([KINDS.get(t, "number") for t in types], pa.string()).take(kinds.indices)
+        filled = pc.not_equal(value, "")
+
+        def changed(mask, f):
+            """``value`` with ``f`` of each distinct one where ``mask`` holds."""
+            own = value.filter(mask).dictionary_encode()
+            return pc.replace_with_mask(value, mask, pa.array([f(s) for s in own.dictionary.to_pylist()], pa.large_string()).take(own.indices))
+
+        if "s" in types:
+            value = changed(pc.and_(of("s"), filled), lambda s: shared[int(s)])
+        if "b" in types:
+            value = changed(pc.and_(of("b"), filled), lambda s: "true" if s == "1" else "false")
+        if pc.any(mask := pc.and_(pc.and_(pc.equal(known, "number"), dated), filled)).as_py():
+            own = value.filter(mask).dictionary_encode()
+            shown = [date_of(s, self.from_1904) for s in own.dictionary.to_pylist()]
+            known = pc.replace_with_mask(known, mask, pa.array(["number" if d is None else "date" for d in shown], pa.string()).take(own.indices))
+            value = changed(mask, lambda s: date_of(s, self.from_1904) or s)
+        one = pa.array(np.ones(len(col), np.int32))
+        at = pa.array([column_number(c) for c in letters.dictionary.to_pylist()], pa.int32()).take(letters.indices)
+        return pa.table([pa.array(np.repeat(numbers, np.diff(begins, append=len(col)))), at, known, pc.cast(value, pa.string()), one, one], names=list(FIELDS))
+
+    def _elements(self, blocks: Iterable[bytes], row_at: int, spans: dict, shared: list[str], dates: set[int], max_rows: int, max_columns: int) -> Iterator[pa.Table]:
+        """Any rows, after ``row_at``, by elements; whether a cap is passed."""
+        parser, over, own = ElementTree.XMLPullParser(("start", "end")), False, []
+        col_at = 0
+        for block in chain(blocks, [None]):
+            parser.close() if block is None else parser.feed(block)
+            for event, e in parser.read_events():
                 if event == "start":
                     if e.tag == f"{S}row":
                         row_at, col_at = int(e.get("r", row_at + 1)), 0
+                        if len(own) >= 10_000 or row_at > max_rows:
+                            yield table(own)
+                            own = []
                         if row_at > max_rows:
-                            over = True
-                            break
+                            return True
                     continue
                 if e.tag == f"{S}row":
                     e.clear()
@@ -132,9 +267,9 @@ class Workbook:
                     if col_at > max_columns:
                         over = True
                         continue
-                    yield (row_at, col_at, kind, value, *spans.get((row_at, col_at), (1, 1)), False)
-        if over:
-            yield (0, 0, "warning", f"more than {max_rows} rows or {max_columns} columns", 1, 1, True)
+                    own.append((row_at, col_at, kind, value, *spans.get((row_at, col_at), (1, 1))))
+        yield table(own)
+        return over
 
     def _value(self, cell, shared: list[str], dates: set[int]) -> tuple[str, str]:
         kind = cell.get("t", "n")
@@ -149,69 +284,117 @@ class Workbook:
             return "boolean", "true" if raw == "1" else "false"
         if kind in ("str", "e", "d"):
             return {"str": "text", "e": "error", "d": "date"}[kind], raw
-        if int(cell.get("s", 0)) in dates:
-            try:
-                return "date", as_date(float(raw), self.from_1904)
-            except (OverflowError, ValueError):
-                return "number", raw
+        if int(cell.get("s", 0)) in dates and (date := date_of(raw, self.from_1904)) is not None:
+            return "date", date
         return "number", raw
 
 
+def table(cells: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True) if cells else [[]] * len(FIELDS), FIELDS.values(), strict=True)], names=list(FIELDS))
+
+
 @dataclass
 class Files(InputPartition):
-    """Files to read whole, or one sheet of one file."""
+    """Files to read whole, or a run of sheets of one file: the first one's number and the one after the last."""
 
     paths: list[str]
-    sheet: int | None = None
+    sheets: tuple[int, int] | None = None
 
 
-def opened(path: str) -> io.BytesIO:
+@contextmanager
+def opened(path: str, whole: bool = True) -> Iterator:
+    """A file's bytes, or a file of which only what is asked for is read."""
     system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     with system.open_input_file(at) as f:
-        return io.BytesIO(f.read())
+        yield io.BytesIO(f.read()) if whole else f
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.hidden = str(options.get("includeHidden", "false")).lower() == "true"
+        self.hidden, self.rows = (str(options.get(x, "false")).lower() == "true" for x in ("includeHidden", "rows"))
         self.max_rows, self.max_columns = int(options.get("maxRows", 10_000)), int(options.get("maxColumns", 256))
         self.split, self.together = int(options.get("splitBytes", 4_000_000)), int(options.get("filesPerPartition", 64))
         if not 1 <= self.max_rows <= 1_048_576 or not 1 <= self.max_columns <= 16_384:
             raise ValueError("maxRows is 1 to 1048576, maxColumns 1 to 16384")
 
     def partitions(self) -> list[Files]:
-        """Only files beyond ``splitBytes`` are opened here, to list their sheets."""
+        """Only files beyond ``splitBytes`` are opened here, to list their sheets and what these take; the sheets themselves aren't read."""
         uri = "://" in self.path or self.path.startswith("file:")
         system, at = fs.FileSystem.from_uri(self.path) if uri else (fs.LocalFileSystem(), self.path)
         top = system.get_file_info(at)
         found = [top] if top.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".xlsx", ".xlsm")) and "/_temporary/" not in f.path)
         named = lambda p: f"{self.path[: len(self.path) - len(at)]}{p}" if uri else p
-        out, small = [], []
+        out, small, held = [], [], 0
         for path, size in files:
             if size > self.split:
                 try:
-                    sheets = len(Workbook(zipfile.ZipFile(opened(named(path)))).sheets)
+                    with opened(named(path), whole=False) as f:
+                        book = Workbook(zipfile.ZipFile(f))
+                        sizes = [book.files.getinfo(p).compress_size if p in book.files.NameToInfo else 0 for _, _, p in book.sheets]
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    sheets = 1
-                out += [Files([named(path)], i) for i in range(sheets)]
+                    sizes = [0]
+                out += [Files([named(path)], run) for run in runs(sizes, self.split)]
             else:
-                small.append(named(path))
-        return out + [Files(small[i : i + self.together]) for i in range(0, len(small), self.together)]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
+                if not small or len(small[-1].paths) >= self.together or held + size > max(self.split, MOST_SMALL):
+                    small.append(Files([]))
+                    held = 0
+                small[-1].paths.append(named(path))
+                held += size
+        return out + small
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        own, n = [], 0
+        for lines in self._lines(partition):
+            own.append(lines)
+            n += lines.num_rows
+            if n >= 10_000:
+                yield from pa.concat_tables(own).combine_chunks().to_batches()
+                own, n = [], 0
+        yield from (pa.concat_tables(own) if own else self._shown(table([]), "", None, None)).combine_chunks().to_batches()
+
+    def _lines(self, partition: Files) -> Iterator[pa.Table]:
         for path in partition.paths:
+            at = None
             try:
-                book = Workbook(zipfile.ZipFile(opened(path)))
-                wanted = [(i, s) for i, s in enumerate(book.sheets) if partition.sheet in (None, i) and (self.hidden or s[1] == "visible")]
-                shared, dates = (book.shared(), book.date_styles()) if wanted else ([], set())
-                for i, (name, _, part) in wanted:
-                    for cell in book.cells(part, shared, dates, self.max_rows, self.max_columns):
-                        yield (path, name, i, *cell)
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError) as error:
-                if partition.sheet in (None, 0):
-                    yield (path, None, None, 0, 0, "error", f"unreadable workbook: {type(error).__name__}", 1, 1, False)
+                with opened(path, partition.sheets is None) as f:
+                    book = Workbook(zipfile.ZipFile(f))
+                    first, end = partition.sheets or (0, len(book.sheets))
+                    wanted = [(i, s) for i, s in enumerate(book.sheets) if first <= i < end and (self.hidden or s[1] == "visible")]
+                    shared, dates = (book.shared(), book.date_styles()) if wanted else ([], set())
+                    for at, (name, _, part) in wanted:
+                        for cells in book.cells(part, shared, dates, self.max_rows, self.max_columns):
+                            yield self._shown(cells, path, name, at)
+            except (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, IndexError, ValueError) as error:
+                if at is not None or partition.sheets is None or partition.sheets[0] == 0:
+                    yield self._shown(table([(0, 0, "error", f"unreadable workbook: {type(error).__name__}", 1, 1)]), path, None, None)
+
+    def _shown(self, cells: pa.Table, path: str, name: str | None, sheet: int | None) -> pa.Table:
+        """A table's lines: its cells, or, with ``rows``, its rows."""
+        cells = cells.combine_chunks()
+        row, *fields = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cells.columns)
+        lines = [row, *fields, pc.equal(fields[1], "warning")]
+        if self.rows:
+            at = row.to_numpy()
+            begins = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)), pa.int32()), pa.StructArray.from_arrays(fields, fields=[pa.field(n, t) for n, t in list(FIELDS.items())[1:]]))
+            lines = [row.take(pa.array(begins)), lists, lines[-1].take(pa.array(begins))]
+        n = len(lines[0])
+        of = [pa.repeat(pa.scalar(x, t), n) for x, t in ((path, pa.string()), (name, pa.string()), (sheet, pa.int32()))]
+        return pa.table([*of, *lines], names=["document", "sheet", "sheet_no", "row", *(["cells"] if self.rows else list(FIELDS)[1:]), "truncated"])
+
+
+def runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Neighbours together, as long as they take at most ``most``."""
+    out, held = [], 0
+    for i, size in enumerate(sizes):
+        if out and held + size <= most:
+            out[-1], held = (out[-1][0], i + 1), held + size
+        else:
+            out.append((i, i + 1))
+            held = size
+    return out
 
 
 @dataclass
@@ -219,27 +402,30 @@ class Written(WriterCommitMessage):
     path: str | None
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Each task's rows as a workbook. Tasks write beside the folder's files and a commit moves them in, so a task that is run again leaves nothing twice."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        self.path, self.overwrite, self.names = options["path"], overwrite, schema.fieldNames()
-        if missing := {"sheet", "row", "col", "value"} - set(self.names):
+        self.path, self.overwrite, names = options["path"], overwrite, schema.fieldNames()
+        if missing := {"sheet", "row"} - set(names):
+            raise ValueError(f"a workbook needs columns {sorted(missing)}")
+        own = schema["cells"].dataType.elementType.fieldNames() if "cells" in names else names
+        if missing := {"col", "value"} - set(own):
             raise ValueError(f"a workbook needs columns {sorted(missing)}")
 
     def _system(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, at = self._system()
-        rows = ({n: v for n, v in zip(self.names, r, strict=True)} for r in iterator)
-        first = next(rows, None)
+        batches = (x for b in iterator if (x := listed(b)).num_rows)
+        first = next(batches, None)
         if first is None:
             return Written(None)
         system.create_dir(f"{at}/_temporary", recursive=True)
         path = f"{at}/_temporary/part-{uuid.uuid4().hex}.xlsx"
-        with system.open_output_stream(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            names = write_sheets(z, first, rows)
+        with system.open_output_stream(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            names = write_sheets(z, chain([first], batches))
             write_book(z, names)
         return Written(path)
 
@@ -263,42 +449,95 @@ class Writer(DataSourceWriter):
                 system.delete_file(m.path)
 
 
-def write_sheets(z: zipfile.ZipFile, first: dict, rows: Iterator[dict]) -> list[str]:
-    """Rows in the order of sheet, row and col as sheets, one after another, a row at a time; their names."""
+def listed(batch: pa.RecordBatch) -> pa.Table:
+    """A batch's cells, a line for each: sheet, row, col, kind, value, span_rows, span_cols."""
+    held = {n: batch.column(n) for n in batch.schema.names}
+    if "cells" in held:
+        of = pc.list_parent_indices(held["cells"])
+        cells = pc.list_flatten(held["cells"])
+        held = {n: held[n].take(of) for n in ("sheet", "row")} | {f.name: x for f, x in zip(cells.type, cells.flatten(), strict=True)}
+    kinds = {"sheet": pa.string()} | FIELDS | {"value": pa.large_string()}
+    filled = lambda n, t: pa.scalar("text", t) if n == "kind" else pa.scalar(1, t)
+    n = len(held["sheet"])
+    columns = {c: pc.cast(held[c], t) if c in held else pa.repeat(filled(c, t), n) for c, t in kinds.items()}
+    return pa.table({c: pc.fill_null(x, filled(c, x.type)) if c in ("kind", "span_rows", "span_cols") else x for c, x in columns.items()})
+
+
+def write_sheets(z: zipfile.ZipFile, batches: Iterable[pa.Table]) -> list[str]:
+    """Cells in the order of sheet, row and col as sheets, one after another, a batch at a time; their names."""
     names: list[str] = []
-    row, part = first, None
-    while row is not None:
-        names.append(row["sheet"])
-        merged = []
-        with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as part:
-            part.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN}"><sheetData>'.encode())
-            at = None
-            while row is not None and row["sheet"] == names[-1]:
-                if row["row"] != at:
-                    part.write(f'{"" if at is None else "</row>"}<row r="{row["row"]}">'.encode())
-                    at = row["row"]
-                part.write(cell_xml(row).encode())
-                if (row.get("span_rows") or 1) > 1 or (row.get("span_cols") or 1) > 1:
-                    end = f'{column_letters(row["col"] + (row.get("span_cols") or 1) - 1)}{at + (row.get("span_rows") or 1) - 1}'
-                    merged.append(f'<mergeCell ref="{column_letters(row["col"])}{at}:{end}"/>')
-                row = next(rows, None)
-            part.write(f'</row></sheetData>{"<mergeCells>" + "".join(merged) + "</mergeCells>" if merged else ""}</worksheet>'.encode())
+    part, merged, at = None, [], None
+
+    def end() -> None:
+        part.write(f'</row></sheetData>{"<mergeCells>" + "".join(merged) + "</mergeCells>" if merged else ""}</worksheet>'.encode())
+        part.close()
+
+    for batch in batches:
+        sheet, row, col, _, _, down, across = (c.combine_chunks() for c in batch.columns)
+        rows, n, own = row.to_numpy(), len(row), sheet.dictionary_encode()
+        codes, listed_names = own.indices.to_numpy(), own.dictionary.to_pylist()
+        begins = np.append(True, codes[1:] != codes[:-1])
+        begins[0] = not names or listed_names[codes[0]] != names[-1]
+        new = np.append(True, rows[1:] != rows[:-1]) | begins
+        new[0] = begins[0] or rows[0] != at
+        at = rows[-1]
+        numbers = pc.cast(pa.array(rows[new]), pa.large_string())
+        before = pc.if_else(pa.array(begins[new]), '<row r="', '</row><row r="')
+        opening = pc.replace_with_mask(pa.repeat(pa.scalar("", pa.large_string()), n), pa.array(new), joined(before, numbers, '">'))
+        lines = joined(opening, cell_xml(batch))
+        offsets, data = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :], lines.buffers()[2]
+        wide = np.flatnonzero((down.to_numpy() > 1) | (across.to_numpy() > 1))
+        for first, last in runs_of(np.flatnonzero(begins), n):
+            if begins[first]:
+                if part:
+                    end()
+                names.append(listed_names[codes[first]])
+                part, merged = z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True), []
+                part.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN}"><sheetData>'.encode())
+            part.write(memoryview(data)[offsets[first] : offsets[last]])
+            for i in wide[(wide >= first) & (wide < last)]:
+                c, r = col[i].as_py(), int(rows[i])
+                merged.append(f'<mergeCell ref="{column_letters(c)}{r}:{column_letters(c + across[i].as_py() - 1)}{r + down[i].as_py() - 1}"/>')
+    end()
     return names
 
 
-def cell_xml(row: dict) -> str:
-    """A cell by its kind: a number, date (as a serial number with a date's format), boolean or text (the default)."""
-    at, kind, value = f'{column_letters(row["col"])}{row["row"]}', row.get("kind") or "text", row["value"]
-    if value is None:
-        return ""
-    if kind == "number":
-        return f'<c r="{at}"><v>{escape(value)}</v></c>'
-    if kind == "date":
-        serial = (datetime.fromisoformat(value) - datetime(1899, 12, 30)) / timedelta(days=1)
-        return f'<c r="{at}" s="1"><v>{serial!r}</v></c>'
-    if kind == "boolean":
-        return f'<c r="{at}" t="b"><v>{int(value == "true")}</v></c>'
-    return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+def runs_of(begins: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """First and end of each run of ``n`` lines, given where new ones begin."""
+    edges = [*([] if len(begins) and begins[0] == 0 else [0]), *begins.tolist(), n]
+    yield from zip(edges, edges[1:], strict=False)
+
+
+def joined(*parts) -> pa.Array:
+    """Strings side by side, element by element."""
+    large = pa.large_string()
+    return pc.binary_join_element_wise(*[pa.scalar(p, large) if isinstance(p, str) else pc.cast(p, large) for p in parts], pa.scalar("", large))
+
+
+def cell_xml(cells: pa.Table) -> pa.Array:
+    """Cells by their kinds: a number, date (as a serial number with a date's format), boolean or text (the default); nothing for a null value."""
+    row, col, kind, value = (cells[n].combine_chunks() for n in ("row", "col", "kind", "value"))
+    columns, kinds = col.dictionary_encode(), kind.dictionary_encode()
+    letters = pa.array([column_letters(c) for c in columns.dictionary.to_pylist()], pa.large_string()).take(columns.indices)
+    shown = value
+    if pc.any(pc.match_substring_regex(value, "[&<>]")).as_py():
+        for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            shown = pc.replace_substring(shown, raw, name)
+    for name, form in (("date", serial), ("boolean", lambda v: str(int(v == "true")))):
+        if name in kinds.dictionary.to_pylist():
+            mask = pc.and_(pc.equal(kind, name), pc.is_valid(value))
+            own = value.filter(mask).dictionary_encode()
+            shown = pc.replace_with_mask(shown, mask, pa.array([form(v) for v in own.dictionary.to_pylist()], pa.large_string()).take(own.indices))
+    plain = {"number": '"><v>', "date": '" s="1"><v>', "boolean": '" t="b"><v>'}
+    start = [plain.get(k, '" t="inlineStr"><is><t xml:space="preserve">') for k in kinds.dictionary.to_pylist()]
+    stop = ["</v></c>" if k in plain else "</t></is></c>" for k in kinds.dictionary.to_pylist()]
+    start, stop = (pa.array(x, pa.large_string()).take(kinds.indices) for x in (start, stop))
+    return pc.fill_null(joined('<c r="', letters, row, start, shown, stop), "")
+
+
+@lru_cache(1 << 16)
+def serial(date: str) -> str:
+    return repr((datetime.fromisoformat(date) - datetime(1899, 12, 30)) / timedelta(days=1))
 
 
 def write_book(z: zipfile.ZipFile, names: list[str]) -> None:
@@ -316,10 +555,12 @@ def write_book(z: zipfile.ZipFile, names: list[str]) -> None:
 
 
 class WorkbookSource(DataSource):
-    """Options of a read: path (a file or folder), includeHidden, maxRows, maxColumns, splitBytes, filesPerPartition.
+    """Options of a read: path (a file or folder), includeHidden, maxRows, maxColumns, splitBytes, filesPerPartition, and
+    rows: a line is a row with its cells, not a cell.
 
     A sheet that passes the caps gives what is within them and a line of kind ``warning`` with ``truncated``; a
-    file that can't be read gives a line of kind ``error``. A write takes rows of sheet, row, col and value (and kind, span_rows, span_cols), sorted within each task, and makes a file of each task's rows.
+    file that can't be read gives a line of kind ``error``. A write takes rows of sheet, row, col and value (and kind, span_rows, span_cols),
+    or of sheet, row and cells, sorted within each task, and makes a file of each task's rows.
     """
 
     @classmethod
@@ -327,7 +568,7 @@ class WorkbookSource(DataSource):
         return NAME
 
     def schema(self) -> str:
-        return SCHEMA
+        return ROWS if str(self.options.get("rows", "false")).lower() == "true" else SCHEMA
 
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options)
@@ -343,18 +584,20 @@ def register(spark: SparkSession) -> None:
 def row_windows(cells: DataFrame, size: int = 50) -> DataFrame:
     """Sheets in windows of ``size`` rows with a value, as Markdown tables: document, sheet, window, first_row, last_row, width, text.
 
-    Every row of a sheet has as many columns as its widest, and a sheet's windows are independent of each other, so a sheet
-    of any length is spread over tasks; rows without a value take no place.
+    ``cells``: lines of cells, or of rows with their cells. Every row of a sheet has as many columns as its widest; rows without a value take no place.
     """
-    filled = cells.where(~F.col("kind").isin("warning", "error") & (F.trim("value") != ""))
-    shown = F.replace(F.trim(F.regexp_replace("value", r"\s+", " ")), F.lit("|"), F.lit("\\|"))
-    rows = filled.groupBy("document", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", shown.alias("v")))).alias("m"), F.max("col").alias("width"))
-    wide = rows.groupBy("document", "sheet").agg(F.max("width").alias("width"))
-    lines = rows.drop("width").join(wide, ["document", "sheet"])
+    shown = lambda v: F.replace(F.trim(F.regexp_replace(v, r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    if "cells" in cells.columns:
+        filled = F.filter("cells", lambda c: ~c["kind"].isin("warning", "error") & (F.trim(c["value"]) != ""))
+        rows = cells.select("document", "sheet", "row", F.transform(filled, lambda c: F.struct(c["col"].alias("col"), shown(c["value"]).alias("v"))).alias("e")).where(F.size("e") > 0)
+    else:
+        filled = cells.where(~F.col("kind").isin("warning", "error") & (F.trim("value") != ""))
+        rows = filled.groupBy("document", "sheet", "row").agg(F.collect_list(F.struct("col", shown(F.col("value")).alias("v"))).alias("e"))
+    rows = rows.select("document", "sheet", "row", F.map_from_entries("e").alias("m"), F.array_max(F.transform("e", lambda x: x["col"])).alias("width"))
+    sheet = Window.partitionBy("document", "sheet")
+    lines = rows.withColumns({"window": F.floor((F.row_number().over(sheet.orderBy("row")) - 1) / size).cast("int"), "width": F.max("width").over(sheet)})
     text = F.transform(F.sequence(F.lit(1), "width"), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
     lines = lines.withColumn("line", F.concat(F.lit("| "), F.array_join(text, " | "), F.lit(" |")))
-    order = Window.partitionBy("document", "sheet").orderBy("row")
-    lines = lines.withColumn("window", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
     body = F.array_sort(F.collect_list(F.struct("row", "line")))  # ``size`` of them
     out = lines.groupBy("document", "sheet", "window", "width").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.transform(body, lambda x: x["line"]).alias("lines"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))

@@ -106,3 +106,36 @@ def test_windows_of_rows(spark, folder):
     got = {(r.sheet, r.window): r for r in workbooks.row_windows(spark.createDataFrame(cells, "document string, sheet string, row int, col int, kind string, value string"), 50).collect()}
     assert {k: (r.first_row, r.last_row) for k, r in got.items()} == {("s", 0): (2, 100), ("s", 1): (102, 122), ("t", 0): (4, 4)}
     assert got["s", 1].text.split("\n")[:3] == ["| 102\\|1 |  | 102\\|3 |", "| --- | --- | --- |", "| 104\\|1 |  | 104\\|3 |"] and got["t", 0].text == "|  | x |\n| --- | --- |"
+
+
+def test_large_files_are_read_in_runs_of_sheets(spark, folder):
+    save(folder, "a.xlsx", book([(f"s{i}", "visible", f'<sheetData><row r="1"><c r="A1"><v>{i}</v></c></row></sheetData>') for i in range(40)]))
+    size = os.path.getsize(f"{folder}/a.xlsx")
+    df = spark.read.format("workbook").option("splitBytes", size // 10).load(folder)
+    assert 2 <= df.rdd.getNumPartitions() <= 20 and sorted(r.value for r in df.collect()) == sorted(map(str, range(40)))
+
+
+def test_rows_of_cells_are_written_and_read(spark, folder):
+    cell = "struct<col: int, kind: string, value: string>"
+    df = spark.createDataFrame([("a", 1, [(1, "text", "x & <y>"), (3, "date", "2024-02-29 06:00:00")]), ("a", 9, [(2, "number", None), (4, "boolean", "false")]), ("b", 2, [])], f"sheet string, row int, cells array<{cell}>").coalesce(1)
+    df.write.format("workbook").mode("append").save(f"{folder}/new")
+    got = spark.read.format("workbook").option("rows", "true").load(f"{folder}/new").collect()
+    assert sorted((r.sheet, r.row, [tuple(c)[:3] for c in r.cells]) for r in got) == [("a", 1, [(1, "text", "x & <y>"), (3, "date", "2024-02-29 06:00:00")]), ("a", 9, [(4, "boolean", "false")])]
+
+
+def test_plain_and_other_rows_read_alike(monkeypatch, tmp_path):
+    monkeypatch.setattr(workbooks, "BLOCK", 200)
+    plain = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{i % 2}</v></c><c r="C{i}" s="1"><v>{45000 + i}</v></c><c r="D{i}" t="b"><v>1</v></c><c r="E{i}"><v></v></c><c r="F{i}" t="inlineStr"><is><t>a &amp; b</t></is></c></row>' for i in range(1, 40))
+    odd = '<row r="50"><c r="A50"/><c r="B50" t="str"><f>1&lt;2</f><v>y</v></c></row><!-- </row> --><row><c><v><![CDATA[7]]></v></c></row>'
+    merged = '</sheetData><mergeCells><mergeCell ref="C3:D5"/></mergeCells>'
+    sheets = [("p", "visible", f"<sheetData>{plain}{merged}"), ("o", "visible", f"<sheetData>{plain}{odd}{plain.replace('r=\"1\"', 'r=\"61\"', 1)}{merged}")]
+    content = book(sheets, '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs>', ["<t>zero</t>", "<t>one</t>"])
+    for rows, columns in ((100, 256), (20, 256), (100, 3)):
+        b = workbooks.Workbook(zipfile.ZipFile(io.BytesIO(content)))
+        for _, _, part in b.sheets:
+            def lines(): return [tuple(c.values()) for t in b.cells(part, b.shared(), b.date_styles(), rows, columns) for c in t.to_pylist()]
+            fast = lines()
+            with monkeypatch.context() as m:
+                m.setattr(workbooks.Workbook, "_plain", lambda *_: None)
+                assert fast == lines()
+            assert (3, 3, "date", "2023-03-18 00:00:00", 3, 2) in fast and (fast[-1][2] == "warning") == ((rows, columns) != (100, 256))
