@@ -139,3 +139,10 @@ def test_plain_and_other_rows_read_alike(monkeypatch, tmp_path):
                 m.setattr(workbooks.Workbook, "_plain", lambda *_: None)
                 assert fast == lines()
             assert (3, 3, "date", "2023-03-18 00:00:00", 3, 2) in fast and (fast[-1][2] == "warning") == ((rows, columns) != (100, 256))
+
+
+def test_windows_of_rows_with_their_cells_are_those_of_cells(spark, folder):
+    cells = [("d", "s", i, c, "text", f"{i}|{c}") for i in range(2, 124, 2) for c in (1, 3)] + [("d", "s", 0, 0, "warning", "more"), ("d", "t", 4, 2, "text", "x"), ("d", "t", 5, 1, "text", " ")]
+    lines = spark.createDataFrame(cells, "document string, sheet string, row int, col int, kind string, value string")
+    rows = lines.selectExpr("document", "sheet", "row", "struct(col, kind, value) AS c").groupBy("document", "sheet", "row").agg({"c": "collect_list"}).withColumnRenamed("collect_list(c)", "cells")
+    assert sorted(map(tuple, workbooks.row_windows(rows).collect())) == sorted(map(tuple, workbooks.row_windows(lines).collect()))
