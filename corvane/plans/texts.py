@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions import routing, text
 from corvane.operators import chunking, packing, quality
-from corvane.operators.questions import route_table
+from corvane.operators.questions import route_table, similar_texts
 from corvane.plans import query
 from corvane.plans.model import table
 from corvane.sources import parsers
+from corvane.sources.folders import stored
 
 WIDE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
 
@@ -47,25 +48,17 @@ p AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(range(1, length(
 m AS (SELECT a.conv_id AS a_id, b.conv_id AS b_id, a.turn AS a_turn, b.turn AS b_turn, a.c AS ca, b.c AS cb, count(*) AS common FROM p a JOIN p b ON a.g = b.g AND (a.conv_id, a.turn) < (b.conv_id, b.turn) GROUP BY ALL)
 SELECT a_id, a_turn, b_id, b_turn, round(common / (ca + cb - common), 6) AS similarity FROM m WHERE common / (ca + cb - common) >= 0.72""")
 def similar_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of questions whose character pairs agree to 0.72 or more.
-
-    Each question indexes only its rarest pairs, as many as a partner at the
-    threshold can't all lack, so common pairs never bring questions together.
-    """
-    q = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.pairs_of(text.comparison_text(F.col("text"))).alias("g")).where(F.size("g") > 0)
-    q = q.where(F.length(F.get("g", F.lit(0))) > 1)
-    each = q.select("conv_id", "turn", F.explode("g").alias("pair"))
-    often = each.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(often, "pair").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("s"))
-    need = F.size("s") - F.ceil(F.size("s") * 0.72) + 1
-    index = ranked.select("conv_id", "turn", F.explode(F.slice("s", F.lit(1), need.cast("int"))).alias("x")).select("conv_id", "turn", "x.pair")
-    a, b = index.alias("a"), index.alias("b")
-    before = F.struct("a.conv_id", "a.turn") < F.struct("b.conv_id", "b.turn")
-    met = a.join(b, (F.col("a.pair") == F.col("b.pair")) & before).select(F.col("a.conv_id").alias("a_id"), F.col("a.turn").alias("a_turn"), F.col("b.conv_id").alias("b_id"), F.col("b.turn").alias("b_turn")).distinct()
-    left, right = q.toDF("a_id", "a_turn", "ga"), q.toDF("b_id", "b_turn", "gb")
-    both = met.join(left, ["a_id", "a_turn"]).join(right, ["b_id", "b_turn"])
-    value = text.jaccard(F.col("ga"), F.col("gb"))
-    return both.where(value >= 0.72).select("a_id", "a_turn", "b_id", "b_turn", F.round(value, 6).alias("similarity"))
+    """Pairs of questions whose character pairs agree to 0.72 or more: pairs of different texts, and questions of one text."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", text.comparison_text(F.col("text")).alias("n")).where(F.length("n") > 1)
+    q = stored(q)
+    each = q.select(F.col("n").alias("text")).distinct()
+    met = similar_texts(each.withColumn("size", F.size(text.pairs_of(F.col("text")))), 0.72)
+    left, right = (q.select(F.struct("conv_id", "turn").alias(c), F.col("n").alias(f"{c}_text")) for c in "ab")
+    both = met.join(left, "a_text").join(right, "b_text").select("a", "b", "similarity")
+    same = left.join(right, (F.col("a_text") == F.col("b_text")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("similarity"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    out = both.where(low < high).unionByName(same).select(low.alias("a"), high.alias("b"), F.round("similarity", 6).alias("similarity"))
+    return out.select(F.col("a.conv_id").alias("a_id"), F.col("a.turn").alias("a_turn"), F.col("b.conv_id").alias("b_id"), F.col("b.turn").alias("b_turn"), "similarity")
 
 
 QUESTIONS = [

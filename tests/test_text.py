@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import routing, text
@@ -53,3 +56,22 @@ def test_router_after_retrieval(spark):
     for hits, strict, want in ((1, False, ["FAST", "DEEP", "DEEP"]), (1, True, ["DEEP", "DEEP", "DEEP"]), (2, True, ["FAST", "FAST", "DEEP"])):
         got = q.select(routing.reroute(routing.route(F.col("q")), F.lit(hits), strict)["mode"].alias("m")).collect()
         assert [r.m for r in got] == want
+
+
+@pytest.mark.parametrize(("width", "strip"), [(2048, 16 << 20), (16, 20_000), (64, 1)])
+def test_similar_texts_are_those_of_a_loop(spark, monkeypatch, width, strip):
+    from corvane.operators import questions
+
+    monkeypatch.setattr(questions, "WIDTH", width)
+    monkeypatch.setattr(questions, "STRIP", strip)
+    monkeypatch.setattr(questions, "TILE", 8)
+    draw, texts = random.Random(5), {"ab", "aba", "漢字漢", "漢字漢字"}
+    while len(texts) < (24 if strip == 1 else 80):
+        t = "".join(draw.choice("abcde𝒳") for _ in range(draw.randint(2, 40)))
+        texts |= {t, t[: len(t) // 2] + t[len(t) // 2 + 1 :] + "a" if draw.random() < 0.5 else t} - {""}
+    texts = sorted(t for t in texts if len(t) > 1)
+    grams = {t: {t[i : i + 2] for i in range(len(t) - 1)} for t in texts}
+    df = spark.createDataFrame([(t, len(grams[t])) for t in texts], "text string, size int")
+    got = sorted((*sorted((r.a_text, r.b_text)), round(r.similarity, 9)) for r in questions.similar_texts(df, 0.6).collect())
+    want = [(a, b, round(v, 9)) for i, a in enumerate(texts) for b in texts[i + 1 :] if (v := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.6]
+    assert got == sorted(want) and want
