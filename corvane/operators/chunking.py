@@ -55,7 +55,8 @@ def units(blocks: DataFrame, limit: int) -> DataFrame:
     natural = F.when(lines, F.regexp_extract_all("text", F.lit(LINE), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
     pieces = blocks.select(*blocks.columns, F.posexplode(natural).alias("s1", "piece"))
     parts = pieces.select(*blocks.columns, "s1", F.posexplode(cut_hard(F.col("piece"), limit)).alias("s2", "unit_text"))
-    w = Window.partitionBy("document_id", "order_index").orderBy("s1", "s2")
+    stretch = ["stretch"] if "stretch" in blocks.columns else []  # where a block's stretch was dealt to, its units stay
+    w = Window.partitionBy("document_id", *stretch, "order_index").orderBy("s1", "s2")
     before = F.coalesce(F.sum(F.length("unit_text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     glued = lines & (F.col("s2") == 0) & F.col("unit_text").rlike(rf"^\s*[{CLOSES}]") | ((F.col("type") == "CODE") & F.col("unit_text").rlike(CONTINUES))
     out = parts.withColumns({"unit": F.row_number().over(w) - 1, "start": before, "glued": glued & (F.col("s1") > 0)})
@@ -195,10 +196,11 @@ def stretches(blocks: DataFrame) -> DataFrame:
     return marked.withColumn("stretch", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
 
 
-def parent_child(blocks: DataFrame, policy: Policy = Policy(), split: bool = True) -> DataFrame:
+def parent_child(blocks: DataFrame, policy: Policy = Policy(), split: bool = True, deal: bool = True) -> DataFrame:
     """Parents and children of documents' blocks; a child names its parent. Blank blocks, page headers and footers are left out.
 
-    With ``split``, a document's :func:`stretches` are dealt to different tasks, with the same result.
+    With ``split``, a document's :func:`stretches` are folded apart, and with ``deal`` in different tasks, with the same result.
+    Documents that are small to a task needn't be dealt: blocks that lie by document then move no more.
     """
     own = blocks.where((F.trim("text") != "") & ~F.col("type").isin("PAGE_HEADER", "PAGE_FOOTER"))
     for c, t in (("level", "int"), ("heading_path", "array<string>"), ("language", "string")):
@@ -206,7 +208,8 @@ def parent_child(blocks: DataFrame, policy: Policy = Policy(), split: bool = Tru
             own = own.withColumn(c, F.array().cast(t) if c == "heading_path" else F.lit(None).cast(t))
     own = own.select("document_id", "order_index", "type", "level", "text", "heading_path", "language")
     own = own.withColumn("level", F.when(F.col("type") == "HEADING", F.coalesce("level", F.size("heading_path"))).otherwise(F.col("level")))
-    own = stretches(own).repartition("document_id", "stretch") if split else own.withColumn("stretch", F.lit(0).cast("long"))
+    own = stretches(own) if split else own.withColumn("stretch", F.lit(0).cast("long"))
+    own = own.repartition("document_id", "stretch") if split and deal else own
     least = min(policy.parent_target, max(2 * policy.child_target, round(0.6 * policy.parent_target)))
     place = ["order_index", "unit"]
     parts = assign(

@@ -155,10 +155,19 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.markdown_blocks(_markdown(spark, sf_dir))
 
 
+#: Characters of a document from which on its stretches are dealt to tasks of their own.
+LONG = 2_000_000
+
+
+def _chunks(spark: SparkSession, sf_dir: str, policy: chunking.Policy = chunking.Policy()) -> DataFrame:
+    """Documents in chunks, whose stretches are dealt where there is a long one."""
+    longest = table(spark, sf_dir, "documents").agg(F.max(F.length("text"))).first()[0] or 0
+    return chunking.parent_child(parsers.markdown_blocks(_markdown(spark, sf_dir)), policy, deal=longest > LONG)
+
+
 @query()
 def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = parsers.markdown_blocks(_markdown(spark, sf_dir))
-    return chunking.parent_child(blocks, chunking.Policy(160, 190, 20, 40, 55, 8, "small")).drop("pieces")
+    return _chunks(spark, sf_dir, chunking.Policy(160, 190, 20, 40, 55, 8, "small")).drop("pieces")
 
 
 @query()
@@ -169,7 +178,7 @@ def chunk_source_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.parent_child(parsers.markdown_blocks(_markdown(spark, sf_dir)))
+    chunks = _chunks(spark, sf_dir)
     kinds = F.transform("pieces", lambda p: p["type"])
     own = chunks.withColumns({"heading_only": F.forall(kinds, lambda t: t.isin("TITLE", "HEADING")), "has_code": F.array_contains(kinds, "CODE"), "mapped": F.exists("pieces", lambda p: F.coalesce(p["start"] >= 0, F.lit(False)))})
     return quality.chunk_quality(own)

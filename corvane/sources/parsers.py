@@ -67,7 +67,8 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     runs of other lines are paragraphs or lists. A block's heading path holds,
     for each level, the last heading that no higher one followed.
     """
-    lines = docs.select("document_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "line"))
+    whole = docs.select("document_id", "text").repartition("document_id")  # the only move: texts, not lines or blocks
+    lines = whole.select("document_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "line"))
     along = Window.partitionBy("document_id").orderBy("at")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     bare = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))

@@ -283,3 +283,25 @@ def test_one_long_document_is_folded_in_several_tasks(spark):
     assert dealt.select("task").distinct().count() > 4
     got = chunking.parent_child(df)
     assert got.where("type = 'PARENT'").agg(F.count_distinct("parent_no"), F.max("parent_no")).first() == (n := got.where("type = 'PARENT'").count(), n - 1) and n >= 100
+
+
+def moves(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
+
+
+def test_texts_move_once_to_be_chunked(spark):
+    text = "\n\n".join(f"# h{i}\n\nOne two three. Four five six.\n\n- a\n- b" for i in range(40))
+    df = spark.createDataFrame([(i, text) for i in range(3)], "document_id long, text string")
+    blocks = parsers.markdown_blocks(df)
+    here, dealt = (chunking.parent_child(blocks, chunking.Policy(20, 30, 4, 8, 12, 2, "t"), deal=x) for x in (False, True))
+    assert moves(here) == 1 and moves(here) < moves(dealt)
+    assert sorted(map(repr, here.collect())) == sorted(map(repr, dealt.collect()))
+
+
+def test_chunk_quality_moves_no_chunks_that_lie_by_document(spark):
+    schema = "document_id long, chunk_id string, parent_id string, type string, text string, render string, header string, tokens int, heading_only boolean, has_code boolean, mapped boolean"
+    rows = [(1, "p", None, "PARENT", " x ", "x", "", 500, False, False, True), (1, "c", "p", "CHILD", "x", "x", "", 300, False, False, True), (1, "d", "q", "CHILD", "y", "y", "", 300, False, False, True), (1, "e", None, "CHILD", "z", "z", "", 300, False, False, True), (2, "p", None, "PARENT", None, "x", "", 500, False, False, True), (2, "c", "p", "CHILD", None, "x", "", 300, False, False, True)]
+    df = spark.createDataFrame(rows, schema).repartition("document_id")
+    report = quality.chunk_quality(df)
+    assert moves(report) == 1
+    assert sorted((r.document_id, r.parents, r.children, r.orphans, r.one_child, r.identical) for r in report.collect()) == [(1, 1, 3, 2, 1, 1), (2, 1, 1, 0, 1, 0)]
