@@ -79,21 +79,19 @@ def chunk_quality(chunks: DataFrame, child_target: int = 250, child_max: int = 3
     short_child = max(1, round(child_target * 0.48))
     short_parent = max(child_target, round(parent_target * 0.40))
     parent, child = F.col("type") == "PARENT", F.col("type") == "CHILD"
-    kids = chunks.where(child).groupBy("document_id", F.col("parent_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_children"), F.first(F.trim("text")).alias("one_text"))
-    own = chunks.join(kids, ["document_id", "chunk_id"], "left")
-    ids = chunks.where(parent).select("document_id", F.col("chunk_id").alias("parent_id"), F.lit(True).alias("parent_found"))
-    own = own.join(ids, ["document_id", "parent_id"], "left")
-    single = parent & (F.col("n_children") == 1)
     blank = F.col("render").isNull() | (F.trim("render") == "")
-    out = own.groupBy("document_id").agg(
+    # a parent and its children are one group, in which only digests of texts are kept
+    family = F.when(child, F.col("parent_id")).otherwise(F.col("chunk_id"))
+    same = F.sha2(F.trim("text").cast("binary"), 256)
+    single = (F.col("kids") == 1) & (F.col("parents") > 0)
+    groups = chunks.withColumn("family", family).groupBy("document_id", "family").agg(
         F.count_if(parent).alias("parents"),
-        F.count_if(child).alias("children"),
+        F.count_if(child).alias("kids"),
+        F.max(F.when(child, same)).alias("one_text"),
+        F.collect_list(F.when(parent, same)).alias("own_texts"),
         F.count_if(~F.col("mapped")).alias("unmapped"),
         F.count_if(F.col("tokens") > F.when(parent, parent_max).otherwise(child_max)).alias("over_limit"),
-        F.count_if(child & F.col("parent_found").isNull()).alias("orphans"),
         F.count_if(child & F.col("heading_only")).alias("heading_only"),
-        F.count_if(single).alias("one_child"),
-        F.count_if(single & (F.trim("text") == F.col("one_text"))).alias("identical"),
         F.count_if(blank).alias("empty_render"),
         F.count_if(F.col("header").rlike(r"\{#[\w:.-]+\}")).alias("anchors"),
         F.count_if(F.col("has_code") & ~F.col("render").contains("```") & ~F.col("render").contains("~~~")).alias("unfenced"),
@@ -101,6 +99,17 @@ def chunk_quality(chunks: DataFrame, child_target: int = 250, child_max: int = 3
         F.count_if(child & (F.col("tokens") < short_child)).alias("short_children"),
         F.count_if(parent & (F.col("tokens") < short_parent)).alias("short_parents"),
     )
+    found = F.col("family").isNotNull() & (F.col("parents") > 0)
+    out = groups.groupBy("document_id").agg(
+        F.sum("parents").alias("parents"),
+        F.sum("kids").alias("children"),
+        F.sum(F.when(found, 0).otherwise(F.col("kids"))).alias("orphans"),
+        F.sum(F.when(single & found, F.col("parents")).otherwise(0)).alias("one_child"),
+        F.sum(F.when(single & found, F.size(F.filter("own_texts", lambda t: t == F.col("one_text")))).otherwise(0)).alias("identical"),
+        *[F.sum(c).alias(c) for c in ("unmapped", "over_limit", "heading_only", "empty_render", "anchors", "unfenced", "suspicious", "short_children", "short_parents")],
+    )
+    order = ["document_id", "parents", "children", "unmapped", "over_limit", "orphans", "heading_only", "one_child", "identical", "empty_render", "anchors", "unfenced", "suspicious", "short_children", "short_parents"]
+    out = out.select(order)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     out = out.withColumns({"short_child_ratio": ratio("short_children", "children"), "short_parent_ratio": ratio("short_parents", "parents"), "one_child_ratio": ratio("one_child", "parents")})
     c = F.col
