@@ -28,6 +28,8 @@ K1, B = 1.2, 0.75
 DIGITS = 9
 #: Bits of a row's place in its partition in an increasing id of Spark (a fixed value), and frequent terms that order the chunks.
 PLACE_BITS, FREQUENT = 33, 62
+#: Blocks that meet a tile of queries in one group.
+SPAN = 32
 
 
 def word_list(text: Column) -> Column:
@@ -85,24 +87,25 @@ class KeywordIndex:
     def _write_chunks(chunks: DataFrame, path: str, segment: int, block: int, frequent: list[str]) -> None:
         """The forward table: chunk_id, place, block, length, terms with their counts. Blocks are runs of a partition of a range of the order."""
         counted = F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), (F.size("words") - F.size(F.array_remove("words", t))).alias("count")))
-        own = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), word_list(F.col("text")).alias("words"))
+        own = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
         known = F.array(*[F.lit(t) for t in frequent]).cast("array<string>")
         bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(FREQUENT) - F.array_position(known, t)).cast("int"))
-        alike = F.aggregate(F.array_intersect("words", known), F.lit(0).cast("long"), lambda acc, t: acc + bit(t))
-        own = stored(own.withColumn("alike", alike))
-        dealt = own.repartitionByRange(F.desc("alike"), "chunk_id").sortWithinPartitions(F.desc("alike"), "chunk_id").withColumn("place", F.monotonically_increasing_id())
+        alike = F.aggregate(F.array_intersect(word_list(F.col("text")), known), F.lit(0).cast("long"), lambda acc, t: acc + bit(t))
+        # texts move, and their words are found again where they come to: lists of words take several times as much
+        dealt = own.withColumn("alike", alike).repartitionByRange(F.desc("alike"), "chunk_id").sortWithinPartitions(F.desc("alike"), "chunk_id").withColumn("place", F.monotonically_increasing_id())
+        dealt = dealt.withColumn("words", word_list(F.col("text")))
         number = F.shiftright("place", PLACE_BITS) * (1 << 24) + F.floor(F.col("place") % (1 << PLACE_BITS) / block)
         made = dealt.select("chunk_id", "place", number.cast("long").alias("block"), F.size("words").alias("length"), counted.alias("terms"))
-        made.write.parquet(f"{path}/chunks/segment={segment}")
+        made.write.option("compression", "zstd").parquet(f"{path}/chunks/segment={segment}")
 
     def _write_postings(self, segment: int) -> KeywordIndex:
-        """Postings in the order of terms and blocks, so that a file holds a range of terms, and a line for each term. A term of any number of postings is dealt by its blocks."""
-        own = self.spark.read.parquet(f"{self.path}/chunks/segment={segment}").select("chunk_id", "place", "block", "length", F.explode("terms").alias("t"))
+        """Postings, each file's in the order of terms and blocks, and a line for each term. Blocks are dealt to files: chunks move to their block's place before they are taken apart, and a bound is summed where its block lies."""
+        own = self.spark.read.parquet(f"{self.path}/chunks/segment={segment}").repartition("block").select("chunk_id", "place", "block", "length", F.explode("terms").alias("t"))
         count = F.col("t.count").cast("double")
         impact = F.lit(1.0) if self.scoring == "share" else count * (K1 + 1) / (count + K1 * (1 - B + B * F.col("length") / self.mean_length))
         per = own.select(F.col("t.term").alias("term"), "block", F.struct("place", "chunk_id", impact.alias("impact")).alias("posting")).groupBy("term", "block").agg(F.array_sort(F.collect_list("posting")).alias("p"))  # at most ``block`` of them
         rows = per.select("term", "block", F.array_max(F.transform("p", lambda x: x["impact"])).alias("most"), F.transform("p", lambda x: x["chunk_id"]).alias("chunk_ids"), F.transform("p", lambda x: x["place"]).alias("places"), F.transform("p", lambda x: x["impact"]).alias("impacts"))
-        stored(rows).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/postings/segment={segment}")
+        rows.sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.path}/postings/segment={segment}")
         back = self.spark.read.parquet(f"{self.path}/postings/segment={segment}")
         back.groupBy("term").agg(F.sum(F.size("chunk_ids")).cast("long").alias("df"), F.max("most").alias("most")).write.parquet(f"{self.path}/terms/segment={segment}")
         return self
@@ -156,18 +159,29 @@ class KeywordIndex:
     def score(self, pairs: DataFrame, weights: DataFrame, k: int, tile: int = 256) -> DataFrame:
         """query_id, chunk_id, score of the ``k`` best chunks of each pair's block.
 
-        A block's postings of the queries' terms meet a tile of queries in one group: both are
-        bounded, and the scores are one matrix product.
+        A span of blocks with their postings of the queries' terms meets a tile of queries in one group: both are
+        bounded, a query's terms are there once for all blocks of the span, and a block's scores are one matrix product.
         """
-        keys = ["segment", "block", "tile"]
+        keys = ["segment", "span", "tile"]
         tiles = F.ceil(F.approx_count_distinct("query_id") / tile)
         count = max(1, weights.agg(tiles).first()[0] or 1)
-        dealt = pairs.withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int"))
+        span = F.floor(F.col("block") / SPAN)
+        dealt = pairs.select("query_id", "segment", "block", span.alias("span"), F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int").alias("tile"))
         asked = weights.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-        left = dealt.select("query_id", *keys).join(asked, "query_id")
-        needed = dealt.select(*keys).distinct().toDF("in_segment", "in_block", "in_tile")
+        none = lambda t: F.lit(None).cast(t)
+        left = dealt.withColumns({"terms": none("array<string>"), "weights": none("array<double>")}).unionByName(
+            dealt.select("query_id", *keys).distinct().join(asked, "query_id").withColumn("block", none("long"))
+        )
+        needed = dealt.select("segment", "block", "tile").distinct().toDF("in_segment", "in_block", "in_tile")
         own = self.table("postings").join(weights.select("term").distinct(), "term", "left_semi").select("segment", "block", "term", "chunk_ids", "places", "impacts")
-        right = own.join(needed, (F.col("segment") == F.col("in_segment")) & (F.col("block") == F.col("in_block"))).withColumn("tile", F.col("in_tile") + 0).drop("in_segment", "in_block", "in_tile")
+        right = own.join(needed, (F.col("segment") == F.col("in_segment")) & (F.col("block") == F.col("in_block"))).withColumns({"tile": F.col("in_tile") + 0, "span": span}).drop("in_segment", "in_block", "in_tile")
+
+        def products(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            own = asked[asked["block"].isna()].set_index("query_id")[["terms", "weights"]]
+            blocks = dict(iter(held.groupby("block")))
+            each = asked[asked["block"].notna()].groupby("block")["query_id"]
+            made = [product(own.loc[ids].reset_index(), blocks.get(block, held.iloc[:0])) for block, ids in each]
+            return pd.concat(made, ignore_index=True) if made else product(asked.iloc[:0], held.iloc[:0])
 
         def product(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             columns = ["query_id", "chunk_id", "score"]
@@ -191,4 +205,4 @@ class KeywordIndex:
             q, c = np.nonzero(values > 0)
             return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "chunk_id": ids[order[q, c]], "score": values[q, c]})
 
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, "query_id long, chunk_id long, score double")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(products, "query_id long, chunk_id long, score double")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators.keyword_index import B, K1, KeywordIndex
 
@@ -90,3 +91,16 @@ def test_empty_tables(spark):
     assert index.search(asked).count() == 0
     assert index.append(spark.createDataFrame([(4, "a b")], "chunk_id long, text string")).search(asked).count() == 1
     assert index.search(asked.limit(0)).count() == 0
+
+
+def test_a_block_lies_in_one_file_and_spans_of_blocks_are_scored_whole(spark):
+    rows = [(i, f"w{i % 7} common x{i}") for i in range(3000)]
+    index = KeywordIndex.build(spark.createDataFrame(rows, "chunk_id long, text string"), block=4)
+    files = index.table("postings").select("block", F.input_file_name().alias("file")).groupBy("block").agg(F.count_distinct("file").alias("n"))
+    assert files.agg(F.max("n")).first()[0] == 1
+    asked = spark.createDataFrame([(1, "common w3 unknown"), (2, "w5"), (3, "none")], "query_id long, text string")
+    weights = index.weights(asked)
+    pairs = index.bounds(weights).select("query_id", "segment", "block")
+    got = sorted((r.query_id, r.chunk_id, round(r.score, 6)) for r in index.score(pairs, weights, 4).collect())
+    share = {i: len({"common", f"w{i % 7}"} & {"common", "w3"}) / 3 for i, _ in rows}
+    assert got == sorted([(1, i, round(s, 6)) for i, s in share.items()] + [(2, i, 1.0) for i, _ in rows if i % 7 == 5])
