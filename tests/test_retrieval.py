@@ -148,3 +148,15 @@ def test_diversity(spark):
     rows = [("g", 1, "A", ["ab", "bc"], 2, 0.9), ("g", 2, "A", ["xy"], 2, 0.8), ("g", 3, "B", ["ab", "bc"], 2, 0.7), ("g", 4, "B", ["pq"], 1, 0.1)]
     c = spark.createDataFrame(rows, "group_id string, item_id long, kind string, pairs array<string>, documents int, quality double")
     assert [r.item_id for r in packing.diversify(c, 3).orderBy("position").collect()] == [1, 4, 2]
+
+
+def test_one_organization_keeps_all_tasks_busy(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.operators import scope
+
+    users = spark.createDataFrame([(i, "o", "VIEWER", i != 3) for i in range(40)] + [(99, None, "ADMIN", True)], "user_id long, org string, role string, enabled boolean")
+    docs = spark.createDataFrame([(i, "o" if i else None, "RESTRICTED", [i % 40], ["EDITOR"]) for i in range(300)], "document_id long, org string, access_mode string, allowed_users array<long>, allowed_roles array<string>")
+    got = scope.document_access(users, docs).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.user_id, r.document_id, r.reason) for r in got) == sorted((u, d, "USER" if d % 40 == u else "DENIED") for u in range(40) if u != 3 for d in range(1, 300))
+    assert len({r.task for r in got}) == 4
